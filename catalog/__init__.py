@@ -12,4 +12,4 @@ def all_queries():
 
     for module in pkgutil.iter_modules(__path__):
         importlib.import_module(f"catalog.{module.name}")
-    return registry.QUERIES, registry.ORACLE
+    return registry.QUERIES, {k: registry.with_views(s) for k, s in registry.ORACLE.items()}

@@ -16,13 +16,15 @@ ORACLE: dict[str, str] = {}
 def _needed(text: str) -> list[str]:
     """SQL views used by ``text``, in dependency order."""
     found: list[str] = []
+    open_: set[str] = set()
 
     def visit(body: str) -> None:
+        words = set(re.findall(r"\w+", body))
         for name, sql in SQL_VIEWS.items():
-            if name not in found and re.search(rf"\b{name}\b", body):
+            if name in words and name not in open_:
+                open_.add(name)
                 visit(sql)
-                if name not in found:
-                    found.append(name)
+                found.append(name)
 
     visit(text)
     return found
@@ -46,7 +48,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            ORACLE[name] = sql
         return fn
 
     return wrap

@@ -150,7 +150,7 @@ class ClusterConfig:
     window_s: int = 604_800
     max_buckets: int = 50
     min_confidence: float = 0.3
-    max_edges: int = 50_000
+    max_edges: int | None = None  # newest edges only, when set
 
 
 @dataclass(frozen=True)
