@@ -230,7 +230,7 @@ class Views:
         ins = ("transform(ls, x -> named_struct('program_id', concat(x.l_returnflag, x.l_linestatus), "
                "'type', 'transfer', 'source', concat('C', o_custkey), 'destination', concat('S', x.l_suppkey), "
                "'lamports', x.lamports))")
-        bal = ("transform(ls, x -> named_struct('mint', concat('P', x.l_partkey), 'owner', concat('C', o_custkey), "
+        bal = ("transform(ls, (x, i) -> named_struct('account_index', i, 'mint', concat('P', x.l_partkey), 'owner', concat('C', o_custkey), "
                "'ui_amount', {}))")
         return o.withColumn("sup", suppliers).select(
             F.concat(F.lit("O"), F.col("o_orderkey")).alias("signature"),
@@ -255,6 +255,30 @@ class Views:
         )
 
 
+    @cached_property
+    def scam_programs(self) -> DataFrame:
+        """Program codes of the lines with the highest tax."""
+        li = self.table("lineitem")
+        top = li.agg(F.max("l_tax").alias("m"))
+        return li.join(F.broadcast(top), F.col("l_tax") >= F.col("m")).filter("l_linestatus = 'O'").select(
+            F.concat("l_returnflag", "l_linestatus").alias("program_id")).distinct()
+
+    @cached_property
+    def scam_tokens(self) -> DataFrame:
+        return self.tokens.filter("mint_authority IS NOT NULL AND freeze_authority IS NOT NULL").select("mint")
+
+    @cached_property
+    def scam_collections(self) -> DataFrame:
+        return self.tokens.filter("collection LIKE 'P%'").select("collection").distinct()
+
+    @cached_property
+    def lists(self):
+        from ledgerwise.plans.wallet_analysis import Blacklists
+
+        return Blacklists(self.scam_suppliers, self.scam_programs, self.scam_tokens, self.scam_collections,
+                          dex=["RF"], lp=["AF", "inner-N"], known_programs=["transfer-program"])
+
+
 def _case(mapping: dict, col: str) -> str:
     return "CASE " + col + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 

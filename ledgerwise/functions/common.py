@@ -95,6 +95,20 @@ def both_ends(transfers: DataFrame, *keep: str, self_once: bool = True) -> DataF
     return transfers.select(F.explode(F.array_compact(F.array(*ends))).alias("end"), *keep).select("end.*", *keep)
 
 
+def assemble(base: DataFrame, *parts: DataFrame, key: str = "wallet") -> DataFrame:
+    """Columns of all parts side by side for the keys of ``base`` (each part has one row per key).
+
+    One union and one aggregation replace a chain of joins: a single shuffle, and a
+    task never holds one sort buffer per joined part.
+    """
+    rows = base.withColumn("_base", F.lit(True))
+    for part in parts:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    kept = [c for c in rows.columns if c not in (key, "_base")]
+    merged = rows.groupBy(key).agg(F.max("_base").alias("_base"), *[F.any_value(c, True).alias(c) for c in kept])
+    return merged.filter("_base").drop("_base")
+
+
 def newest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None,
              salt_cols: Sequence[str] | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order``.

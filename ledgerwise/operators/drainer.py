@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwise.functions.common import near_in_time, ratio, rnd, split_rank
+from ledgerwise.functions.common import assemble, near_in_time, ratio, rnd, split_rank
 
 TIME_BUCKET = 3_600
 SLOT_BUCKET = 10_000
@@ -80,8 +80,6 @@ def percent_to_top_destination(records: DataFrame) -> DataFrame:
 
 
 def drainer_features(records: DataFrame, wallets: DataFrame) -> DataFrame:
-    out = wallets.select("wallet").distinct()
-    for part in (approval_like_count, rapid_outflow_count, multi_victim_pattern, new_program_count,
-                 swap_then_transfer, percent_to_top_destination):
-        out = out.join(part(records), "wallet", "left")
-    return out.fillna(0)
+    parts = (approval_like_count, rapid_outflow_count, multi_victim_pattern, new_program_count, swap_then_transfer,
+             percent_to_top_destination)
+    return assemble(wallets.select("wallet").distinct(), *[part(records) for part in parts]).fillna(0)
