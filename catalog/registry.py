@@ -54,14 +54,13 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def values(name: str, columns: str, mapping: dict) -> str:
-    """A constant CTE for SQL texts."""
+def constant_view(columns: str, mapping: dict) -> str:
+    """A SELECT over fixed values for use as a SQL view."""
 
     def lit(x):
         return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
 
     rows = ", ".join(
-        "(" + ", ".join(lit(x) for x in ((k, *v) if isinstance(v, tuple) else (k, v))) + ")"
-        for k, v in mapping.items()
+        "(" + ", ".join(lit(x) for x in ((k, *v) if isinstance(v, tuple) else (k, v))) + ")" for k, v in mapping.items()
     )
-    return f"{name}({columns}) AS (VALUES {rows})"
+    return f"SELECT * FROM (VALUES {rows}) AS t({columns})"
