@@ -185,7 +185,7 @@ def _entity_history(v):
     return T.entity_history(h.filter(F.col("at") < cut), h.filter(F.col("at") >= cut), keep=40)
 
 
-@query("w10_entity_history", "SELECT entity_id, "at", score, rank FROM ent_ranked WHERE rank <= 40")
+@query("w10_entity_history", 'SELECT entity_id, "at", score, rank FROM ent_ranked WHERE rank <= 40')
 def _(v):
     return _entity_history(v)[0]
 
