@@ -23,8 +23,19 @@ def wallet_pairs(transfers: DataFrame) -> DataFrame:
     )
 
 
+def merge_pairs(pairs: DataFrame) -> DataFrame:
+    """Pair aggregates of several batches merged into one row per (wallet, counterparty)."""
+    sums = [F.sum(c).alias(c) for c in ("tx_count", "tx_out", "tx_in", "lamports", "ts_count")]
+    return pairs.groupBy("wallet", "counterparty").agg(
+        *sums, F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
 def wallet_features(transfers: DataFrame, min_span_s: float = 1.0) -> DataFrame:
-    per_wallet = wallet_pairs(transfers).groupBy("wallet").agg(
+    return features_from_pairs(wallet_pairs(transfers), min_span_s)
+
+
+def features_from_pairs(pairs: DataFrame, min_span_s: float = 1.0) -> DataFrame:
+    per_wallet = pairs.groupBy("wallet").agg(
         F.sum("tx_count").alias("tx_count"),
         F.count_if(F.col("counterparty") != F.col("wallet")).alias("unique_counterparties"),
         F.sum("lamports").alias("volume_lamports"),
