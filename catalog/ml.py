@@ -115,7 +115,7 @@ def _(v):
 
 
 @query("m08_token_training_rows", """SELECT mint, (mint_authority IS NOT NULL)::INT AS mint_authority_exists, (freeze_authority IS NOT NULL)::INT AS freeze_authority_exists, metadata_missing::INT AS metadata_missing, decimals, supply,
-    (mint_authority IS NOT NULL OR freeze_authority IS NOT NULL OR metadata_missing OR list_has_any(creator_wallets, (SELECT list(wallet) FROM scam_suppliers)))::INT AS label FROM tokens""")
+    (mint_authority IS NOT NULL OR freeze_authority IS NOT NULL OR metadata_missing OR coalesce(list_has_any(creator_wallets, (SELECT list(wallet) FROM scam_suppliers)), false))::INT AS label FROM tokens""")
 def _(v):
     return M.token_training_rows(flagged_tokens(v), v.scam_suppliers)
 

@@ -101,7 +101,7 @@ SQL_VIEWS["six_x"] = """SELECT wallet, round(count(*) FILTER (sc < 50) / count(*
     SELECT sender AS wallet, receiver AS counterparty FROM transfers_six_hour UNION ALL SELECT receiver, sender FROM transfers_six_hour) e LEFT JOIN six_scores s ON s.wallet = e.counterparty GROUP BY 1, 2) GROUP BY 1"""
 
 
-@query("q06_wallet_category", f"SELECT wallet, category, {_CONF} AS confidence FROM (SELECT wallet, {_CAT} AS category FROM (SELECT wallet, score AS s, x FROM six_scores JOIN six_x USING (wallet)))")
+@query("q06_wallet_category", f"SELECT wallet, category, {_CONF} AS confidence FROM (SELECT wallet, {_CAT} AS category FROM (SELECT wallet, coalesce(score, 50.0) AS s, x FROM six_x LEFT JOIN six_scores USING (wallet)))")
 def _(v):
     t = v.transfers_six_hour
     s = t.select(F.explode(F.array("sender", "receiver")).alias("wallet")).distinct().join(

@@ -27,6 +27,14 @@ class StreamViews(Views):
         schema = self.spark.read.parquet(f"{self.dir}/events.parquet").schema
         return self.spark.readStream.schema(schema).parquet(f"{self.dir}/events.parquet*")
 
+    @property
+    def ev(self):
+        return self.raw_events()
+
+    @property
+    def transfers(self):
+        return self.event_transfers()
+
 
 def streamed(v) -> StreamViews:
     return StreamViews(v.spark, v.dir)

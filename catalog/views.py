@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise import params as P
 from ledgerwise.functions.common import lookup, rnd
+from ledgerwise.functions.storage import shared_dir
 
 AS_OF = 1_706_659_200  # end of the event month
 AS_OF_ORDERS = 1_009_843_200  # end of the order years
@@ -27,15 +29,34 @@ def micros(c: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
 
 
+_ingested: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
+    """Canonical tables.  The first query of a session that needs one writes it to the shared
+    folder, as an ingestion job would; later queries read the columns they need from it."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def ingested(self, name: str, df: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _ingested:
+            path = f"{shared_dir(self.spark)}/ingest-{uuid.uuid4().hex}/{name}"
+            cores = self.spark.sparkContext.defaultParallelism
+            spread = df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+            spread.write.parquet(path)
+            _ingested[key] = path
+        return self.spark.read.schema(df.schema).parquet(_ingested[key])
+
     @cached_property
     def ev(self) -> DataFrame:
+        return self.ingested("events", self.raw_events())
+
+    def raw_events(self) -> DataFrame:
         us = micros("ts")
         return self.table("events").select(
             "event_id", "user_id", "event_type", "value",
@@ -46,6 +67,9 @@ class Views:
 
     @cached_property
     def transfers(self) -> DataFrame:
+        return self.ingested("transfers", self.event_transfers())
+
+    def event_transfers(self) -> DataFrame:
         w = F.concat(F.lit("W"), F.col("user_id"))
         return self.ev.select(
             F.concat(F.lit("E"), F.col("event_id")).alias("signature"),
@@ -60,16 +84,16 @@ class Views:
     def transfers_six_hour(self) -> DataFrame:
         """Wallets split by six-hour period: many small components and longer distances."""
         period = F.concat(F.lit("@"), F.floor(F.col("ts") / 21_600).cast("string"))
-        return self.transfers.withColumns({
+        return self.ingested("transfers_six_hour", self.transfers.withColumns({
             "sender": F.concat("sender", period), "receiver": F.concat("receiver", period),
             "wallet": F.concat("wallet", period),
-        })
+        }))
 
     @cached_property
     def transfers_large(self) -> DataFrame:
         li = self.table("lineitem")
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        return self.ingested("transfers_large", li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.concat(F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber")).alias("signature"),
             F.concat(F.lit("C"), F.col("o_custkey")).alias("wallet"),
             F.concat(F.lit("C"), F.col("o_custkey")).alias("sender"),
@@ -80,7 +104,7 @@ class Views:
             F.concat("l_returnflag", "l_linestatus").alias("program_id"),
             F.concat(F.lit("P"), F.col("l_partkey")).alias("token"),
             F.lit(None).cast("string").alias("err"),
-        )
+        ))
 
     @cached_property
     def scam_events(self) -> DataFrame:
@@ -232,7 +256,7 @@ class Views:
                "'lamports', x.lamports))")
         bal = ("transform(ls, (x, i) -> named_struct('account_index', i, 'mint', concat('P', x.l_partkey), 'owner', concat('C', o_custkey), "
                "'ui_amount', {}))")
-        return o.withColumn("sup", suppliers).select(
+        return self.ingested("tx_raw", o.withColumn("sup", suppliers).select(
             F.concat(F.lit("O"), F.col("o_orderkey")).alias("signature"),
             F.floor(micros("o_orderdate") / 1_000_000).alias("block_time"), F.col("o_orderkey").alias("slot"),
             customer.alias("wallet"),
@@ -252,7 +276,7 @@ class Views:
             F.when(F.col("o_orderstatus") == "F", "TOKEN_MINT").otherwise("TRANSFER").alias("type"),
             F.expr(bal.format("1.0D")).alias("token_balances_pre"),
             F.expr(bal.format("if(x.l_returnflag = 'R', 0.0D, 1.0D)")).alias("token_balances_post"),
-        )
+        ))
 
 
     @cached_property

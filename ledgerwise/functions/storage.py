@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -31,3 +31,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_with_metrics(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` that also returns aggregates of the rows, collected while they are written."""
+    seen = Observation(f"step-{uuid.uuid4().hex}")
+    out = cut_lineage(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return out, seen.get

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.functions.common import DAY, LAMPORTS_PER_SOL, both_ends, clean_wallet, newest_n, rnd
-from ledgerwise.functions.storage import cut_lineage
+from ledgerwise.functions.storage import cut_lineage, cut_with_metrics
 
 
 def transfer_edges(transfers: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def undirected_edges(transfers: DataFrame, as_of: int, days_back: int = 30, min_
 
 def _pairs(edges: DataFrame) -> DataFrame:
     src, dst = ("a", "b") if "a" in edges.columns else ("sender", "receiver")
-    return edges.select(clean_wallet(src).alias("wallet"), clean_wallet(dst).alias("neighbor"))
+    return edges.select(F.col(src).alias("wallet"), F.col(dst).alias("neighbor"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -58,17 +60,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node (combined map-side) and joins it back; hubs are split by adaptive skew joins.
     Self-edges keep isolated wallets in the result.
     """
-    pairs = _pairs(edges).filter("wallet IS NOT NULL AND neighbor IS NOT NULL")
+    pairs = cut_lineage(_pairs(edges).filter("wallet IS NOT NULL AND neighbor IS NOT NULL").distinct())
     nodes = pairs.select(F.explode(F.array("wallet", "neighbor")).alias("wallet")).distinct()
-    links = cut_lineage(
-        pairs.filter("wallet <> neighbor")
-        .select(F.greatest("wallet", "neighbor").alias("u"), F.least("wallet", "neighbor").alias("v")).distinct()
-    )
-
-    def summary(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    state = summary(links)
+    links = pairs.filter("wallet <> neighbor").select(
+        F.greatest("wallet", "neighbor").alias("u"), F.least("wallet", "neighbor").alias("v")).distinct()
+    state = None
     for _ in range(max_rounds):
         sym = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
                            .alias("e")).select("e.*")
@@ -77,8 +73,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(
             F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        links = cut_lineage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        new_state = summary(links)
+        links, new_state = cut_with_metrics(
+            small.union(low.select("u", F.col("m").alias("v"))).distinct(),
+            n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if new_state == state:
             break
         state = new_state
@@ -112,14 +109,17 @@ def distance_to_sources(edges: DataFrame, sources: DataFrame, max_depth: int | N
     """Fewest hops from the nearest source, walking the frontier one hop per round."""
     adj = cut_lineage(adjacency(edges))
     nodes = adj.select("wallet").distinct()
-    seen = cut_lineage(nodes.join(sources.select(clean_wallet("wallet").alias("wallet")).distinct(), "wallet", "left_semi")
-                       .withColumn("distance", F.lit(0)))
-    frontier, depth = seen, 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        reached = frontier.select("wallet").join(adj, "wallet").select(F.col("neighbor").alias("wallet")).distinct()
-        frontier = cut_lineage(reached.join(seen, "wallet", "left_anti").withColumn("distance", F.lit(depth)))
-        seen = seen.unionByName(frontier)
+    count = F.count(F.lit(1))
+    level, found = cut_with_metrics(
+        nodes.join(sources.select(clean_wallet("wallet").alias("wallet")).distinct(), "wallet", "left_semi"), n=count)
+    levels, before = [level], level.limit(0)
+    while found["n"] and (max_depth is None or len(levels) <= max_depth):
+        reached = level.join(adj, "wallet").select(F.col("neighbor").alias("wallet")).distinct()
+        # a neighbour of this level lies in the previous, the same or the next one
+        step, found = cut_with_metrics(reached.join(before.union(level), "wallet", "left_anti"), n=count)
+        levels.append(step)
+        before, level = level, step
+    seen = reduce(DataFrame.union, [df.withColumn("distance", F.lit(d)) for d, df in enumerate(levels)])
     return nodes.join(seen, "wallet", "left").select(
         "wallet", F.coalesce("distance", F.lit(unreachable)).alias("distance"))
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise import params as P
-from ledgerwise.functions.common import DAY, clamp, codes, lookup, rnd
+from ledgerwise.functions.common import DAY, clamp, rnd
 from ledgerwise.functions.storage import cut_lineage
-from ledgerwise.operators.graph import _pairs, connected_components, k_hop_neighbors
+from ledgerwise.operators.graph import connected_components, k_hop_neighbors
 
 
 def scam_reach(edges: DataFrame, scam: DataFrame, max_depth: int = 3) -> DataFrame:
