@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwise import params as P
-from ledgerwise.functions.common import DAY, assemble, lookup, rnd
+from ledgerwise.functions.common import DAY, lookup, rnd
+from ledgerwise.functions.storage import cut_lineage
 
 
 def shorten(c: Column, limit: int = 500) -> Column:
@@ -46,7 +47,7 @@ def alert_type(severity: Column, reason: Column) -> Column:
 
 def alert_context(observations: DataFrame, alert_rows: DataFrame,
                   cfg: P.EscalationConfig = P.EscalationConfig()) -> DataFrame:
-    """Observations with the alerts of the two days before: count, count of the last hour, distinct types.
+    """Observations with the alerts of the two days before: their types, and how many fell in the last hour.
 
     Time is cut into buckets as wide as the look-back; an alert is placed in its own and
     the next bucket, so a wallet with very many rows is spread over its buckets.
@@ -59,12 +60,12 @@ def alert_context(observations: DataFrame, alert_rows: DataFrame,
         F.explode(F.array(home("created_at"), home("created_at") + 1)).alias("_bucket"),
         alert_type(F.col("severity"), F.col("reason")).alias("_type"))
     w = Window.partitionBy("wallet", "_bucket").orderBy("ts")
-    recent, hour = w.rangeBetween(-cfg.recent_s, 0), w.rangeBetween(-cfg.cluster_s, 0)
-    found = F.array_compact(F.array(*[
-        F.when(F.max(F.when(F.col("_type") == t, 1)).over(recent) == 1, F.lit(t)) for t in ALERT_TYPES]))
-    rows = obs.unionByName(al).withColumns({
-        "recent_count": F.count("_type").over(recent), "hour_count": F.count("_type").over(hour), "recent_types": found})
-    return rows.filter("types IS NOT NULL").select("wallet", "ts", "types", "recent_count", "hour_count", "recent_types")
+    hour = w.rangeBetween(-cfg.cluster_s, 0)
+    # the newest alert per type so far tells whether one lies in the look-back: a growing frame, linear in the rows
+    last = lambda t: F.max(F.when(F.col("_type") == t, F.col("ts"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    found = F.array_compact(F.array(*[F.when(last(t) >= F.col("ts") - cfg.recent_s, F.lit(t)) for t in ALERT_TYPES]))
+    rows = obs.unionByName(al).withColumns({"hour_count": F.count("_type").over(hour), "recent_types": found})
+    return rows.filter("types IS NOT NULL").select("wallet", "ts", "types", "hour_count", "recent_types")
 
 
 def _max_before(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -94,7 +95,7 @@ def escalation_state(observations: DataFrame, alert_rows: DataFrame, previous: D
     to clamps, so each (wallet, day) is folded on its own, then each (wallet, month), then
     the wallet: no task has to walk through a whole wallet.
     """
-    df = alert_context(observations, alert_rows, cfg)
+    df = cut_lineage(alert_context(observations, alert_rows, cfg))
     if previous is None:
         df = df.withColumns({"_x0": F.lit(0.0), "_alert0": F.lit(None).cast("bigint"), "_clean0": F.lit(None).cast("bigint")})
     else:
@@ -102,12 +103,13 @@ def escalation_state(observations: DataFrame, alert_rows: DataFrame, previous: D
                                      F.col("last_clean_ts").alias("_clean0")), "wallet", "left").withColumn(
             "_x0", F.coalesce("_x0", F.lit(0.0)))
     anomalous = F.size("types") > 0
-    df = df.withColumns({"_bucket": F.floor(F.col("ts") / DAY), "quiet": ~anomalous & (F.col("recent_count") == 0)})
+    df = df.withColumns({"_bucket": F.floor(F.col("ts") / DAY), "quiet": ~anomalous & (F.size("recent_types") == 0)})
     start = df.groupBy("wallet").agg(F.min("ts").alias("_start"))
     df = _max_before(df, "_clean", F.when(F.col("quiet"), F.col("ts"))).join(start, "wallet")
     df = df.withColumn("_clean", F.coalesce("_clean", "_clean0", "_start"))
     idle = F.col("ts") - F.col("_clean")
     df = df.withColumn("reset", F.col("quiet") & (idle >= cfg.clean_reset_s))
+    df = cut_lineage(df)  # each pass reads its input twice
     df = _max_before(df, "_reset", F.when(F.col("reset"), F.col("ts")))
     df = _max_before(df, "_alert", F.when(anomalous, F.col("ts")))
     alerted = F.when(F.col("_reset").isNull(), F.coalesce("_alert", "_alert0")).otherwise(
@@ -129,7 +131,7 @@ def escalation_state(observations: DataFrame, alert_rows: DataFrame, previous: D
         .when(F.col("quiet"), step(F.lit(0.0), low, F.lit(inf)))
         .when(cooled, step(points - cfg.decay, F.least(points, F.lit(cfg.cap)), F.lit(cfg.cap)))
         .otherwise(step(points, low, F.lit(cfg.cap))))
-    df = df.withColumn("step", clamp_step)
+    df = cut_lineage(df.withColumn("step", clamp_step))
 
     def fold(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("step").alias("s"))))

@@ -153,20 +153,25 @@ def nft_scam_role(token_accounts: DataFrame, tokens: DataFrame, tx_raw: DataFram
     return full.select("wallet", "received", "minted", "distributed", "is_creator", role.alias("role"))
 
 
+# neutral detector outputs of a wallet without findings
+NO_FINDINGS = {"scam_interactions": 0, "rugpull_interactions": 0, "nft_role": "none", "received": 0, "is_creator": False,
+               "cluster_size": 1, "cluster_risk": "LOW"}
+
+
+def detector_parts(scam: DataFrame, rugpull: DataFrame, nft: DataFrame, cluster: DataFrame) -> list[DataFrame]:
+    """Detector outputs with distinct column names, ready for ``assemble``."""
+    return [
+        scam.select("wallet", F.col("interactions").alias("scam_interactions"), "programs"),
+        rugpull.select("wallet", F.col("interactions").alias("rugpull_interactions")),
+        nft.select("wallet", F.col("role").alias("nft_role"), "received", "is_creator"),
+        cluster.select("wallet", "cluster_size", "cluster_risk"),
+    ]
+
+
 def detector_table(metrics: DataFrame, scam: DataFrame, rugpull: DataFrame, nft: DataFrame,
                    cluster: DataFrame) -> DataFrame:
     """Detector outputs side by side, one row per analysed wallet."""
-    return (
-        assemble(
-            metrics.select("wallet"),
-            scam.select("wallet", F.col("interactions").alias("scam_interactions"), "programs"),
-            rugpull.select("wallet", F.col("interactions").alias("rugpull_interactions")),
-            nft.select("wallet", F.col("role").alias("nft_role"), "received", "is_creator"),
-            cluster.select("wallet", "cluster_size", "cluster_risk"),
-        )
-        .fillna({"scam_interactions": 0, "rugpull_interactions": 0, "nft_role": "none", "received": 0,
-                 "is_creator": False, "cluster_size": 1, "cluster_risk": "LOW"})
-    )
+    return assemble(metrics.select("wallet"), *detector_parts(scam, rugpull, nft, cluster)).fillna(NO_FINDINGS)
 
 
 def rule_trust_score(metrics: DataFrame, risk: DataFrame, detectors: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.functions.common import assemble
+from ledgerwise.functions.storage import cut_lineage
 from ledgerwise.operators import analysis as A
 from ledgerwise.operators.graph import neighborhood_cluster
 
@@ -25,17 +26,16 @@ class Blacklists:
 
 def wallet_analysis(tx_raw: DataFrame, token_accounts: DataFrame, tokens: DataFrame, lists: Blacklists, as_of: int,
                     ml_scores: DataFrame | None = None, blend: float = 0.3, min_key_len: int = 32) -> DataFrame:
-    """One row per wallet.  The transaction ranking is computed once and shared by all detectors."""
-    tx = A.ranked_tx(tx_raw).persist()
+    """One row per wallet.  The transactions are ranked once; all detectors read the columns they need from the stored ranking."""
+    tx = cut_lineage(A.ranked_tx(tx_raw))
     metrics = A.wallet_metrics(tx, token_accounts, as_of)
-    detectors = A.detector_table(
-        metrics, A.scam_program_interactions(tx, lists.scam_programs),
-        A.rugpull_holdings(token_accounts, lists.scam_tokens),
+    detectors = A.detector_parts(
+        A.scam_program_interactions(tx, lists.scam_programs), A.rugpull_holdings(token_accounts, lists.scam_tokens),
         A.nft_scam_role(token_accounts, tokens, tx, lists.scam_collections),
         neighborhood_cluster(tx, lists.scam_wallets, lists.known_programs),
     )
     rows = assemble(
-        metrics, detectors,
+        metrics, *detectors,
         A.avg_tx_value(tx).withColumnRenamed("sol", "avg_tx_value"),
         A.dex_lp_interactions(tx, lists.dex, lists.lp).withColumnsRenamed(
             {"dex": "dex_interaction_count", "lp": "lp_interaction_count"}),
@@ -43,7 +43,7 @@ def wallet_analysis(tx_raw: DataFrame, token_accounts: DataFrame, tokens: DataFr
             "n", "cluster_size_estimate"),
         A.basic_ml_features(tx, as_of).select("wallet", "unique_counterparties"),
         A.nft_count(token_accounts).withColumnRenamed("n", "nft_count"),
-    ).fillna(0, ["nft_count"])
+    ).fillna({**A.NO_FINDINGS, "nft_count": 0})
     typed = A.with_risk_flags(rows.withColumn("wallet_type", A.wallet_type_of()))
     out = A.with_rule_score(typed).withColumn("reason_codes", A.rule_codes_of()).withColumnRenamed(
         "score", "score_rule")
