@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -34,7 +34,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def cut_with_metrics(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """``cut_lineage`` that also returns aggregates of the rows, collected while they are written."""
-    seen = Observation(f"step-{uuid.uuid4().hex}")
-    out = cut_lineage(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
-    return out, seen.get
+    """``cut_lineage`` that also returns aggregates of the written rows, read back from the files.
+
+    (Observed metrics would save this small job, but they leave a manager in the session
+    that makes later MLlib evaluations fail to serialize.)
+    """
+    out = cut_lineage(df)
+    return out, out.agg(*[c.alias(name) for name, c in metrics.items()]).first().asDict()
