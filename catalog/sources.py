@@ -1,15 +1,35 @@
 """Source parsing over transactions derived from orders and events."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import AS_OF, SQL_VIEWS
+from ledgerwise.functions.storage import shared_dir
 from ledgerwise.sources import tables as T
 from ledgerwise.sources import transactions as X
 
 MID = AS_OF - 15 * 86_400
 
 
+@query("s01_read_wallet_csv", "SELECT wallet FROM wallets")
+def _(v):
+    """Every sender and receiver, padded and repeated, written as CSV and read back."""
+    path = f"{shared_dir(v.spark)}/csv-{uuid.uuid4().hex}"
+    t = v.transfers
+    names = t.select(F.concat(F.lit(" "), F.col("sender")).alias("address"), "program_id").union(t.select("receiver", "program_id"))
+    T.write_table(names, path, "csv")
+    return T.read_wallet_csv(v.spark, path)
+
+
+@query("s17_write_table", "SELECT signature, wallet, amount_lamports, program_id FROM transfers")
+def _(v):
+    path = f"{shared_dir(v.spark)}/table-{uuid.uuid4().hex}"
+    T.write_table(v.transfers, path, "parquet", partition_by=["program_id"])
+    return v.spark.read.parquet(path).select("signature", "wallet", "amount_lamports", "program_id")
+
+
 @query("s02_transfers_from_enriched", f"""SELECT 'E' || event_id AS signature, 'W' || user_id AS sender, 'W' || k AS receiver,
     CASE WHEN event_type = 'purchase' THEN round(value * 100) / CAST(100 AS DOUBLE) WHEN event_type = 'click' THEN value ELSE
       round(value * CAST(1e9 AS DOUBLE)) / CAST(1e9 AS DOUBLE) END AS amount,
