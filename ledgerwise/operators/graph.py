@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.functions.common import DAY, LAMPORTS_PER_SOL, both_ends, clean_wallet, newest_n, rnd
-from ledgerwise.functions.storage import cut_lineage, cut_with_metrics
+from ledgerwise.functions.storage import cut_lineage, cut_with_metrics, release
 
 
 def transfer_edges(transfers: DataFrame) -> DataFrame:
@@ -69,13 +69,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         sym = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
                            .alias("e")).select("e.*")
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = sym.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut_lineage(
+            sym.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(
             F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        before = links if state else None
         links, new_state = cut_with_metrics(
             small.union(low.select("u", F.col("m").alias("v"))).distinct(),
             n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        release(large)
+        if before is not None:
+            release(before)
         if new_state == state:
             break
         state = new_state
