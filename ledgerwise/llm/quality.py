@@ -40,13 +40,12 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside 5-word windows found twice or more: windows are compared by a 64-bit hash, sorted with their
-    places; neighbours that agree are repeats; each adds the words up to the next one, five at most."""
-    last = F.size(words) - WINDOW
+    """Words inside 5-word windows found twice or more.  Where all windows differ that is none; else the windows are
+    sorted with their places, neighbours that agree are repeats, and each adds the words up to the next, five at most."""
 
     def repeated(s: Column) -> Column:
-        same = F.filter(s, lambda x, i: ((i > 0) & (x["h"] == s[F.greatest(i - 1, F.lit(0))]["h"]))
-                        | ((i < F.size(s) - 1) & (x["h"] == s[F.least(i + 1, F.size(s) - 1)]["h"])))
+        same = F.filter(s, lambda x, i: ((i > 0) & (x["w"] == s[F.greatest(i - 1, F.lit(0))]["w"]))
+                        | ((i < F.size(s) - 1) & (x["w"] == s[F.least(i + 1, F.size(s) - 1)]["w"])))
         return F.sort_array(F.transform(same, lambda x: x["p"]))
 
     def covered(p: Column) -> Column:
@@ -54,9 +53,13 @@ def _repeat_words(words: Column) -> Column:
             F.lit(WINDOW), p[F.least(i + 1, F.size(p) - 1)] - x)).otherwise(F.lit(WINDOW)))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    windows = F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(
-        F.xxhash64(*[words[p + i] for i in range(WINDOW)]).alias("h"), p.alias("p")))
-    return F.when(last < 1, F.lit(0)).otherwise(_let(_let(F.sort_array(windows), repeated), covered)).cast("bigint")
+    def count(windows: Column) -> Column:
+        placed = F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("p")))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(
+            _let(_let(F.sort_array(placed), repeated), covered))
+
+    ahead = "(?=(" + " ".join(["[^ ]+"] * WINDOW) + "))[^ ]+"
+    return _let(F.regexp_extract_all(F.array_join(words, " "), F.lit(ahead), F.lit(1)), count).cast("bigint")
 
 
 def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -66,11 +69,10 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     found = docs.select(*kept, _let(words, lambda w: F.struct(
-        F.size(w).cast("bigint").alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("_w"),
-        F.char_length(F.translate(text, " \t\n\x0b\f\r", "")).cast("bigint").alias("word_chars"),
+        F.size(w).cast("bigint").alias("n_words"), F.char_length(F.array_join(w, "")).cast("bigint").alias("word_chars"), _repeat_words(w).alias("n_repeat_words"))).alias("_w"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("_l"))
-    return found.select(*kept, "_w.n_words", "word_chars", "n_symbols", (F.col("_l.n") - F.col("_l.d")).cast("bigint").alias("n_dup_lines"),
+    return found.select(*kept, "_w.n_words", "_w.word_chars", "n_symbols", (F.col("_l.n") - F.col("_l.d")).cast("bigint").alias("n_dup_lines"),
                         "_w.n_repeat_words", F.col("_l.n").cast("bigint").alias("n_lines"))
 
 
@@ -125,17 +127,29 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang",
     return sums.select("stratum", *[strictest(name, cuts) for name, (_, cuts) in CUTOFFS.items()])
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, the counts, the cutoffs of its stratum, base_failed and kept, one row per row of ``docs``."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
-    counts = cut_lineage(text_counts(docs).drop("text"))
-    cutoffs = cut_lineage(choose_cutoffs(counts, labels, "stratum"))
+def _judged(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
     if cutoffs.count() <= MAX_BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
     judged = counts.join(cutoffs.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left")
     over = F.lit(False)
     for name, (expr, _) in CUTOFFS.items():
         over = over | F.coalesce(F.expr(expr) > F.col(name), F.lit(False))
-    return judged.withColumn("base_failed", base_failed()).select(
-        "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~over).alias("kept"), "n_lines",
-        *[F.col(n).alias(f"cutoff_{n}") for n in CUTOFFS])
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
+    """doc_id, the counts, the cutoffs of its stratum, base_failed and kept, one row per row of ``docs``."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
+    counts = cut_lineage(text_counts(docs).drop("text"))
+    cutoffs = cut_lineage(choose_cutoffs(counts, labels, "stratum"))
+    return _judged(counts, cutoffs).select("doc_id", *COUNTS, "base_failed", "kept", "n_lines",
+                                           *[F.col(n).alias(f"cutoff_{n}") for n in CUTOFFS])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps.  The counts pass through to the decision beside the text, so no text
+    is shuffled; only the cutoffs (one row per stratum) come from a first pass."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
+    cutoffs = cut_lineage(choose_cutoffs(cut_lineage(text_counts(narrow).drop("text")), labels, "stratum"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
+    return _judged(text_counts(rows), cutoffs).filter("kept").select("_row.*")

@@ -19,12 +19,51 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ledgerwise.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwise.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwise.llm.language_id import fit, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit(docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"))
+    return predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwise.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwise.llm.quality import judge
 
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwise.functions.storage import cut_lineage
+    from ledgerwise.llm.preference import conversations, format_pairs, pairs_by_first_turn, pairs_with_foreign_reply
+
+    convs = cut_lineage(conversations(_table(spark, sf_dir, "conversations")))
+    pairs = pairs_by_first_turn(convs).withColumn("kind", F.lit("shared first turn")).unionByName(
+        pairs_with_foreign_reply(convs).withColumn("kind", F.lit("foreign reply")))
+    return format_pairs(pairs)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerwise.llm.url_filter import judge_urls
 
@@ -50,5 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op6_quality_rules, op8_url_filter, op9_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_near_dedup, op2_token_packing, op3_pii, op4_language_id, op5_decontamination, op6_quality_rules,
+    op7_preference_format, op8_url_filter, op9_byte_bpe, op10_token_counts)}
 ORACLE: dict[str, str] = {}

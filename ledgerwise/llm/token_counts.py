@@ -16,6 +16,7 @@ table.  Long texts are cut and counted whole; other columns are not carried.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from ledgerwise.functions.storage import cut_lineage
 
 LIMIT = 512
 SUMMARY = 50_000
-MIN_SHARE = 1e-5
+MIN_SHARE = 2e-6
 WORKER_CACHE = 400_000
 #: Letters and symbols up to here mean the same to all Unicode versions in use.
 PLAIN = regex.compile(r"[\x00-ɏ‐-‧€]*")
@@ -39,6 +40,7 @@ class Counts(dict):
 
     def __init__(self, path: str, pattern: str, table: dict[str, int]):
         super().__init__(table)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark fills the cores
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -46,13 +48,6 @@ class Counts(dict):
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) > len(self.table) + WORKER_CACHE:
-            self.clear()
-            self.update(self.table)
-        n = self[piece] = len(self.tok.encode(piece, add_special_tokens=False).ids)
-        return n
-
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text; special strings are pieces of their own."""
         parts = self.special.split(text) if self.special else [text]
@@ -66,8 +61,27 @@ class Counts(dict):
                 out += [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
-    def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, self.pieces(text)))
+    def learn(self, pieces: set[str]) -> None:
+        """Lengths of the pieces that are neither in the table nor met before, encoded in one batch."""
+        if len(self) > len(self.table) + WORKER_CACHE:
+            self.clear()
+            self.update(self.table)
+        new = [w for w in pieces if w not in self]
+        self.update(zip(new, [len(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]))
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of every text; new pre-tokens are learnt in blocks of about a million characters."""
+        out, block, chars = [], [], 0
+        for text in texts:
+            block.append(self.pieces(text))
+            chars += len(text)
+            if chars > 1_000_000:
+                out, block, chars = out + self._sums(block), [], 0
+        return out + self._sums(block)
+
+    def _sums(self, block: list[list[str]]) -> list[int]:
+        self.learn(set().union(*block))
+        return [sum(map(self.__getitem__, p)) for p in block]
 
 
 def frequent_pretokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
@@ -89,6 +103,7 @@ def frequent_pretokens(docs: DataFrame, path: str, pattern: str, text_col: str =
     def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts(path, pattern, {})
         for b in batches:
+            counts.learn(set(b["piece"]))
             yield pd.DataFrame({"piece": b["piece"], "n_tokens": [counts[w] for w in b["piece"]]})
 
     parts = cut_lineage(docs.select(F.col(text_col).alias("t")).mapInPandas(summary, "piece string, n bigint, met bigint")
@@ -108,7 +123,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         counts = Counts(path, pattern, shared.value)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"],
-                                "n_tokens": [counts.count(t) if t else 0 for t in b["t"]]})
+                                "n_tokens": counts.count(list(b["t"]))})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("t"), F.octet_length(text).cast("bigint").alias("n_bytes"))
