@@ -101,7 +101,7 @@ def merge_pairs(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 class Tokenizer:
     """Encoder and decoder of one rank list and pre-token pattern."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, min_share: float = 1e-6, tail: str = "arrow"):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, min_share: float = 5e-7, tail: str = "arrow"):
         self.pattern, self.min_share, self.tail = "(?U)" + pattern, min_share, tail
         self._merges = {(ranks[t[:n]], ranks[t[n:]]): r for t, r in ranks.items() for n in range(1, len(t))
                         if t[:n] in ranks and t[n:] in ranks}
@@ -188,30 +188,38 @@ class Tokenizer:
         """``docs`` with the token ids of every text."""
         table = cut_lineage(_lookup_table(self.frequent(docs, text), "word", "ids", _word_bucket, WORD_BUCKETS))
         kept = [c for c in docs.columns if c != ids]
-        pieces = docs.select(*kept, self.pretokens(F.col(text)).alias("_pieces"))
-        known = lambda t: F.transform(F.col("_pieces"), lambda w: t[_word_bucket(w)][w])
-        rows = pieces.withColumn("_table", table.scalar()).select(
-            *kept, "_pieces", _let(F.col("_table"), known).alias("_known"))
-        rare = F.filter("_pieces", lambda w, i: F.col("_known")[i].isNull())
-        places = F.filter(F.transform("_known", lambda k, i: F.when(k.isNull(), i)), lambda i: i.isNotNull())
+
+        def found(words: Column, known: Column) -> Column:
+            places = F.transform(known, lambda k, i: F.when(k.isNull(), i))
+            return F.struct(known.alias("known"), F.filter(words, lambda w, i: known[i].isNull()).alias("rare"),
+                            F.filter(places, lambda i: i.isNotNull()).alias("at"))
+
+        def look_up(t: Column, words: Column) -> Column:
+            return _let(F.transform(words, lambda w: t[_word_bucket(w)][w]), lambda known: found(words, known))
+
+        rows = docs.select(*kept, self.pretokens(F.col(text)).alias("_pieces")).withColumn("_table", table.scalar())
+        rows = rows.select(*kept, _let(F.col("_table"), lambda t: _let(F.col("_pieces"), lambda p: look_up(t, p))).alias("_s"))
         if self.tail == "fold":
-            rows = rows.select(*kept, "_known", rare.alias("_rare"), places.alias("_at"))
             rows = rows.withColumn("_pairs", self._pairs.scalar()).withColumn("_bytes", self._bytes.scalar())
-            tail = _let(F.col("_pairs"), lambda p: _let(F.col("_bytes"), lambda b: F.transform(
-                F.col("_rare"), lambda w: self._fold(p, b, w))))
+            rows = rows.select(*kept, _let(F.col("_pairs"), lambda p: _let(F.col("_bytes"), lambda b: _let(
+                F.col("_s"), lambda s: F.struct(s.alias("s"), F.transform(s["rare"], lambda w: self._fold(p, b, w)).alias("t"))))).alias("_f"))
+            rows = rows.select(*kept, F.col("_f.s").alias("_s"), F.col("_f.t").alias("_tail"))
         else:
-            rows = rows.select(*kept, "_known", rare.alias("_rare"), places.alias("_at"))
-            tail = self._tail()(F.col("_rare"))
-        rows = rows.select(*kept, "_known", "_at", tail.alias("_tail"))
-        full = F.transform("_known", lambda k, i: F.coalesce(k, F.col("_tail")[F.array_position(F.col("_at"), i).cast("int") - 1]))
+            rows = rows.select(*kept, "_s", self._tail()(F.col("_s.rare")).alias("_tail"))
+        full = _let(F.col("_s"), lambda s: F.transform(s["known"], lambda k, i: F.coalesce(
+            k, F.col("_tail")[F.array_position(s["at"], i).cast("int") - 1])))
         return rows.select(*kept, F.flatten(full).alias(ids))
 
     # -- decoding -----------------------------------------------------------
 
     def _joined(self, docs: DataFrame, ids: str, names: DataFrame, out: str) -> DataFrame:
-        kept = [c for c in docs.columns if c != out]
-        pieces = _let(F.col("_names"), lambda t: F.array_join(F.transform(F.col(ids), lambda i: t[i]), ""))
-        return docs.withColumn("_names", names.scalar()).select(*kept, F.unhex(pieces).alias(out))
+        """The name of every id, in a row.  Ids and names are bound once, in one expression: the table of names must
+        not become a column of its own, or Spark copies it for every row."""
+        kept = [c for c in docs.columns if c not in (ids, out)]
+        pieces = lambda t, x: F.unhex(F.array_join(F.transform(x, lambda i: t[i]), ""))
+        both = _let(F.col("_names"), lambda t: _let(F.col(ids), lambda x: F.struct(x.alias("x"), pieces(t, x).alias("y"))))
+        rows = docs.withColumn("_names", names.scalar()).select(*kept, both.alias("_s"))
+        return rows.select(*kept, F.col("_s.x").alias(ids), F.col("_s.y").alias(out))
 
     def decode(self, docs: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """``docs`` with the bytes of every id list: the binary pieces in a row.  Null ids give null."""
