@@ -62,23 +62,35 @@ class RiskUpdates(StatefulProcessor):
         pass
 
 
+#: What one update assumes of a wallet that has neither a score nor reasons.
+DEFAULT_SCORE = 50.0
+DEFAULT_CHANGE = -float(int(P.DEFAULT_PRIOR * 100))
+
+
 def risk_inputs(scores: DataFrame, reasons: DataFrame, priors: DataFrame) -> DataFrame:
-    """Per wallet: current score and the change one update applies.
+    """Per wallet with a score or a reason: current score and the change one update applies.
 
     reasons: wallet, code, weight, days_old (one row per wallet and code).
     """
     no_cluster = reasons.select("wallet").distinct().withColumns({"cluster_size": F.lit(0), "flow_amount": F.lit(0)})
     placed = reasons.withColumn("graph_distance", F.lit(1))
-    df = assemble(scores.select("wallet", "score"),
+    known = scores.select("wallet").union(reasons.select("wallet")).distinct()
+    df = assemble(known, scores.select("wallet", "score"),
                   dynamic_penalty(placed, no_cluster), bayes_posterior(reasons, priors).select("wallet", "posterior"))
     post = F.coalesce("posterior", F.lit(P.DEFAULT_PRIOR))
     change = F.coalesce("penalty", F.lit(0)) - (post * 100).cast("int")
-    return df.select("wallet", F.coalesce("score", F.lit(50.0)).alias("score"), change.cast("double").alias("change"))
+    return df.select("wallet", F.coalesce("score", F.lit(DEFAULT_SCORE)).alias("score"), change.cast("double").alias("change"))
 
 
 def stream_risk_update(stream: DataFrame, inputs: DataFrame, min_gap_s: int = 300) -> DataFrame:
-    """Both ends of each transfer are rescored; ``inputs`` comes from ``risk_inputs``."""
-    ends = both_ends(stream, "ts").select("wallet", "ts").join(inputs, "wallet")
+    """Both ends of each transfer are rescored; ``inputs`` comes from ``risk_inputs``.
+
+    Wallets without a row there start from the default score.  A wallet keeps the score it had when first seen;
+    the change is read from ``inputs`` with every batch.
+    """
+    ends = both_ends(stream, "ts").select("wallet", "ts").join(inputs, "wallet", "left").select(
+        "wallet", "ts", F.coalesce("score", F.lit(DEFAULT_SCORE)).alias("score"),
+        F.coalesce("change", F.lit(DEFAULT_CHANGE)).alias("change"))
     return ends.groupBy("wallet").transformWithStateInPandas(
         RiskUpdates(min_gap_s), outputStructType="wallet string, ts bigint, new_score int", outputMode="append", timeMode="none")
 

@@ -141,3 +141,14 @@ def test_stream_features_equal_batch_after_several_batches(spark, small, tmp_pat
     want = wallet_features(v.transfers)
     cols = sorted(want.columns)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_risk_inputs_cover_wallets_without_score(spark):
+    from ledgerwise.streaming.stateful import DEFAULT_CHANGE, risk_inputs
+
+    scores = spark.createDataFrame([("a", 80.0)], "wallet string, score double")
+    reasons = spark.createDataFrame([("b", "X", -10.0, 1.0)], "wallet string, code string, weight double, days_old double")
+    priors = spark.createDataFrame([], "wallet string, prior double")
+    rows = {r.wallet: r for r in risk_inputs(scores, reasons, priors).collect()}
+    assert rows["a"].score == 80.0 and rows["a"].change == DEFAULT_CHANGE
+    assert rows["b"].score == 50.0 and rows["b"].change < 0
