@@ -134,9 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirmed(pairs: DataFrame) -> DataFrame:
         return cut_lineage(_confirmed(cut_lineage(_screened(sketched(pairs.distinct()))), texts))
 
-    def apart(links: DataFrame) -> DataFrame:
+    def apart(comps: DataFrame) -> DataFrame:
         """Members (key, doc_id, comp) of the buckets that hold more than one component."""
-        comps = connected_components(links.select("a", "b")).select(F.col("wallet").alias("doc_id"), "component")
         placed = member.select("key", "doc_id").join(comps, "doc_id", "left").select(
             "key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
         mixed = cut_lineage(placed.groupBy("key").agg(
@@ -145,17 +144,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .filter("lo < hi").select("key", "pivot", "pivot_comp"))
         return cut_lineage(placed.join(mixed, "key"))
 
+    def components(links: DataFrame) -> DataFrame:
+        return cut_lineage(connected_components(links).select(F.col("wallet").alias("doc_id"), "component"))
+
     links = confirmed(member.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
-    rest = apart(links)
+    stars = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("component"))
+    rest = apart(stars)  # the least centre stands for the component here: finer, so no pair is passed over
     links = cut_lineage(links.union(confirmed(rest.filter("comp <> pivot_comp").select(
         F.col("pivot").alias("a"), F.col("doc_id").alias("b")))))
-    rest = cut_lineage(apart(links).join(sketches, "doc_id"))
-    left = rest.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
-    right = rest.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
-    across = left.join(right, "key").filter("ca < cb").select("a", "b", "sa", "sb")
-    links = cut_lineage(links.union(cut_lineage(_confirmed(cut_lineage(_screened(across).distinct()), texts))))
-
-    comps = connected_components(links.select("a", "b")).select(F.col("wallet").alias("rep"), "component")
+    comps = components(links)
+    rest = apart(comps)
+    if not rest.isEmpty():
+        rest = cut_lineage(rest.join(sketches, "doc_id"))
+        left = rest.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
+        right = rest.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
+        across = left.join(right, "key").filter("ca < cb").select("a", "b", "sa", "sb")
+        more = cut_lineage(_confirmed(cut_lineage(_screened(across).distinct()), texts))
+        if not more.isEmpty():
+            comps = components(links.union(more))
+
+    comps = comps.withColumnRenamed("doc_id", "rep")
     named = cut_lineage(classes.join(comps, "rep", "left").filter("n > 1 OR component IS NOT NULL").select(
         "set_key", F.coalesce("component", "rep").alias("component")))
     out = sigs.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
