@@ -5,8 +5,8 @@
    counts the samples that differ.
 2. Documents with equal sets become one class; only the smallest id of a class goes on.
 3. In a bucket (documents with a common band key) every member meets one centre, not every other member.  Members
-   that end in another component than the rest of their bucket meet a second, random centre.  What is still apart
-   then is compared across components.  So a group of thousands of copies costs one pair each, and no link between
+   that end in another component than the rest of their bucket meet further, random centres.  What is still apart
+   then is compared across components, in one of the buckets that a pair shares.  So a group of thousands of copies costs one pair each, and no link between
    members of different components of a bucket stays untested.
 4. A pair whose sketches agree enough is confirmed on both full sets: 100 * |A and B| >= 75 * |A or B|.
 
@@ -37,6 +37,8 @@ SKETCH_BITS = 512
 #: Estimated similarity from which a pair is confirmed: the limit less five deviations of 128 samples.
 SCREEN = 0.55
 PERCENT = 75
+#: Further random centres per bucket that is not of one component.
+PIVOTS = 3
 
 _SAMPLES = BANDS * ROWS
 _A = mix(np.arange(1, _SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -134,13 +136,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirmed(pairs: DataFrame) -> DataFrame:
         return cut_lineage(_confirmed(cut_lineage(_screened(sketched(pairs.distinct()))), texts))
 
-    def apart(comps: DataFrame) -> DataFrame:
-        """Members (key, doc_id, comp) of the buckets that hold more than one component."""
+    def apart(comps: DataFrame, seed: int) -> DataFrame:
+        """Members (key, doc_id, comp) of the buckets that hold more than one component, with a pivot by the seed."""
         placed = member.select("key", "doc_id").join(comps, "doc_id", "left").select(
             "key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        order = F.xxhash64("doc_id", F.lit(seed))
         mixed = cut_lineage(placed.groupBy("key").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min_by("doc_id", F.xxhash64("doc_id")).alias("pivot"), F.min_by("comp", F.xxhash64("doc_id")).alias("pivot_comp"))
+            F.min_by("doc_id", order).alias("pivot"), F.min_by("comp", order).alias("pivot_comp"))
             .filter("lo < hi").select("key", "pivot", "pivot_comp"))
         return cut_lineage(placed.join(mixed, "key"))
 
@@ -148,17 +151,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut_lineage(connected_components(links).select(F.col("wallet").alias("doc_id"), "component"))
 
     links = confirmed(member.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
-    stars = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("component"))
-    rest = apart(stars)  # the least centre stands for the component here: finer, so no pair is passed over
-    links = cut_lineage(links.union(confirmed(rest.filter("comp <> pivot_comp").select(
-        F.col("pivot").alias("a"), F.col("doc_id").alias("b")))))
+    for seed in range(PIVOTS):
+        # the least linked id stands for the component here: finer, so no pair is passed over
+        ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        stars = ends.groupBy(F.col("e.b").alias("doc_id")).agg(F.least(F.min("e.a"), F.first("e.b")).alias("component"))
+        rest = apart(stars, seed)
+        if rest.isEmpty():
+            break
+        links = cut_lineage(links.union(confirmed(rest.filter("comp <> pivot_comp").select(
+            F.col("pivot").alias("a"), F.col("doc_id").alias("b")))))
     comps = components(links)
-    rest = apart(comps)
+    rest = apart(comps, PIVOTS)
     if not rest.isEmpty():
-        rest = cut_lineage(rest.join(sketches, "doc_id"))
-        left = rest.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
-        right = rest.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
-        across = left.join(right, "key").filter("ca < cb").select("a", "b", "sa", "sb")
+        rest = rest.join(reps, "doc_id").select("key", "doc_id", "comp", "sketch", "bands")
+        rest = cut_lineage(rest)
+        left = rest.select("key", *[F.col(c).alias(d) for c, d in (("doc_id", "a"), ("comp", "ca"), ("sketch", "sa"), ("bands", "ka"))])
+        right = rest.select("key", *[F.col(c).alias(d) for c, d in (("doc_id", "b"), ("comp", "cb"), ("sketch", "sb"), ("bands", "kb"))])
+        once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]  # a pair counts in one of its buckets
+        across = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & once).select("a", "b", "sa", "sb")
         more = cut_lineage(_confirmed(cut_lineage(_screened(across).distinct()), texts))
         if not more.isEmpty():
             comps = components(links.union(more))
