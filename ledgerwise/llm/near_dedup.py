@@ -5,10 +5,14 @@
    counts the samples that differ.
 2. Documents with equal sets become one class; only the smallest id of a class goes on.
 3. In a bucket (documents with a common band key) every member meets one centre, not every other member.  Members
-   that end in another component than the rest of their bucket meet further, random centres.  What is still apart
-   then is compared across components, in one of the buckets that a pair shares.  So a group of thousands of copies costs one pair each, and no link between
-   members of different components of a bucket stays untested.
-4. A pair whose sketches agree enough is confirmed on both full sets: 100 * |A and B| >= 75 * |A or B|.
+   that end in another component than the rest of their bucket meet further, random centres.
+4. What is still apart then is compared across components.  Let a shingle be rare if at most ``RARE`` of these
+   documents have it.  A linked pair either shares a rare shingle, and an index of the rare ones finds it with at most
+   ``RARE`` partners per entry; or it shares only common ones, and then its union holds the rare shingles of both:
+   100 * min(c) >= 75 * (r + r' + max(c)) for r rare and c common shingles of each.  Few pairs of a bucket meet that
+   bound, which is exact.  So no link between different components of a bucket stays untested, and a group of
+   thousands of copies costs a few pairs each.
+5. A pair whose sketches agree enough is confirmed on both full sets: 100 * |A and B| >= 75 * |A or B|.
 
 A link at the limit of 0.75 shares none of the 32 bands with probability 5e-6 and fails the sketch with less than
 1e-6; links of higher similarity fail far more seldom.
@@ -39,6 +43,8 @@ SCREEN = 0.55
 PERCENT = 75
 #: Further random centres per bucket that is not of one component.
 PIVOTS = 3
+#: A shingle that at most so many of the compared documents have is rare.
+RARE = 8
 
 _SAMPLES = BANDS * ROWS
 _A = mix(np.arange(1, _SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -111,6 +117,44 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInPandas(check, "a bigint, b bigint")
 
 
+def _postings(batches: Iterator[pd.DataFrame], rows: int = 200_000) -> Iterator[pd.DataFrame]:
+    """(doc_id, h): each shingle of each document."""
+    hashes = WordHashes()
+    for batch in batches:
+        for doc, text in zip(batch["doc_id"], batch["text"]):
+            s = shingle_set(text, hashes).view(np.int64)
+            for i in range(0, len(s), rows):
+                yield pd.DataFrame({"doc_id": doc, "h": s[i:i + rows]})
+
+
+def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of different components of a bucket that may be linked.  rest: key, doc_id, comp."""
+    nodes = cut_lineage(rest.select("doc_id", "comp").distinct().join(reps.select("doc_id", "n_shingles"), "doc_id"))
+    postings = cut_lineage(texts.join(nodes.select("doc_id"), "doc_id").mapInPandas(_postings, "doc_id bigint, h bigint"))
+    known = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = cut_lineage(postings.join(known, "h"))
+
+    def side(df: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+        return df.select(key, *[F.col(c).alias(d) for c, d in names.items()])
+
+    listed = shared.filter(F.col("df") <= RARE).select("h", "doc_id").join(nodes, "doc_id")
+    left = side(listed, "h", {"doc_id": "a", "comp": "ca", "n_shingles": "na"})
+    right = side(listed, "h", {"doc_id": "b", "comp": "cb", "n_shingles": "nb"})
+    sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    by_rare = left.join(right, (left["h"] == right["h"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes)
+
+    common = shared.filter(F.col("df") > RARE).groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
+    counted = nodes.join(common, "doc_id").select("doc_id", "common", (F.col("n_shingles") - F.col("common")).alias("rare"))
+    counted = counted.filter(100 * F.col("common") >= PERCENT * (F.col("rare") + F.col("common")))
+    placed = cut_lineage(rest.select("key", "doc_id", "comp").join(counted, "doc_id").join(reps.select("doc_id", "bands"), "doc_id"))
+    left = side(placed, "key", {"doc_id": "a", "comp": "ca", "common": "na", "rare": "ra", "bands": "ka"})
+    right = side(placed, "key", {"doc_id": "b", "comp": "cb", "common": "nb", "rare": "rb", "bands": "kb"})
+    bound = 100 * F.least("na", "nb") >= PERCENT * (F.col("ra") + F.col("rb") + F.greatest("na", "nb"))
+    once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]  # a pair counts in one of its buckets
+    by_common = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & bound & once)
+    return by_rare.select("a", "b").union(by_common.select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -119,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = sigs.filter("n_shingles > 0")
     classes = cut_lineage(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     reps = filled.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "leftsemi")
-    reps = cut_lineage(reps.select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]))
+    reps = cut_lineage(reps.select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"]))
 
     member = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = cut_lineage(member.groupBy("key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("n"))
@@ -163,13 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(links)
     rest = apart(comps, PIVOTS)
     if not rest.isEmpty():
-        rest = rest.join(reps, "doc_id").select("key", "doc_id", "comp", "sketch", "bands")
-        rest = cut_lineage(rest)
-        left = rest.select("key", *[F.col(c).alias(d) for c, d in (("doc_id", "a"), ("comp", "ca"), ("sketch", "sa"), ("bands", "ka"))])
-        right = rest.select("key", *[F.col(c).alias(d) for c, d in (("doc_id", "b"), ("comp", "cb"), ("sketch", "sb"), ("bands", "kb"))])
-        once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]  # a pair counts in one of its buckets
-        across = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & once).select("a", "b", "sa", "sb")
-        more = cut_lineage(_confirmed(cut_lineage(_screened(across).distinct()), texts))
+        more = confirmed(_across(rest, reps, texts))
         if not more.isEmpty():
             comps = components(links.union(more))
 

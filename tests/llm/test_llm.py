@@ -36,6 +36,12 @@ def test_near_duplicates_match_all_pairs(spark, docs, table):
 
     base = " ".join(f"w{i}" for i in range(60))
     copies = [(1000 + k, base.replace(f"w{k} ", f"v{k} ")) for k in range(20)] + [(2000 + k, base) for k in range(30)]
+    rng = np.random.default_rng(3)  # a group whose members are similar to each other from 0.4 to 0.9
+    for k in range(120):
+        w = [f"g{i}" for i in range(100)]
+        for i in rng.choice(100, rng.integers(1, 9), replace=False):
+            w[i] = f"x{rng.integers(0, 30)}"
+        copies.append((3000 + k, " ".join(w)))
     extra = spark.createDataFrame(copies, "doc_id bigint, text string")
     rows = docs.select("doc_id", "text").union(table.selectExpr("doc_id + 5000", "text").limit(150)).union(extra)
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(rows).collect()}
