@@ -41,8 +41,8 @@ SKETCH_BITS = 512
 #: Estimated similarity from which a pair is confirmed: the limit less five deviations of 128 samples.
 SCREEN = 0.55
 PERCENT = 75
-#: Further random centres per bucket that is not of one component.
-PIVOTS = 3
+#: Rounds with a further random centre for buckets of several components; the exact step after them grows cheaper.
+PIVOTS = 1
 #: A shingle that at most so many of the compared documents have is rare.
 RARE = 8
 
