@@ -19,19 +19,19 @@ SQL_VIEWS["tx_prog"] = """SELECT DISTINCT signature, wallet, p FROM (
 SQL_VIEWS["metrics"] = f"""SELECT b.wallet, tx_count, wallet_age_days, coalesce(u, 0) AS unique_programs,
     coalesce(t, 0) AS token_accounts FROM (
       SELECT wallet, count(*) AS tx_count, ({AS_OF_ORDERS} - min(block_time)) // {DAY} AS wallet_age_days
-      FROM tx_rank WHERE rn <= 1000 GROUP BY 1) b
-    LEFT JOIN (SELECT r.wallet, count(DISTINCT p) AS u FROM tx_rank r JOIN tx_prog USING (signature) WHERE rn <= 20
+      FROM tx_rank GROUP BY 1) b
+    LEFT JOIN (SELECT r.wallet, count(DISTINCT p) AS u FROM tx_rank r JOIN tx_prog USING (signature)
       GROUP BY 1) p ON p.wallet = b.wallet
     LEFT JOIN (SELECT wallet, count(*) AS t FROM token_accounts GROUP BY 1) h ON h.wallet = b.wallet"""
 SQL_VIEWS["avg_val"] = f"""SELECT wallet, sum(total + 10000) / count(*)::DOUBLE / {D} AS sol FROM (
     SELECT l.signature, l.wallet, sum(lamports) AS total FROM tx_lines l JOIN tx_rank r ON r.signature = l.signature
-    WHERE rn <= 100 GROUP BY 1, 2) GROUP BY 1"""
+    GROUP BY 1, 2) GROUP BY 1"""
 SQL_VIEWS["dexlp"] = """SELECT r.wallet, count(DISTINCT CASE WHEN p = 'RF' THEN signature END) AS dex,
     count(DISTINCT CASE WHEN p IN ('AF', 'inner-N') THEN signature END) AS lp
-    FROM tx_rank r JOIN tx_prog USING (signature) WHERE rn <= 50 GROUP BY 1"""
+    FROM tx_rank r JOIN tx_prog USING (signature) GROUP BY 1"""
 SQL_VIEWS["nfts"] = """SELECT wallet, count(*) FILTER (decimals = 0 AND amount = 1) AS n FROM token_accounts GROUP BY 1"""
 SQL_VIEWS["cl_est"] = """SELECT r.wallet, greatest(1, count(DISTINCT supplier)) AS n FROM tx_rank r
-    JOIN tx_lines USING (signature) WHERE rn <= 30 GROUP BY 1"""
+    JOIN tx_lines USING (signature) GROUP BY 1"""
 SQL_VIEWS["wtype"] = """SELECT wallet, CASE WHEN token_accounts > 20 THEN 'nft_wallet'
     WHEN tx_count < 10 AND wallet_age_days > 365 THEN 'cold_wallet'
     WHEN tx_count > 500 AND unique_programs <= 5 THEN 'service_wallet'
@@ -51,13 +51,12 @@ SQL_VIEWS["bad_prog"] = """SELECT DISTINCT l_returnflag || l_linestatus AS p FRO
 SQL_VIEWS["scam_prog"] = """SELECT w.wallet, coalesce(n, 0) AS interactions, coalesce(ps, '') AS programs
     FROM (SELECT DISTINCT wallet FROM tx_heads) w LEFT JOIN (
       SELECT r.wallet, count(DISTINCT signature) AS n, string_agg(DISTINCT p, ',' ORDER BY p) AS ps FROM tx_rank r
-      JOIN tx_prog USING (signature) WHERE rn <= 30 AND p IN (FROM bad_prog) GROUP BY 1) x USING (wallet)"""
+      JOIN tx_prog USING (signature) WHERE p IN (FROM bad_prog) GROUP BY 1) x USING (wallet)"""
 SQL_VIEWS["bad_mint"] = "SELECT mint FROM tokens WHERE mint_authority IS NOT NULL AND freeze_authority IS NOT NULL"
 SQL_VIEWS["rug"] = """SELECT wallet, count(*) AS interactions, string_agg(mint, ',' ORDER BY mint) AS tokens_held
     FROM token_accounts WHERE mint IN (FROM bad_mint) GROUP BY 1"""
 SQL_VIEWS["nft_held"] = """SELECT a.wallet, a.mint, mint_authority, creator_wallets FROM (
-      SELECT * FROM token_accounts WHERE decimals = 0 AND amount = 1
-      QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY mint) <= 50) a
+      SELECT * FROM token_accounts WHERE decimals = 0 AND amount = 1) a
     JOIN tokens t USING (mint) WHERE collection LIKE 'P%'"""
 SQL_VIEWS["nft_role"] = """SELECT *, CASE WHEN minted > 0 OR is_creator OR distributed >= 10 THEN 'scammer'
       WHEN received > 0 AND distributed > 0 THEN 'participant' WHEN received > 0 THEN 'victim' ELSE 'none' END AS role
@@ -66,8 +65,8 @@ SQL_VIEWS["nft_role"] = """SELECT *, CASE WHEN minted > 0 OR is_creator OR distr
       FROM (SELECT DISTINCT wallet FROM token_accounts) w
       LEFT JOIN (SELECT wallet, count(*) AS received, count(*) FILTER (mint_authority = wallet) AS minted,
         bool_or(list_contains(creator_wallets, wallet)) AS is_creator FROM nft_held GROUP BY 1) USING (wallet)
-      LEFT JOIN (SELECT l.wallet, least(20, count(*)) AS distributed FROM tx_lines l JOIN tx_rank r ON r.signature = l.signature
-        JOIN nft_held h ON h.wallet = l.wallet AND h.mint = l.mint WHERE rn <= 100 AND l_returnflag = 'R' GROUP BY 1)
+      LEFT JOIN (SELECT l.wallet, count(*) AS distributed FROM tx_lines l JOIN tx_rank r ON r.signature = l.signature
+        JOIN nft_held h ON h.wallet = l.wallet AND h.mint = l.mint WHERE l_returnflag = 'R' GROUP BY 1)
       USING (wallet))"""
 SQL_VIEWS["ncluster"] = """SELECT wallet, count(*) AS cluster_size, CASE WHEN count(b) > 0 THEN 'HIGH' ELSE 'LOW' END
     AS cluster_risk FROM (SELECT DISTINCT k.wallet, k.node, s.wallet AS b FROM tx_keys k JOIN tx_newest30 n
@@ -95,9 +94,9 @@ SQL_VIEWS["rule_codes"] = """SELECT wallet, array_to_string(list_filter([
     FROM wrisk JOIN detect USING (wallet) JOIN wtype USING (wallet)"""
 SQL_VIEWS["basic_ml"] = f"""SELECT b.wallet, total_tx, account_age_days, coalesce(c, 0) AS unique_counterparties FROM (
     SELECT wallet, count(*) AS total_tx, CAST(({AS_OF_ORDERS} - min(block_time)) // {DAY} AS INTEGER) AS account_age_days
-    FROM tx_rank WHERE rn <= 100 GROUP BY 1) b LEFT JOIN (
+    FROM tx_rank GROUP BY 1) b LEFT JOIN (
     SELECT r.wallet, count(DISTINCT node) AS c FROM tx_rank r JOIN (SELECT signature, supplier AS node FROM tx_lines
-      UNION ALL SELECT signature, 'transfer-program' FROM tx_heads) USING (signature) WHERE rn <= 20 GROUP BY 1) k USING (wallet)"""
+      UNION ALL SELECT signature, 'transfer-program' FROM tx_heads) USING (signature) GROUP BY 1) k USING (wallet)"""
 
 
 def metrics(v):
@@ -108,7 +107,7 @@ def _parts(v):
     m = metrics(v)
     t = A.classify_wallet(m)
     r = A.risk_flags(m, t)
-    tx = A.ranked_tx(v.tx_raw, 100)
+    tx = v.tx_raw
     d = A.detector_table(
         m, A.scam_program_interactions(tx, v.scam_programs), A.rugpull_holdings(v.token_accounts, v.scam_tokens),
         A.nft_scam_role(v.token_accounts, v.tokens, tx, v.scam_collections),
@@ -121,6 +120,11 @@ def _(v):
     return metrics(v)
 
 
+@query("f16_metrics_newest", """SELECT wallet, count(*) AS tx_count FROM tx_rank WHERE rn <= 5 GROUP BY 1""")
+def _(v):
+    return A.wallet_metrics(v.tx_raw, v.token_accounts, AS_OF_ORDERS, n=5, n_programs=5).select("wallet", "tx_count")
+
+
 @query("f17_avg_tx_value", "SELECT wallet, round(sol, 6) AS sol FROM avg_val")
 def _(v):
     return A.avg_tx_value(v.tx_raw).withColumn("sol", F.round("sol", 6))
@@ -266,8 +270,7 @@ SQL_VIEWS["ev_ends"] = """SELECT sender AS wallet, receiver AS counterparty, tru
     FROM transfers_six_hour UNION ALL SELECT receiver, sender, false, signature, ts, amount_lamports
     FROM transfers_six_hour WHERE sender <> receiver"""
 SQL_VIEWS["ev_recent"] = """SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, signature DESC) AS rn,
-    count(*) OVER (PARTITION BY wallet) AS n FROM ev_ends
-    QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, signature DESC) <= 50"""
+    count(*) OVER (PARTITION BY wallet) AS n FROM ev_ends"""
 SQL_VIEWS["evid"] = f"""SELECT wallet, 'LOW_ACTIVITY' AS reason_code, signature AS tx_signature, NULL::VARCHAR AS counterparty,
       NULL::BIGINT AS amount, ts AS "timestamp" FROM ev_recent WHERE n < 5 AND rn = n
     UNION ALL SELECT wallet, 'NEW_WALLET', arg_min(signature, rn), NULL, NULL, min(ts) FROM ev_recent GROUP BY 1
@@ -283,6 +286,13 @@ def _(v):
     return E.evidence_scan(v.transfers_six_hour, v.scam_six_hour, AS_OF)
 
 
+@query("f35_high_value_newest", """SELECT wallet, signature AS tx_signature, counterparty, amount_lamports AS amount FROM (
+    SELECT * FROM ev_recent WHERE rn <= 10) WHERE counterparty <> wallet AND is_sender AND amount_lamports >= 100000000000""")
+def _(v):
+    rows = E.evidence_scan(v.transfers_six_hour, v.scam_six_hour, AS_OF, n=10)
+    return rows.filter("reason_code = 'HIGH_VALUE_OUTFLOW'").select("wallet", "tx_signature", "counterparty", "amount")
+
+
 @query("f36_tx_reason_detect", """WITH t AS (SELECT signature, wallet, block_time, any_value(o_orderstatus) = 'F' AS mint,
       any_value(o_orderpriority) LIKE '1%' AS rug, bool_or(lamports >= 40000000000000) AS big, bool_or(program_id = 'RO') AS shady,
       bool_or(supplier IN (FROM scam_suppliers)) AS bad FROM tx_lines
@@ -295,12 +305,24 @@ def _(v):
     return A.tx_reason_detect(v.tx_raw, v.scam_suppliers, ["RO"], known, min_sol=40_000)
 
 
-@query("f37_active_wallets", f"""SELECT rpad(wallet, 32, 'A') AS wallet, count(*) AS tx_count, min(ts) AS first_seen, max(ts) AS last_seen
+SQL_VIEWS["active_w"] = f"""SELECT rpad(wallet, 32, 'A') AS wallet, count(*) AS tx_count, min(ts) AS first_seen, max(ts) AS last_seen
     FROM ends WHERE ts >= {AS_OF - 30 * DAY} GROUP BY 1 HAVING count(*) >= 20 AND ({AS_OF} - min(ts)) // {DAY} >= 7
-    AND regexp_matches(rpad(wallet, 32, 'A'), '^[1-9A-HJ-NP-Za-km-z]{{32,44}}$') ORDER BY tx_count DESC, 1 LIMIT 50""")
-def _(v):
+    AND regexp_matches(rpad(wallet, 32, 'A'), '^[1-9A-HJ-NP-Za-km-z]{{32,44}}$')"""
+
+
+def _active(v, limit=None):
     t = v.transfers.withColumns({"sender": F.rpad("sender", 32, "A"), "receiver": F.rpad("receiver", 32, "A")})
-    return E.active_wallets(t, AS_OF, limit=50)
+    return E.active_wallets(t, AS_OF, limit=limit)
+
+
+@query("f37_active_wallets", "SELECT * FROM active_w")
+def _(v):
+    return _active(v)
+
+
+@query("f37_active_wallets_top", "SELECT * FROM active_w ORDER BY tx_count DESC, wallet LIMIT 50")
+def _(v):
+    return _active(v, 50)
 
 
 SQL_VIEWS["tok_vec"] = """SELECT wallet, max(mint_authority IS NOT NULL)::INT::DOUBLE AS mint_authority,

@@ -226,8 +226,7 @@ def _(v):
 _BURST = """SELECT bucket, wallet FROM (SELECT last_ts // {w} AS bucket, sender AS wallet FROM {e}
     UNION SELECT last_ts // {w}, receiver FROM {e})
     WHERE bucket IN (SELECT bucket FROM (SELECT last_ts // {w} AS bucket, sender AS wallet FROM {e}
-    UNION SELECT last_ts // {w}, receiver FROM {e}) GROUP BY 1 HAVING count(DISTINCT wallet) >= 2
-    ORDER BY bucket DESC LIMIT 50)"""
+    UNION SELECT last_ts // {w}, receiver FROM {e}) GROUP BY 1 HAVING count(DISTINCT wallet) >= 2)"""
 
 
 @query("g17_burst_timing_sets", _BURST.format(w=604800, e="edges"))
@@ -235,6 +234,12 @@ def _(v):
     return R.burst_timing_sets(G.transfer_edges(v.transfers))
 
 
+@query("g17_burst_timing_newest", f"""SELECT * FROM ({_BURST.format(w=3600, e="edges_six")})
+    QUALIFY dense_rank() OVER (ORDER BY bucket DESC) <= 50""")
+def _(v):
+    return R.burst_timing_sets(six(v), 3600, max_buckets=50)
+
+
 # one-hour windows on the six-hour graph: many separate clusters, some with several tags
 SQL_VIEWS["burst_six"] = _BURST.format(w=3600, e="edges_six")
 SQL_VIEWS["id_rows"] = """SELECT 'bidirectional' AS tag, a || '|' || b AS sid, unnest([a, b]) AS wallet FROM bidir_six

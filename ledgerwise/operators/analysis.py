@@ -1,7 +1,7 @@
 """Wallet analysis over raw transactions: metrics, type, risk flags, detectors and rule score.
 
-All "newest N transactions" limits come from one ranking (``ranked_tx``): pass its
-result to several operators and the wallet is ranked once.
+Operators read all transactions.  A caller may limit them to the newest N per wallet; the limits come from one
+ranking (``ranked_tx``): pass its result to several operators and the wallet is ranked once.
 """
 
 from __future__ import annotations
@@ -15,36 +15,37 @@ from ledgerwise.sources.transactions import own_balance_change, programs_of
 # fixed values: wallet types in the order of their feature index
 WALLET_TYPES = ["cold_wallet", "service_wallet", "trader_wallet", "nft_wallet", "inactive_wallet", "unknown"]
 PROTECTED = ("cold_wallet", "service_wallet")
-SIGNATURE_LIMIT = 1000
 
 
-def ranked_tx(tx_raw: DataFrame, n: int = SIGNATURE_LIMIT) -> DataFrame:
-    """The newest ``n`` transactions of each wallet with their rank ``_rn``."""
+def ranked_tx(tx_raw: DataFrame, n: int | None = None) -> DataFrame:
+    """The newest ``n`` transactions of each wallet with their rank ``_rn``; all of them, as they are, without ``n``."""
+    if n is None:
+        return tx_raw
     if "_rn" in tx_raw.columns:
         return tx_raw.filter(F.col("_rn") <= n)
     return newest_n(tx_raw, ["wallet"], [F.coalesce("block_time", F.lit(0)).desc(), F.col("signature").desc()], n,
                     rank="_rn", salt_cols=["signature"])
 
 
-def wallet_metrics(tx_raw: DataFrame, token_accounts: DataFrame, as_of: int, n: int = SIGNATURE_LIMIT,
-                   n_programs: int = 20) -> DataFrame:
+def wallet_metrics(tx_raw: DataFrame, token_accounts: DataFrame, as_of: int, n: int | None = None,
+                   n_programs: int | None = None) -> DataFrame:
     tx = ranked_tx(tx_raw, n)
     age = F.floor((F.lit(as_of) - F.min("block_time")) / DAY)
     base = tx.groupBy("wallet").agg(F.count(F.lit(1)).alias("tx_count"),
                                     F.greatest(F.lit(0), age).alias("wallet_age_days"))
-    programs = tx.filter(F.col("_rn") <= n_programs).select("wallet", F.explode(programs_of()).alias("p")).groupBy(
+    programs = ranked_tx(tx, n_programs).select("wallet", F.explode(programs_of()).alias("p")).groupBy(
         "wallet").agg(F.count_distinct("p").alias("unique_programs"))
     held = token_accounts.filter("mint IS NOT NULL").groupBy("wallet").agg(F.count(F.lit(1)).alias("token_accounts"))
     return assemble(base, programs, held).fillna(0, ["unique_programs", "token_accounts"])
 
 
-def avg_tx_value(tx_raw: DataFrame, n: int = 100) -> DataFrame:
+def avg_tx_value(tx_raw: DataFrame, n: int | None = None) -> DataFrame:
     change = F.abs(own_balance_change())
     return ranked_tx(tx_raw, n).groupBy("wallet").agg(
         F.coalesce(F.try_divide(F.sum(change), F.count(change)) / float(LAMPORTS_PER_SOL), F.lit(0.0)).alias("sol"))
 
 
-def dex_lp_interactions(tx_raw: DataFrame, dex: list[str], lp: list[str], n: int = 50) -> DataFrame:
+def dex_lp_interactions(tx_raw: DataFrame, dex: list[str], lp: list[str], n: int | None = None) -> DataFrame:
     used = programs_of()
     touches = lambda ids: F.arrays_overlap(used, F.array(*[F.lit(x) for x in ids]))
     return ranked_tx(tx_raw, n).groupBy("wallet").agg(
@@ -62,7 +63,7 @@ def _counterparties(tx: DataFrame, known: list[str], min_len: int) -> DataFrame:
     return rows.filter((F.length(key) >= min_len) & (key != F.col("wallet")) & ~key.isin(*known))
 
 
-def cluster_size_estimate(tx_raw: DataFrame, known: list[str], n: int = 30, min_len: int = 32) -> DataFrame:
+def cluster_size_estimate(tx_raw: DataFrame, known: list[str], n: int | None = None, min_len: int = 32) -> DataFrame:
     tx = ranked_tx(tx_raw, n)
     found = _counterparties(tx, known, min_len).groupBy("wallet").agg(F.count_distinct("key").alias("n"))
     return tx.select("wallet").distinct().join(found, "wallet", "left").select(
@@ -105,8 +106,8 @@ def with_risk_flags(m: DataFrame) -> DataFrame:
         "risk_level", F.when(n == 0, "LOW").when(n <= 2, "MEDIUM").otherwise("HIGH"))
 
 
-def scam_program_interactions(tx_raw: DataFrame, blacklist: DataFrame, n: int = 30) -> DataFrame:
-    """Newest transactions that touch a blacklisted program.  The blacklist is joined by its key; Spark
+def scam_program_interactions(tx_raw: DataFrame, blacklist: DataFrame, n: int | None = None) -> DataFrame:
+    """Transactions that touch a blacklisted program.  The blacklist is joined by its key; Spark
     broadcasts it only when its measured size allows."""
     tx = ranked_tx(tx_raw, n)
     bad = blacklist.select(F.col("program_id").alias("p")).distinct()
@@ -125,8 +126,10 @@ def rugpull_holdings(token_accounts: DataFrame, blacklist: DataFrame) -> DataFra
 
 
 def nft_scam_role(token_accounts: DataFrame, tokens: DataFrame, tx_raw: DataFrame, collections: DataFrame,
-                  max_nfts: int = 50, n: int = 100, mass: int = 10) -> DataFrame:
-    nfts = newest_n(token_accounts.filter("decimals = 0 AND amount = 1"), ["wallet"], [F.col("mint")], max_nfts)
+                  max_nfts: int | None = None, n: int | None = None, mass: int = 10) -> DataFrame:
+    nfts = token_accounts.filter("decimals = 0 AND amount = 1")
+    if max_nfts is not None:
+        nfts = newest_n(nfts, ["wallet"], [F.col("mint")], max_nfts)
     scam = tokens.join(collections.select("collection").distinct(), "collection", "left_semi").select(
         "mint", "mint_authority", "creator_wallets")
     held = nfts.select("wallet", "mint").join(scam, "mint")
@@ -141,7 +144,7 @@ def nft_scam_role(token_accounts: DataFrame, tokens: DataFrame, tx_raw: DataFram
     own = F.filter(dropped, lambda q: q["owner"] == F.col("wallet"))
     sent = ranked_tx(tx_raw, n).select("wallet", F.explode(own).alias("q")).select("wallet", F.col("q.mint").alias("mint"))
     out = sent.join(held.select("wallet", "mint"), ["wallet", "mint"], "left_semi").groupBy("wallet").agg(
-        F.least(F.lit(2 * mass), F.count(F.lit(1))).alias("distributed"))
+        F.count(F.lit(1)).alias("distributed"))
     all_wallets = token_accounts.select("wallet").distinct()
     full = all_wallets.join(roles, "wallet", "left").join(out, "wallet", "left").fillna(
         {"received": 0, "minted": 0, "distributed": 0, "is_creator": False})
@@ -252,12 +255,12 @@ def normalized_features(analysis: DataFrame) -> DataFrame:
     )
 
 
-def basic_ml_features(tx_raw: DataFrame, as_of: int, n: int = 100, n_keys: int = 20) -> DataFrame:
+def basic_ml_features(tx_raw: DataFrame, as_of: int, n: int | None = None, n_keys: int | None = None) -> DataFrame:
     tx = ranked_tx(tx_raw, n)
     base = tx.groupBy("wallet").agg(
         F.count(F.lit(1)).alias("total_tx"),
         F.coalesce(F.floor((F.lit(as_of) - F.min("block_time")) / DAY), F.lit(0)).cast("int").alias("account_age_days"))
-    keys = _counterparties(tx.filter(F.col("_rn") <= n_keys), [""], 1).groupBy("wallet").agg(
+    keys = _counterparties(ranked_tx(tx, n_keys), [""], 1).groupBy("wallet").agg(
         F.count_distinct("key").alias("unique_counterparties"))
     return base.join(keys, "wallet", "left").fillna(0, ["unique_counterparties"])
 

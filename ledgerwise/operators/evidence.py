@@ -32,11 +32,12 @@ def wallet_meta(transfers: DataFrame, previous: DataFrame, as_of: int, scam_tx:
                       F.when(F.col("_scam_ts").isNull(), 9999).otherwise(days("_scam_ts")).alias("last_scam_days"))
 
 
-def evidence_scan(transfers: DataFrame, scam: DataFrame, as_of: int, n: int = 50, low_tx: int = 5,
+def evidence_scan(transfers: DataFrame, scam: DataFrame, as_of: int, n: int | None = None, low_tx: int = 5,
                   new_days: int = 3, high_sol: float = 100.0) -> DataFrame:
-    """Evidence rows of each wallet's newest ``n`` transfers."""
+    """Evidence rows of each wallet's transfers, or of its newest ``n``."""
     ends = both_ends(transfers, "signature", "ts", "amount_lamports")
-    recent = newest_n(ends, ["wallet"], [F.coalesce("ts", F.lit(0)).desc(), F.col("signature").desc()], n)
+    recent = ends if n is None else newest_n(
+        ends, ["wallet"], [F.coalesce("ts", F.lit(0)).desc(), F.col("signature").desc()], n)
     order = F.struct(F.coalesce("ts", F.lit(0)), "signature")
     summary = recent.groupBy("wallet").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("oldest"),
@@ -79,9 +80,9 @@ def merge_stats(*parts: DataFrame) -> DataFrame:
 
 
 def active_wallets(transfers: DataFrame, as_of: int, days: int = 30, min_tx: int = 20, min_age: int = 7,
-                   limit: int = 500, check_address: bool = True) -> DataFrame:
+                   limit: int | None = None, check_address: bool = True) -> DataFrame:
     stats = activity_stats(transfers, as_of, days).filter(
         (F.col("tx_count") >= min_tx) & (F.floor((F.lit(as_of) - F.col("first_seen")) / DAY) >= min_age))
     if check_address:
         stats = stats.filter(valid_address(F.col("wallet")))
-    return stats.orderBy(F.desc("tx_count"), "wallet").limit(limit)
+    return stats if limit is None else stats.orderBy(F.desc("tx_count"), "wallet").limit(limit)

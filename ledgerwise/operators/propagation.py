@@ -114,14 +114,15 @@ def fan_out_sets(edges: DataFrame, min_fan: int = 2) -> DataFrame:
     return sets.union(sets.select("sender", F.col("sender").alias("wallet")).distinct())
 
 
-def burst_timing_sets(edges: DataFrame, window_s: int = 604_800, max_buckets: int = 50) -> DataFrame:
-    """Rows (bucket, wallet) of the newest ``max_buckets`` time buckets with at least two wallets."""
+def burst_timing_sets(edges: DataFrame, window_s: int = 604_800, max_buckets: int | None = None) -> DataFrame:
+    """Rows (bucket, wallet) of the time buckets with at least two wallets, or of the newest ``max_buckets`` of them."""
     rows = edges.filter("last_ts IS NOT NULL").select(
         F.floor(F.col("last_ts") / window_s).alias("bucket"),
         F.explode(F.array("sender", "receiver")).alias("wallet")).distinct()
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
-    newest = sizes.orderBy(F.desc("bucket")).limit(max_buckets).select("bucket")
-    return rows.join(F.broadcast(newest), "bucket", "left_semi")
+    if max_buckets is not None:
+        sizes = sizes.orderBy(F.desc("bucket")).limit(max_buckets)
+    return rows.join(sizes.select("bucket"), "bucket", "left_semi")
 
 
 def identity_clusters(edges: DataFrame, cfg: P.ClusterConfig = P.ClusterConfig()) -> DataFrame:

@@ -148,7 +148,7 @@ class ClusterConfig:
     min_fan: int = 2
     min_tx: int = 2
     window_s: int = 604_800
-    max_buckets: int = 50
+    max_buckets: int | None = None  # newest buckets only, when set
     min_confidence: float = 0.3
     max_edges: int | None = None  # newest edges only, when set
 

@@ -25,9 +25,10 @@ class Blacklists:
 
 
 def wallet_analysis(tx_raw: DataFrame, token_accounts: DataFrame, tokens: DataFrame, lists: Blacklists, as_of: int,
-                    ml_scores: DataFrame | None = None, blend: float = 0.3, min_key_len: int = 32) -> DataFrame:
-    """One row per wallet.  The transactions are ranked once; all detectors read the columns they need from the stored ranking."""
-    tx = cut_lineage(A.ranked_tx(tx_raw))
+                    ml_scores: DataFrame | None = None, blend: float = 0.3, min_key_len: int = 32,
+                    newest: int | None = None) -> DataFrame:
+    """One row per wallet over all transactions, or over the ``newest`` ones of each wallet, ranked and stored once."""
+    tx = tx_raw if newest is None else cut_lineage(A.ranked_tx(tx_raw, newest))
     metrics = A.wallet_metrics(tx, token_accounts, as_of)
     detectors = A.detector_parts(
         A.scam_program_interactions(tx, lists.scam_programs), A.rugpull_holdings(token_accounts, lists.scam_tokens),
