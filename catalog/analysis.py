@@ -111,7 +111,7 @@ def _parts(v):
     d = A.detector_table(
         m, A.scam_program_interactions(tx, v.scam_programs), A.rugpull_holdings(v.token_accounts, v.scam_tokens),
         A.nft_scam_role(v.token_accounts, v.tokens, tx, v.scam_collections),
-        neighborhood_cluster(tx, v.scam_suppliers, ["transfer-program"]))
+        neighborhood_cluster(tx, v.scam_suppliers, ["transfer-program"], min_len=1))
     return m, t, r, d
 
 

@@ -353,9 +353,10 @@ SQL_VIEWS["tx_newest30"] = """SELECT wallet, signature FROM tx_heads
 @query("g25_neighborhood_cluster", """SELECT wallet, 'cluster_' || substr(sha256(string_agg(node, ' ' ORDER BY node)), 1, 12)
     AS cluster_id, count(*) AS cluster_size, CASE WHEN count(b) > 0 THEN 'HIGH' ELSE 'LOW' END AS cluster_risk
     FROM (SELECT DISTINCT k.wallet, k.node, s.wallet AS b FROM tx_keys k JOIN tx_newest30 n
-      ON n.signature = k.signature LEFT JOIN scam_suppliers s ON s.wallet = k.node) GROUP BY 1""")
+      ON n.signature = k.signature LEFT JOIN scam_suppliers s ON s.wallet = k.node
+      WHERE k.node = k.wallet OR length(k.node) BETWEEN 3 AND 48) GROUP BY 1""")
 def _(v):
-    return G.neighborhood_cluster(v.tx_raw, v.scam_suppliers, ["transfer-program"])
+    return G.neighborhood_cluster(v.tx_raw, v.scam_suppliers, ["transfer-program"], min_len=3)
 
 
 SQL_VIEWS["sus_tx"] = """SELECT wallet, count(*) FILTER (wallet IN (FROM scam_wallets) OR counterparty IN (FROM scam_wallets))

@@ -33,7 +33,7 @@ def wallet_analysis(tx_raw: DataFrame, token_accounts: DataFrame, tokens: DataFr
     detectors = A.detector_parts(
         A.scam_program_interactions(tx, lists.scam_programs), A.rugpull_holdings(token_accounts, lists.scam_tokens),
         A.nft_scam_role(token_accounts, tokens, tx, lists.scam_collections),
-        neighborhood_cluster(tx, lists.scam_wallets, lists.known_programs),
+        neighborhood_cluster(tx, lists.scam_wallets, lists.known_programs, min_len=min_key_len),
     )
     rows = assemble(
         metrics, *detectors,
