@@ -6,15 +6,15 @@ a byte string is its token id, so the state of the fold holds ids only, and the
 ids in a literal: the value of a one-row scalar subquery, an array of small maps, in which a lookup costs the same
 however long the list is.
 
-Distinct pre-tokens are counted once over all texts.  Those with at least ``min_share`` of all occurrences (so at
-most ``1 / min_share`` of them, whatever the corpus) are folded once and become a second literal.  The long tail of
-rare pre-tokens is merged where it stands: by the same fold (``tail="fold"``), or by an Arrow function that merges
-the same pairs (``tail="arrow"``).  All ways give the same ids; the share and the tail move only time.
+Distinct pre-tokens are counted once over all texts.  Those of at most ``FOLD_BYTES`` bytes with at least ``min_share``
+of all occurrences (so at most ``1 / min_share`` of them, whatever the corpus) are folded once and broadcast with their
+ids.  An Arrow function cuts each text, looks its pre-tokens up and merges the long tail of rare ones where they
+stand, by the same pair ranks.  Both ways give the same ids; the share moves only time.
 
 Results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded row by row; an empty
 table gives an empty table; other columns pass through, except that columns named like the outputs are replaced.
-The pattern is read by Java's regular expressions: letters that Unicode gained after the Java version in use count
-as symbols.
+Counting cuts by Java's regular expressions, which only decides what is frequent; ids follow the cut of the ``regex``
+package.
 """
 
 from __future__ import annotations
@@ -23,21 +23,24 @@ import base64
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise.functions.storage import cut_lineage
 
 PAIR_BUCKETS = 1 << 18
-WORD_BUCKETS = 1 << 17
 _PAIR_FACTOR = 1_000_003
 _NO_RANK = 2**31 - 1
 _REST = 1 << 30  # a slice to the end
 _IDS = "array<int>"
-#: Distinct tail pre-tokens whose ids one Arrow task remembers.
-TAIL_CACHE = 200_000
+#: Longest pre-token that is folded and remembered: a step of the fold copies its arrays.
+FOLD_BYTES = 256
+#: Bytes of distinct tail pre-tokens whose ids one Arrow task remembers; characters of text whose tail is merged together.
+TAIL_CACHE = 4_000_000
+TAIL_BLOCK = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,24 +59,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _by_index(rows: DataFrame, size: int) -> DataFrame:
-    """One row, one column ``t``: ``x`` of (b, x) at array index ``b``, null where there is none."""
-    every = rows.sparkSession.range(size).select(F.col("id").cast("int").alias("b"))
-    return every.join(rows, "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("t")).select(
-        F.transform("t", lambda s: s["x"]).alias("t"))
-
-
-def _lookup_table(rows: DataFrame, key: str, value: str, bucket, buckets: int) -> DataFrame:
-    """One row, one column: array over buckets of map key -> value, for use as a scalar subquery."""
-    lists = rows.select(bucket(F.col(key)).alias("b"), F.struct(key, value).alias("e")).groupBy("b").agg(
-        F.collect_list("e").alias("x"))
-    return _by_index(lists, buckets).select(F.transform("t", F.map_from_entries).alias("t"))
-
-
-def _word_bucket(word: Column) -> Column:
-    return F.crc32(word.cast("binary")).bitwiseAND(F.lit(WORD_BUCKETS - 1)).cast("int")
-
-
 def _pair(a: Column, b: Column) -> Column:
     return a * F.lit(_PAIR_FACTOR).cast("bigint") + b
 
@@ -98,11 +83,72 @@ def merge_pairs(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+class TailMerger(dict):
+    """Pre-token -> packed ids for use inside a task.  New pre-tokens of one length form a matrix of ids, in which every
+    step joins the leftmost pair of lowest rank in each row: all rows shrink by one, and rows without a pair leave."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], single: list[int]):
+        super().__init__()
+        self.pairs, self.single, self.held = pairs, np.array(single, np.int64), 0
+        keys = np.fromiter(((a << 32) | b for a, b in pairs), np.int64, len(pairs))
+        order = keys.argsort()
+        self.keys, self.ranks = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 32) | b
+        at = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NO_RANK)
+
+    def _together(self, words: list[str], raw: list[bytes]) -> None:
+        names = np.arange(len(raw))
+        ids = self.single[np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)]
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        while len(ids):
+            n, width = ids.shape
+            low = ranks.min(1) if width > 1 else np.full(n, _NO_RANK)
+            done = low == _NO_RANK
+            for i, row in zip(names[done].tolist(), ids[done].astype("<u4")):
+                self[words[i]] = row.tobytes()
+            names, ids, ranks, low = names[~done], ids[~done], ranks[~done], low[~done]
+            if not len(ids):
+                break
+            rows, at = np.arange(len(ids)), ranks.argmin(1)
+            ids[rows, at] = low
+            stay = np.ones(ids.shape, bool)
+            stay[rows, at + 1] = False
+            ids = ids[stay].reshape(len(rows), -1)
+            stay = np.ones(ranks.shape, bool)
+            stay[rows, at] = False
+            ranks = ranks[stay].reshape(len(rows), -1)
+            for shift in (-1, 0):
+                r = rows[(at + shift >= 0) & (at + shift < ranks.shape[1])]
+                c = at[r] + shift
+                ranks[r, c] = self._rank(ids[r, c], ids[r, c + 1])
+
+    def learn(self, words: set[str]) -> None:
+        if self.held > TAIL_CACHE:
+            self.clear()
+            self.held = 0
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        for w in words:
+            if w not in self:
+                raw = w.encode()
+                self.held += len(raw)
+                by_length.setdefault(len(raw), []).append((w, raw))
+        for length, group in by_length.items():
+            if len(group) < 16 or length > FOLD_BYTES:
+                for w, raw in group:
+                    self[w] = np.array(merge_pairs(self.single[list(raw)].tolist(), self.pairs), "<u4").tobytes()
+            else:
+                for i in range(0, len(group), 4096):
+                    self._together(*map(list, zip(*group[i:i + 4096])))
+
+
 class Tokenizer:
     """Encoder and decoder of one rank list and pre-token pattern."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, min_share: float = 5e-7, tail: str = "arrow"):
-        self.pattern, self.min_share, self.tail = "(?U)" + pattern, min_share, tail
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, min_share: float = 2e-6):
+        self.pattern, self.min_share = pattern, min_share
         self._merges = {(ranks[t[:n]], ranks[t[n:]]): r for t, r in ranks.items() for n in range(1, len(t))
                         if t[:n] in ranks and t[n:] in ranks}
         self._single = [ranks[bytes([i])] for i in range(256)]
@@ -121,7 +167,7 @@ class Tokenizer:
     # -- encoding -----------------------------------------------------------
 
     def pretokens(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.pattern), F.lit(0))
 
     def _fold(self, pairs: Column, singles: Column, piece: Column) -> Column:
         """Ids of one pre-token: ranked merges folded over its bytes."""
@@ -157,58 +203,44 @@ class Tokenizer:
         return tabled.select(*words.columns, folded.alias(ids))
 
     def frequent(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """(word, ids) of the pre-tokens that make up at least ``min_share`` of all occurrences."""
+        """(word, ids) of the pre-tokens with at least ``min_share`` of all occurrences."""
         words = docs.select(F.explode(self.pretokens(F.col(text))).alias("word"))
         counts = cut_lineage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        return self.fold(counts.filter(F.col("n") >= max(1.0, total * self.min_share)).select("word"))
-
-    def _tail(self):
-        merges, single = self._merges, self._single
-
-        @F.pandas_udf("array<array<int>>")
-        def merge_tail(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            seen: dict[str, list[int]] = {}
-            for words in batches:
-                out = []
-                for row in words:
-                    found = []
-                    for w in row:
-                        if (ids := seen.get(w)) is None:
-                            ids = seen[w] = merge_pairs([single[b] for b in w.encode()], merges)
-                        found.append(ids)
-                    out.append(found)
-                    if len(seen) > TAIL_CACHE:
-                        seen.clear()
-                yield pd.Series(out)
-
-        return merge_tail
+        often = (F.col("n") >= max(1.0, total * self.min_share)) & (F.octet_length("word") <= FOLD_BYTES)
+        return self.fold(counts.filter(often).select("word"))
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``docs`` with the token ids of every text."""
-        table = cut_lineage(_lookup_table(self.frequent(docs, text), "word", "ids", _word_bucket, WORD_BUCKETS))
-        kept = [c for c in docs.columns if c != ids]
+        known = self.frequent(docs, text).toArrow()  # at most 1 / min_share rows
+        table = {w: np.array(x, "<u4").tobytes() for w, x in zip(known["word"].to_pylist(), known["ids"].to_pylist())}
+        shared = docs.sparkSession.sparkContext.broadcast((table, self._merges))
+        single, pattern = self._single, self.pattern
+
+        @F.arrow_udf("array<int>")
+        def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            (often, merges), cut = shared.value, regex.compile(pattern)
+            tail = TailMerger(merges, single)
+
+            def pack(block: list[list[str]]) -> list[bytes]:
+                tail.learn(set().union(*block).difference(often))
+                return [b"".join([often.get(w) or tail[w] for w in words]) for words in block]
+
+            for texts in batches:
+                packed, block, chars = [], [], 0
+                for t in texts:
+                    text = t.as_py() or ""
+                    block.append(cut.findall(text))
+                    chars += len(text)
+                    if chars > TAIL_BLOCK:
+                        packed, block, chars = packed + pack(block), [], 0
+                packed += pack(block)
+                ends = np.cumsum([0, *map(len, packed)]) // 4
+                flat = np.frombuffer(b"".join(packed), "<i4")
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
-        def found(words: Column, known: Column) -> Column:
-            places = F.transform(known, lambda k, i: F.when(k.isNull(), i))
-            return F.struct(known.alias("known"), F.filter(words, lambda w, i: known[i].isNull()).alias("rare"),
-                            F.filter(places, lambda i: i.isNotNull()).alias("at"))
-
-        def look_up(t: Column, words: Column) -> Column:
-            return _let(F.transform(words, lambda w: t[_word_bucket(w)][w]), lambda known: found(words, known))
-
-        rows = docs.select(*kept, self.pretokens(F.col(text)).alias("_pieces")).withColumn("_table", table.scalar())
-        rows = rows.select(*kept, _let(F.col("_table"), lambda t: _let(F.col("_pieces"), lambda p: look_up(t, p))).alias("_s"))
-        if self.tail == "fold":
-            rows = rows.withColumn("_pairs", self._pairs.scalar()).withColumn("_bytes", self._bytes.scalar())
-            rows = rows.select(*kept, _let(F.col("_pairs"), lambda p: _let(F.col("_bytes"), lambda b: _let(
-                F.col("_s"), lambda s: F.struct(s.alias("s"), F.transform(s["rare"], lambda w: self._fold(p, b, w)).alias("t"))))).alias("_f"))
-            rows = rows.select(*kept, F.col("_f.s").alias("_s"), F.col("_f.t").alias("_tail"))
-        else:
-            rows = rows.select(*kept, "_s", self._tail()(F.col("_s.rare")).alias("_tail"))
-        full = _let(F.col("_s"), lambda s: F.transform(s["known"], lambda k, i: F.coalesce(
-            k, F.col("_tail")[F.array_position(s["at"], i).cast("int") - 1])))
-        return rows.select(*kept, F.flatten(full).alias(ids))
+        kept = [c for c in docs.columns if c != ids]
+        return docs.select(*kept, look_up(F.col(text)).alias(ids))
 
     # -- decoding -----------------------------------------------------------
 

@@ -268,15 +268,16 @@ def test_urls(spark):
     assert both and {(r.rule, r.verdict) for r in both} == {("com/e", "block")}
 
 
-@pytest.mark.parametrize("tail", ["arrow", "fold"])
-def test_bpe_round_trip(spark, docs, tail):
+@pytest.mark.parametrize("min_share", [0, 0.01, 2])
+def test_bpe_round_trip(spark, docs, min_share):
+    """All pre-tokens folded, some, and none."""
     import tiktoken
 
     from ledgerwise.llm.bpe import Tokenizer, read_ranks
 
     ranks = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    tok = Tokenizer(spark, ranks, P.PATTERN, min_share=0.01, tail=tail)
+    tok = Tokenizer(spark, ranks, P.PATTERN, min_share=min_share)
     rows = tok.pack(tok.decode(tok.encode(docs))).collect()
     assert len(rows) == len(EDGES) and set(rows[0].asDict()) == {*docs.columns, "decoded", "packed"}
     for r in rows:
