@@ -248,11 +248,13 @@ def cluster_subgraph(transfers: DataFrame, members: DataFrame, scores: DataFrame
     return nodes, links
 
 
-def neighborhood_cluster(tx_raw: DataFrame, scam: DataFrame, known_programs: list[str], n: int = 30,
+def neighborhood_cluster(tx_raw: DataFrame, scam: DataFrame, known_programs: list[str], n: int | None = None,
                          min_len: int = 32, max_len: int = 48) -> DataFrame:
-    """Wallet ∪ account keys of address length of its newest ``n`` transactions, named by a hash of the sorted members."""
-    recent = newest_n(tx_raw.select("wallet", "signature", "block_time", "account_keys"), ["wallet"],
-                      [F.coalesce("block_time", F.lit(0)).desc(), F.col("signature").desc()], n)
+    """Wallet ∪ account keys of address length of all its transactions (or the newest ``n``), named by a hash of the
+    sorted members."""
+    recent = tx_raw.select("wallet", "signature", "block_time", "account_keys")
+    if n is not None:
+        recent = newest_n(recent, ["wallet"], [F.coalesce("block_time", F.lit(0)).desc(), F.col("signature").desc()], n)
     keys = recent.select("wallet", F.explode(F.array_append("account_keys", F.col("wallet"))).alias("node"))
     address = F.length("node").between(min_len, max_len) | (F.col("node") == F.col("wallet"))
     keys = keys.filter(~F.col("node").isin(*known_programs) & address).distinct()
