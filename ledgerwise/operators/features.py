@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerwise import params as P
 from ledgerwise.functions.common import (
-    DAY, LAMPORTS_PER_SOL, both_ends, clamp, lookup, newest_n, ratio, rnd,
+    DAY, LAMPORTS_PER_SOL, assemble, both_ends, clamp, lookup, near_in_time, newest_n, ratio, rnd,
 )
+from ledgerwise.functions.storage import cut_lineage
+
+TIME_BUCKET = 3_600
+SLOT_BUCKET = 10_000
 
 
 def wallet_pairs(transfers: DataFrame) -> DataFrame:
@@ -125,35 +129,55 @@ def wallet_records(transfers: DataFrame) -> DataFrame:
     return both_ends(transfers, "signature", "ts", "slot", "amount_lamports", "program_id")
 
 
-def flow_features(transfers: DataFrame, n: int = 50) -> DataFrame:
-    recent = newest_n(
-        wallet_records(transfers), ["wallet"],
-        [F.coalesce("ts", F.lit(0)).desc(), F.col("signature").desc()], n,
-    )
-    by_wallet = Window.partitionBy("wallet")
-    near = by_wallet.orderBy("ts").rangeBetween(-30, 30)
-    by_slot = by_wallet.orderBy("slot", "signature")
-    new_run = F.coalesce((F.col("slot") - F.lag("slot").over(by_slot) > 2).cast("int"), F.lit(0))
-    marked = (
-        recent.withColumn("_rapid", F.col("ts").isNotNull() & (F.count("ts").over(near) > 1))
-        .withColumn("_run", F.when(F.col("slot").isNotNull(), F.sum(new_run).over(by_slot)))
-    )
-    runs = marked.withColumn("_run_len", F.when(
-        F.col("slot").isNotNull(), F.count("slot").over(Window.partitionBy("wallet", "_run"))
-    ))
-    span = F.max("ts") - F.min("ts")
-    return runs.groupBy("wallet").agg(
-        F.count(F.lit(1)).alias("total_tx"),
-        F.count_distinct("counterparty").alias("unique_destinations"),
-        F.count_if("_rapid").alias("rapid_tx_count"),
-        rnd(F.coalesce(ratio(span, F.count("ts") - 1), F.lit(0.0)), 2).alias("avg_tx_interval"),
+def _longest_run(slots: DataFrame, gap: int) -> DataFrame:
+    """Most rows of a wallet in a run of slots at most ``gap`` apart.
+
+    Runs are built inside a slot bucket; only those near an edge, at most two per bucket, meet per wallet.
+    """
+    bucket = F.floor(F.col("slot") / SLOT_BUCKET)
+    counts = slots.filter("slot IS NOT NULL").groupBy("wallet", "slot").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "_bucket", bucket)
+
+    def runs(df: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(first)
+        fresh = F.coalesce((F.col(first) - F.lag(last).over(w) > gap).cast("int"), F.lit(0))
+        marked = df.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w))
+        return marked.groupBy(*keys, "_run").agg(F.min(first).alias("_from"), F.max(last).alias("_to"), F.sum("n").alias("n"))
+
+    inner = runs(counts, ["wallet", "_bucket"], "slot", "slot")
+    start = F.col("_bucket") * SLOT_BUCKET
+    edge = (F.col("_from") - start < gap) | (start + SLOT_BUCKET - F.col("_to") <= gap)
+    joined = runs(inner.filter(edge).select("wallet", "_from", "_to", "n"), ["wallet"], "_from", "_to")
+    return inner.filter(~edge).select("wallet", "n").unionByName(joined.select("wallet", "n")).groupBy("wallet").agg(
+        F.max("n").alias("tx_chain_length_estimate"))
+
+
+def flow_features(transfers: DataFrame, n: int | None = None) -> DataFrame:
+    """Flow features over all transfers of a wallet, or over its newest ``n``."""
+    recent = wallet_records(transfers)
+    if n is not None:
+        recent = cut_lineage(newest_n(
+            recent, ["wallet"], [F.coalesce("ts", F.lit(0)).desc(), F.col("signature").desc()], n))
+    pairs = recent.groupBy("wallet", "counterparty").agg(
+        F.count(F.lit(1)).alias("n"), F.count("ts").alias("n_ts"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    span = F.max("last") - F.min("first")
+    timed = F.col("n_ts") > 0
+    base = pairs.groupBy("wallet").agg(
+        F.sum("n").alias("total_tx"),
+        F.count("counterparty").alias("unique_destinations"),
+        rnd(F.coalesce(ratio(span, F.sum("n_ts") - 1), F.lit(0.0)), 2).alias("avg_tx_interval"),
         rnd(F.coalesce(
             100.0 * ratio(
-                F.count_distinct(F.when(F.col("ts").isNotNull(), F.col("counterparty"))),
-                F.count_if(F.col("ts").isNotNull() & F.col("counterparty").isNotNull()),
+                F.count(F.when(timed, F.col("counterparty"))),
+                F.sum(F.when(F.col("counterparty").isNotNull(), F.col("n_ts"))),
             ), F.lit(0.0)), 2).alias("percent_to_new_wallets"),
-        F.coalesce(F.max("_run_len"), F.lit(0)).alias("tx_chain_length_estimate"),
     )
+    near = near_in_time(recent.filter("ts IS NOT NULL").select("wallet", "ts"), "wallet", "ts", 30, 30, TIME_BUCKET, "_rapid")
+    rapid = near.groupBy("wallet").agg(F.count_if("_rapid").alias("rapid_tx_count"))
+    return assemble(base, rapid, _longest_run(recent.select("wallet", "slot"), 2)).fillna(
+        0, ["rapid_tx_count", "tx_chain_length_estimate"]).select(
+        "wallet", "total_tx", "unique_destinations", "rapid_tx_count", "avg_tx_interval", "percent_to_new_wallets",
+        "tx_chain_length_estimate")
 
 
 def transfer_destination(tx_raw: DataFrame, wallet_col: str = "wallet") -> DataFrame:
