@@ -208,8 +208,8 @@ def log_weighted_edges(transfers: DataFrame, members: DataFrame, min_sol: float
 
 def ego_graph(transfers: DataFrame, seeds: DataFrame, scores: DataFrame, scam: DataFrame, depth: int = 2,
               mode: str = "all", min_sol: float = 0.0, days_back: int = 0, as_of: int = 0,
-              max_nodes: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Per seed the nodes within ``depth`` hops (nearest first, at most ``max_nodes``) and the edges among them."""
+              max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per seed the nodes within ``depth`` hops (all, or the nearest ``max_nodes``) and the edges among them."""
     t = transfers.filter(F.col("amount_lamports") >= int(min_sol * LAMPORTS_PER_SOL))
     if days_back > 0:
         t = t.filter(F.col("ts") >= as_of - days_back * DAY)
@@ -221,7 +221,8 @@ def ego_graph(transfers: DataFrame, seeds: DataFrame, scores: DataFrame, scam: D
         "is_scam", F.coalesce("_scam", F.lit(False)))
     if mode == "scam_only":
         nodes = nodes.filter("is_scam OR hop = 0")
-    nodes = newest_n(nodes, ["seed"], [F.col("hop"), F.col("wallet")], max_nodes, salt_cols=["wallet"])
+    if max_nodes is not None:
+        nodes = newest_n(nodes, ["seed"], [F.col("hop"), F.col("wallet")], max_nodes, salt_cols=["wallet"])
     score = F.coalesce("score", F.lit(50.0))
     color = (F.when(F.col("is_scam"), "red").when(score >= 80, "green").when(score >= 50, "yellow")
              .otherwise("orange"))

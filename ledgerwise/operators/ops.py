@@ -90,15 +90,17 @@ def api_cost(usage: DataFrame, as_of: int, daily_limit: float, price: float = 1e
     return total, top.orderBy(F.desc("calls"), "wallet").limit(n)
 
 
-def stage_health(stage_log: DataFrame, as_of: int, n_errors: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(per stage, newest errors) of the last 24 hours."""
+def stage_health(stage_log: DataFrame, as_of: int, n_errors: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(per stage, errors) of the last 24 hours: all errors, or the newest ``n_errors``."""
     recent = stage_log.filter((F.col("ts") >= as_of - DAY) & (F.col("ts") <= as_of))
     ok, err = F.count_if(F.col("status") == "ok"), F.count_if(F.col("status") == "error")
     per = recent.groupBy("stage").agg(
         ok.alias("ok"), err.alias("error"), rnd(ratio(ok, F.count(F.lit(1))), 4).alias("success_rate"),
         rnd(ratio(F.sum(F.col("latency_ms").cast("decimal(28,6)")), F.count("latency_ms")), 2).alias("avg_latency_ms"))
-    errors = recent.filter("status = 'error'").orderBy(F.desc("ts"), "message").limit(n_errors).select(
-        "ts", "stage", "message", "wallet")
+    errors = recent.filter("status = 'error'")
+    if n_errors is not None:
+        errors = errors.orderBy(F.desc("ts"), "message").limit(n_errors)
+    errors = errors.select("ts", "stage", "message", "wallet")
     return per, errors
 
 

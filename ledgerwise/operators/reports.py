@@ -168,41 +168,48 @@ def top_neighbors(transfers: DataFrame, scores: DataFrame, n: int = 20) -> DataF
         F.coalesce("score", F.lit(50.0)).alias("risk_score"))
 
 
-def _cluster_links(members: DataFrame, n: int) -> DataFrame:
-    """(wallet, target): for each member the first ``n`` other members.
+def _cluster_links(members: DataFrame, n: int | None) -> DataFrame:
+    """(wallet, target): for each member all other members, or the first ``n`` of them.
 
-    Only the first n + 1 members of a cluster can be anyone's first n others, so a
+    Only the first n + 1 members of a cluster can be anyone's first n others, so with ``n`` a
     cluster of size k gives k * (n + 1) rows instead of all its pairs.
     """
     m = members.select("cluster_id", "wallet").distinct()
-    head = newest_n(m, ["cluster_id"], [F.col("wallet")], n + 1).select("cluster_id", F.col("wallet").alias("target"))
+    head = m if n is None else newest_n(m, ["cluster_id"], [F.col("wallet")], n + 1)
+    head = head.select("cluster_id", F.col("wallet").alias("target"))
     return m.join(head, "cluster_id").filter("wallet <> target").select("wallet", "target").distinct()
 
 
-def flow_paths(transfers: DataFrame, members: DataFrame, scores: DataFrame, n: int = 50, risky_below: float = 25) -> DataFrame:
+def flow_paths(transfers: DataFrame, members: DataFrame, scores: DataFrame, n: int | None = None,
+               risky_below: float = 25) -> DataFrame:
+    """Per wallet all cluster members and counterparties, or the first ``n`` of them (members first, by name)."""
     pairs = wallet_pairs(transfers).filter("counterparty IS NOT NULL AND counterparty <> wallet").select(
         "wallet", F.col("counterparty").alias("target"), F.lit(2).alias("kind"))
     rows = _cluster_links(members, n).withColumn("kind", F.lit(1)).unionByName(pairs).groupBy("wallet", "target").agg(
         F.min("kind").alias("kind"))
-    top = newest_n(rows, ["wallet"], [F.col("kind"), F.col("target")], n)
+    top = rows if n is None else newest_n(rows, ["wallet"], [F.col("kind"), F.col("target")], n)
     return top.join(scores.select(F.col("wallet").alias("target"), "score"), "target", "left").select(
         F.col("wallet").alias("source"), "target", F.when(F.col("kind") == 1, "cluster").otherwise("interaction").alias("relationship"),
         F.when(F.coalesce("score", F.lit(50.0)) < risky_below, "HIGH").alias("risk"))
 
 
-def identity_graph(transfers: DataFrame, members: DataFrame, scores: DataFrame, max_nodes: int = 100,
-                   max_edges: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Per wallet: nodes (itself, counterparties, then cluster members, by name) and its undirected edges to them."""
+def identity_graph(transfers: DataFrame, members: DataFrame, scores: DataFrame, max_nodes: int | None = None,
+                   max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per wallet: nodes (itself, counterparties, then cluster members, by name) and its undirected edges to them.
+
+    All of them, or the first ``max_nodes`` and ``max_edges``.
+    """
     pairs = wallet_pairs(transfers).filter("counterparty IS NOT NULL AND counterparty <> wallet").select(
         "wallet", F.col("counterparty").alias("node"), F.lit(1).alias("kind"))
     links = _cluster_links(members, max_nodes).select("wallet", F.col("target").alias("node"), F.lit(2).alias("kind"))
     own = pairs.select("wallet").union(links.select("wallet")).distinct().select(
         "wallet", F.col("wallet").alias("node"), F.lit(0).alias("kind"))
     rows = own.unionByName(pairs).unionByName(links).groupBy("wallet", "node").agg(F.min("kind").alias("kind"))
-    kept = newest_n(rows, ["wallet"], [F.col("kind"), F.col("node")], max_nodes, rank="rank")
-    nodes = kept.join(scores.select(F.col("wallet").alias("node"), "score"), "node", "left").select(
+    limits = [x for x in (max_nodes, None if max_edges is None else max_edges + 1) if x is not None]
+    first = lambda n: rows if n is None else newest_n(rows, ["wallet"], [F.col("kind"), F.col("node")], n)
+    nodes = first(max_nodes).join(scores.select(F.col("wallet").alias("node"), "score"), "node", "left").select(
         "wallet", "node", F.coalesce("score", F.lit(50.0)).alias("risk"))
-    edges = kept.filter((F.col("kind") > 0) & (F.col("rank") <= max_edges + 1)).select(
+    edges = first(min(limits, default=None)).filter("kind > 0").select(
         "wallet", F.least("wallet", "node").alias("source"), F.greatest("wallet", "node").alias("target"))
     return nodes, edges
 
@@ -213,6 +220,13 @@ def _ordered_codes(top: DataFrame, value: Column, name: str) -> DataFrame:
     return top.groupBy("wallet").agg(F.array_distinct(F.transform(listed, lambda e: e["v"])).alias(name))
 
 
+def _newest_codes(rows: DataFrame, value: Column, name: str, at: str, tie: Column) -> DataFrame:
+    """Distinct values of all rows per wallet, newest ``at`` first, then by descending ``tie``."""
+    last = rows.groupBy("wallet", value.alias("v")).agg(F.max(F.struct(F.col(at).alias("at"), tie.alias("tie"))).alias("last"))
+    listed = F.sort_array(F.collect_list(F.struct("last", "v")), asc=False)
+    return last.groupBy("wallet").agg(F.transform(listed, lambda e: e["v"]).alias(name))
+
+
 def wallet_overview(scores: DataFrame, reasons: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:
     """scores: wallet, score, risk_level (may be blank); clusters: cluster_id, cluster_type, confidence."""
     recent = newest_n(reasons.filter("trim(reason_code) <> ''"), ["wallet"], [F.desc("created_at"), F.desc("tx_hash")], 5, rank="rank")
@@ -258,8 +272,12 @@ def wallet_overview(scores: DataFrame, reasons: DataFrame, members: DataFrame, c
     ).withColumn("propagation_signal", F.coalesce("_sig", F.lit("LOW"))).drop("_sig")
 
 
-def wallet_dashboard(scores: DataFrame, transfers: DataFrame, reasons: DataFrame, badges: DataFrame, as_of: int) -> DataFrame:
-    """scores: wallet, score, risk_level; badges: wallet, badge, ts."""
+def wallet_dashboard(scores: DataFrame, transfers: DataFrame, reasons: DataFrame, badges: DataFrame, as_of: int,
+                     shown: int | None = None) -> DataFrame:
+    """scores: wallet, score, risk_level; badges: wallet, badge, ts.
+
+    Reasons and badges of all rows, or of the newest ``shown`` ones; drainer_pattern regards all reasons in any case.
+    """
     ends = both_ends(transfers, "amount_lamports", "ts")
     since = as_of - 30 * DAY
     pairs = ends.groupBy("wallet", "counterparty").agg(
@@ -268,11 +286,19 @@ def wallet_dashboard(scores: DataFrame, transfers: DataFrame, reasons: DataFrame
     stats = pairs.groupBy("wallet").agg(
         F.sum("n").alias("total_transactions"), F.count_if(F.col("counterparty") != F.col("wallet")).alias("unique_counterparties"),
         F.min("first").alias("_first"), rnd(F.coalesce(F.sum("v"), F.lit(0)) / float(LAMPORTS_PER_SOL), 2).alias("volume_30d"))
-    top = newest_n(reasons, ["wallet"], [F.desc_nulls_last("created_at"), F.desc("tx_hash")], 20, rank="rank")
-    shown = newest_n(badges, ["wallet"], [F.desc("ts"), F.col("badge")], 20, rank="rank")
-    df = assemble(scores.select("wallet", "score", "risk_level"), stats, _ordered_codes(top, F.trim("reason_code"), "reasons"),
-                  _ordered_codes(shown, F.trim("badge"), "badges")).fillna(
-        0, ["total_transactions", "unique_counterparties", "volume_30d"])
+    code, name = F.trim("reason_code"), F.trim("badge")
+    if shown is None:
+        listed_reasons = _newest_codes(reasons, code, "reasons", "created_at", F.col("tx_hash"))
+        latest = badges.groupBy("wallet", name.alias("badge")).agg(F.max("ts").alias("ts"))
+        by_name = F.array_sort(F.collect_list(F.struct(F.col("ts").isNull().alias("none"), (-F.col("ts")).alias("ts"), "badge")))
+        listed_badges = latest.groupBy("wallet").agg(F.transform(by_name, lambda e: e["badge"]).alias("badges"))
+    else:
+        top = newest_n(reasons, ["wallet"], [F.desc_nulls_last("created_at"), F.desc("tx_hash")], shown, rank="rank")
+        last = newest_n(badges, ["wallet"], [F.desc("ts"), F.col("badge")], shown, rank="rank")
+        listed_reasons, listed_badges = _ordered_codes(top, code, "reasons"), _ordered_codes(last, name, "badges")
+    drainer = reasons.groupBy("wallet").agg(F.max(code.contains("DRAINER")).alias("_drainer"))
+    df = assemble(scores.select("wallet", "score", "risk_level"), stats, listed_reasons, listed_badges, drainer).fillna(
+        0, ["total_transactions", "unique_counterparties", "volume_30d"]).fillna(False, ["_drainer"])
     age = F.greatest(F.lit(0), F.coalesce(F.floor((F.lit(as_of) - F.col("_first")) / DAY), F.lit(0)))
     score = F.round(F.coalesce("score", F.lit(0.0))).cast("int")
     tier = F.coalesce(F.trim("risk_level"), F.lit("unknown"))
@@ -281,7 +307,7 @@ def wallet_dashboard(scores: DataFrame, transfers: DataFrame, reasons: DataFrame
         "wallet", score.alias("trust_score"), tier.alias("risk_tier"), age.alias("wallet_age_days"), "total_transactions",
         "unique_counterparties", "volume_30d", (age > 90).alias("long_term_holder"),
         (tier.isin("LOW", "low", "1") | (score >= 70)).alias("low_risk_network"),
-        F.exists(listed, lambda c: c.contains("DRAINER")).alias("drainer_pattern"), listed.alias("reasons"),
+        F.col("_drainer").alias("drainer_pattern"), listed.alias("reasons"),
         F.coalesce("badges", _NONE()).alias("badges"))
 
 

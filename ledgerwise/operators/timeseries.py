@@ -155,11 +155,16 @@ def entity_modifier(entity: DataFrame, members: DataFrame, scores: DataFrame) ->
         "wallet", modifier.alias("modifier"), clamp(rnd(F.col("_s") + modifier, 2)).alias("score"))
 
 
-def entity_history(history: DataFrame, snapshot: DataFrame, keep: int = 100,
+def entity_history(history: DataFrame, snapshot: DataFrame, keep: int | None = None,
                    trend_over: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(history, trend): appended snapshots, newest ``keep`` per entity; newest against the oldest of the last ten."""
+    """(history, trend): appended snapshots, all or the newest ``keep`` per entity; newest against the oldest of the last ten."""
     rows = history.unionByName(snapshot.select(*history.columns))
-    kept = newest_n(rows, ["entity_id"], [F.desc("at"), F.desc("score")], keep, rank="rank")
+    order = [F.desc("at"), F.desc("score")]
+    if keep is None:
+        late = F.coalesce(-F.floor(F.col("at") / DAY), F.lit(2**62))
+        kept = split_rank(rows, ["entity_id"], late, order, total="_total").drop("_total")
+    else:
+        kept = newest_n(rows, ["entity_id"], order, keep, rank="rank")
     last = kept.filter(F.col("rank") <= trend_over).groupBy("entity_id").agg(
         F.min_by("score", "rank").alias("recent"), F.max_by("score", "rank").alias("older"), F.count(F.lit(1)).alias("n"))
     trend = (F.when(F.col("n") < 2, None).when(F.col("recent") > F.col("older"), "improving")

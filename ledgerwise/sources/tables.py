@@ -45,12 +45,15 @@ def upsert_by_key(existing: DataFrame, incoming: DataFrame, keys: Sequence[str])
     return kept.unionByName(incoming)
 
 
-def recent_history(transfers: DataFrame, n: int = 500, since: int | None = None, until: int | None = None) -> DataFrame:
+def recent_history(transfers: DataFrame, n: int | None = None, since: int | None = None, until: int | None = None) -> DataFrame:
+    """All transfers of the period, or the newest ``n`` of each wallet."""
     df = transfers
     if since is not None:
         df = df.filter(F.col("ts") >= since)
     if until is not None:
         df = df.filter(F.col("ts") <= until)
+    if n is None:
+        return df
     return newest_n(df, ["wallet"], [F.coalesce("ts", F.lit(0)).desc(), F.col("signature").desc()], n,
                     salt_cols=["signature"])
 
@@ -94,10 +97,10 @@ def parse_list_column(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def distinct_owners(token_accounts: DataFrame, n: int = 100) -> DataFrame:
-    """First ``n`` distinct owners of each mint, by owner."""
+def distinct_owners(token_accounts: DataFrame, n: int | None = None) -> DataFrame:
+    """Distinct owners of each mint: all, or the first ``n`` by owner."""
     owners = token_accounts.select("mint", F.col("wallet").alias("owner")).filter("owner IS NOT NULL").distinct()
-    return newest_n(owners, ["mint"], [F.col("owner")], n)
+    return owners if n is None else newest_n(owners, ["mint"], [F.col("owner")], n)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
