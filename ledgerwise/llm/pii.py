@@ -1,8 +1,8 @@
 """Personal data: fixed patterns find seeds, and bootstrapped lexical contexts find identifiers that the patterns miss.
 
 1. One pass finds the base entities of every whole text (email, ip, card, phone; see ``base_spans``) and other
-   identifier-like tokens, each with its lexical contexts: the two words before, and the word before with the word
-   after.
+   identifier-like tokens and joined digit groups, each with its lexical contexts: the two words before, and the word
+   before with the word after; the start of a text stands for a word.
 2. Contexts of seeds are patterns.  Spark scores the graph of patterns and instances in rounds: a pattern is worth
    the summed worth of its distinct instances over their number plus ``SMOOTHING``; an unknown instance is worth
    1 - product(1 - worth of its patterns); a seed is worth 1 for its kind.
@@ -40,9 +40,14 @@ _EMAIL_FRESH = re.compile(rf"(?<![{_LOCAL}])" + _EMAIL.pattern)
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s<>|\"'=,;()]*[0-9@][^\s<>|\"'=,;()]*")
-_BEFORE = re.compile(r"(\S+)?\s+(\S+)\s*\Z")
-_AFTER = re.compile(r"\s*(\S+)")
+_TOKEN = re.compile(r"[^\s<>|\"'=,;()]*(?:[0-9@]|::)[^\s<>|\"'=,;()]*")
+#: Digit groups joined by spaces, dots, hyphens and parentheses; a piece of WHOLE digits stands for itself.
+_GROUPS = re.compile(r"(?<![\w@/])[+(]{0,2}[0-9]++(?:[ .()-]{1,3}+[0-9]++)++")
+WHOLE = 10
+_IPV6 = re.compile(r"[0-9A-Fa-f:.]*+")
+#: Neighbouring words are looked for within so many characters; a word that does not end there gives no pattern.
+REACH = 120
+START = "\n"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -85,34 +90,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: two words before; word before and word after."""
-    left = _BEFORE.search(text[max(0, start - 60):start])
-    if not left:
+    low = max(0, start - REACH)
+    words = text[low:start].rsplit(None, 2)
+    if len(words) < 3:
+        if low == 0:
+            words = [START, *words]
+        elif words and not (text[low].isspace() or text[low - 1].isspace()):
+            words = words[1:]
+    if not words:
         return []
-    right = _AFTER.match(text[end:end + 30])
-    word = left[2].lower()
-    out = [f"{word} _ {right[1].lower()}"] if right else []
-    return out + ([f"{left[1].lower()} {word} _"] if left[1] else [])
+    after = text[end:end + REACH].split(None, 1)
+    cut = len(after) == 1 and end + REACH < len(text) and not (text[end + REACH - 1].isspace() or text[end + REACH].isspace())
+    word = words[-1].lower()
+    out = [f"{word} _ {after[0].lower()}"] if after and not cut else []
+    return out + ([f"{words[-2].lower()} {word} _"] if len(words) > 1 else [])
+
+
+def _digits(token: str) -> int:
+    return sum(c in "0123456789" for c in token)
+
+
+def _ipv6(token: str) -> bool:
+    return (token.count(":") >= 3 or "::" in token) and token.strip(":.") != "" and _IPV6.fullmatch(token) is not None
+
+
+def _groups(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of joined digit groups with 7 to 19 digits, none of whose pieces is a whole identifier."""
+    for m in _GROUPS.finditer(text):
+        follows = text[m.end():m.end() + 1]
+        if (7 <= _digits(m[0]) <= 19 and not (follows.isalnum() or follows in ("_", "@", "/", ":") and text[m.end() + 1:m.end() + 2].isalnum())
+                and (" " not in m[0] or all(_digits(x) < WHOLE for x in m[0].split(" ")))):
+            yield m.span()
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens outside the base spans: four digits or more, or an at sign inside."""
-    busy, k = sorted((a, b) for a, _, b in taken), 0
-    for m in _TOKEN.finditer(text):
-        found = m[0].rstrip(".:!?")
-        start, end = m.start(), m.start() + len(found)
-        while k < len(busy) and busy[k][1] <= start:
-            k += 1
-        if (k == len(busy) or busy[k][0] >= end) and (sum(c in "0123456789" for c in found) >= 4 or "@" in found[1:-1]):
-            yield start, end
+    """Identifiers outside the base spans, in order: joined digit groups, and tokens with four digits or more, an at
+    sign inside or the form of an IPv6 address."""
+    def free(spans: Iterator[tuple[int, int]], busy: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        k = 0
+        for start, end in spans:
+            while k < len(busy) and busy[k][1] <= start:
+                k += 1
+            if k == len(busy) or busy[k][0] >= end:
+                yield start, end
+
+    def tokens() -> Iterator[tuple[int, int]]:
+        for m in _TOKEN.finditer(text):
+            found = m[0].rstrip(".:!?")
+            if _digits(found) >= 4 or "@" in found[1:-1] or _ipv6(found):
+                yield m.start(), m.start() + len(found)
+
+    base = sorted((a, b) for a, _, b in taken)
+    joined = list(free(_groups(text), base))
+    yield from sorted(joined + list(free(tokens(), sorted(base + joined))))
 
 
 def fits(kind: int, token: str) -> bool:
     """Does a token look like its kind?"""
-    digits = sum(c in "0123456789" for c in token)
+    digits = _digits(token)
     if kind == 0:
         return "@" in token[1:-1]
     if kind == 1:
-        return token.count(".") >= 3 or token.count(":") >= 3
+        return " " not in token and (token.count(".") >= 3 or token.count(":") >= 3 or _ipv6(token))
     return digits >= (14 if kind == 2 else 7) and digits >= 0.6 * len(token)
 
 
