@@ -14,8 +14,8 @@
    thousands of copies costs a few pairs each.
 5. A pair whose sketches agree enough is confirmed on both full sets: 100 * |A and B| >= 75 * |A or B|.
 
-A link at the limit of 0.75 shares none of the 32 bands with probability 5e-6 and fails the sketch with less than
-1e-6; links of higher similarity fail far more seldom.
+A link at the limit of 0.75 shares none of the 32 bands with probability 5e-6 and fails the sketch with
+2.2e-7; links of higher similarity fail far more seldom.
 
 Results: one row per input row.  A null or empty text, or one without words, has an empty set and is its own
 component.  Fewer than five words are one shingle.  Repeated rows of one doc_id give repeated rows.  An empty table
@@ -38,8 +38,8 @@ from ledgerwise.operators.graph import connected_components
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
-#: Estimated similarity from which a pair is confirmed: the limit less five deviations of 128 samples.
-SCREEN = 0.55
+#: Estimated similarity from which a pair is confirmed: the limit less six deviations of 128 samples.
+SCREEN = 0.5
 PERCENT = 75
 #: Rounds with a further random centre for buckets of several components; the exact step after them grows cheaper.
 PIVOTS = 1
