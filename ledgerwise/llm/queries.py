@@ -89,7 +89,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwise.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwise.llm.merkle import fold, leaf_hash, prove, siblings
+
+    def leaf(text):
+        return leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = prove(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"), leaf(F.col("text")), {"present": leaf(text)})
+    rows = rows.withColumn("folded_root", fold(F.col("present"), F.col("steps")))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings(F.col("steps")), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_token_packing, op3_pii, op4_language_id, op5_decontamination, op6_quality_rules,
-    op7_preference_format, op8_url_filter, op9_byte_bpe, op10_token_counts)}
+    op7_preference_format, op8_url_filter, op9_byte_bpe, op10_token_counts, op11_whitening, op12_merkle_manifest)}
 ORACLE: dict[str, str] = {}
