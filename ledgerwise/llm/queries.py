@@ -109,7 +109,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerwise.llm.lm_scoring import score_texts
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_texts(_table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_token_packing, op3_pii, op4_language_id, op5_decontamination, op6_quality_rules,
-    op7_preference_format, op8_url_filter, op9_byte_bpe, op10_token_counts, op11_whitening, op12_merkle_manifest)}
+    op7_preference_format, op8_url_filter, op9_byte_bpe, op10_token_counts, op11_whitening, op12_merkle_manifest, op13_lm_scoring)}
 ORACLE: dict[str, str] = {}
