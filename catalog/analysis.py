@@ -69,8 +69,8 @@ SQL_VIEWS["nft_role"] = """SELECT *, CASE WHEN minted > 0 OR is_creator OR distr
         JOIN nft_held h ON h.wallet = l.wallet AND h.mint = l.mint WHERE l_returnflag = 'R' GROUP BY 1)
       USING (wallet))"""
 SQL_VIEWS["ncluster"] = """SELECT wallet, count(*) AS cluster_size, CASE WHEN count(b) > 0 THEN 'HIGH' ELSE 'LOW' END
-    AS cluster_risk FROM (SELECT DISTINCT k.wallet, k.node, s.wallet AS b FROM tx_keys k JOIN tx_newest30 n
-      ON n.signature = k.signature LEFT JOIN scam_suppliers s ON s.wallet = k.node) GROUP BY 1"""
+    AS cluster_risk FROM (SELECT DISTINCT k.wallet, k.node, s.wallet AS b FROM tx_keys k
+      LEFT JOIN scam_suppliers s ON s.wallet = k.node) GROUP BY 1"""
 SQL_VIEWS["detect"] = """SELECT m.wallet, coalesce(sp.interactions, 0) AS scam_i, coalesce(rg.interactions, 0) AS rug_i,
     coalesce(role, 'none') AS nft_role_name, coalesce(received, 0) AS received, coalesce(is_creator, false) AS is_creator,
     coalesce(cluster_size, 1) AS cluster_size, coalesce(cluster_risk, 'LOW') AS cluster_risk

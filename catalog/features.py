@@ -141,7 +141,7 @@ def _(v):
     return O.base_trust_score(test_flags(v))
 
 
-SQL_VIEWS["flow"] = """SELECT wallet, count(*) AS total_tx, count(DISTINCT counterparty) AS unique_destinations,
+FLOW = """SELECT wallet, count(*) AS total_tx, count(DISTINCT counterparty) AS unique_destinations,
     count(*) FILTER (near > 1) AS rapid_tx_count,
     round(coalesce((max(ts) - min(ts)) / nullif(count(*) - 1, 0), 0) * 100) / 100 AS avg_tx_interval,
     round(100.0 * count(DISTINCT counterparty) / count(*)::DOUBLE * 100) / 100 AS percent_to_new_wallets,
@@ -150,8 +150,10 @@ SQL_VIEWS["flow"] = """SELECT wallet, count(*) AS total_tx, count(DISTINCT count
       SELECT *, sum(brk) OVER (PARTITION BY wallet ORDER BY slot, signature) AS run FROM (
         SELECT *, count(*) OVER (PARTITION BY wallet ORDER BY ts RANGE BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS near,
           CASE WHEN slot - lag(slot) OVER (PARTITION BY wallet ORDER BY slot, signature) > 2 THEN 1 ELSE 0 END AS brk
-        FROM (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, signature DESC) <= 50))))
+        FROM {rows})))
     GROUP BY wallet"""
+SQL_VIEWS["flow"] = FLOW.format(rows="ends")
+SQL_VIEWS["flow_newest"] = FLOW.format(rows="(SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, signature DESC) <= 50)")
 
 
 @query("f06_flow_features", "SELECT * FROM flow")
@@ -159,6 +161,11 @@ def _(v):
     return O.flow_features(v.transfers)
 
 
+@query("f06_flow_features_newest", "SELECT * FROM flow_newest")
+def _(v):
+    return O.flow_features(v.transfers, n=50)
+
+
 @query("f07_transfer_destination", """SELECT signature, wallet, supplier AS "to" FROM tx_lines
     QUALIFY row_number() OVER (PARTITION BY signature ORDER BY l_linenumber, l_suppkey, l_partkey, lamports) = 1""")
 def _(v):

@@ -290,26 +290,22 @@ def _(v):
 SQL_VIEWS["ego_nodes"] = """SELECT seed, e.wallet, hop AS distance, coalesce(s.score, 50.0) AS score,
     b.wallet IS NOT NULL AS is_scam FROM (SELECT * FROM hops_six UNION ALL SELECT wallet, wallet, 0 FROM scam_six_hour) e
     LEFT JOIN latest_scores s ON s.wallet = split_part(e.wallet, '@', 1)
-    LEFT JOIN scam_six_hour b ON b.wallet = e.wallet
-    QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hop, e.wallet) <= 20"""
+    LEFT JOIN scam_six_hour b ON b.wallet = e.wallet"""
+SQL_VIEWS["ego_nearest"] = "SELECT * FROM ego_nodes QUALIFY row_number() OVER (PARTITION BY seed ORDER BY distance, wallet) <= 20"
+EGO_COLOR = """SELECT *, CASE WHEN is_scam THEN 'red' WHEN score >= 80 THEN 'green' WHEN score >= 50 THEN 'yellow' ELSE 'orange' END AS color FROM """
+EGO_EDGES = """SELECT x.seed, e.* FROM edges_six e JOIN {0} x ON x.wallet = e.sender JOIN {0} y ON y.wallet = e.receiver AND y.seed = x.seed"""
 
 
-def _ego(v):
+def _ego(v, max_nodes=None):
     scores = v.transfers_six_hour.select(F.explode(F.array("sender", "receiver")).alias("wallet")).distinct().join(
         v.latest_scores.withColumnRenamed("wallet", "w"), F.split("wallet", "@")[0] == F.col("w")).drop("w")
-    return G.ego_graph(v.transfers_six_hour, v.scam_six_hour, scores, v.scam_six_hour, depth=2, max_nodes=20)
+    return G.ego_graph(v.transfers_six_hour, v.scam_six_hour, scores, v.scam_six_hour, depth=2, max_nodes=max_nodes)
 
 
-@query("g21_ego_graph_nodes", """SELECT *, CASE WHEN is_scam THEN 'red' WHEN score >= 80 THEN 'green'
-    WHEN score >= 50 THEN 'yellow' ELSE 'orange' END AS color FROM ego_nodes""")
-def _(v):
-    return _ego(v)[0]
-
-
-@query("g21_ego_graph_edges", """SELECT x.seed, e.* FROM edges_six e JOIN ego_nodes x ON x.wallet = e.sender
-    JOIN ego_nodes y ON y.wallet = e.receiver AND y.seed = x.seed""")
-def _(v):
-    return _ego(v)[1]
+for _k, _name in enumerate(("nodes", "edges")):
+    query(f"g21_ego_graph_{_name}", (EGO_COLOR + "ego_nodes", EGO_EDGES.format("ego_nodes"))[_k])(lambda v, k=_k: _ego(v)[k])
+    query(f"g21_ego_graph_{_name}_nearest", (EGO_COLOR + "ego_nearest", EGO_EDGES.format("ego_nearest"))[_k])(
+        lambda v, k=_k: _ego(v, 20)[k])
 
 
 @query("g22_cluster_subgraph_nodes", """SELECT cluster_id, wallet, coalesce(score, 50.0) AS score
@@ -346,19 +342,25 @@ def _(v):
 
 
 SQL_VIEWS["tx_keys"] = """SELECT signature, block_time, wallet, unnest([wallet, supplier]) AS node FROM tx_lines"""
-SQL_VIEWS["tx_newest30"] = """SELECT wallet, signature FROM tx_heads
-    QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY block_time DESC, signature DESC) <= 30"""
+SQL_VIEWS["tx_newest"] = """SELECT wallet, signature FROM tx_heads
+    QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY block_time DESC, signature DESC) <= 5"""
 
 
 @query("g25_neighborhood_cluster", """SELECT wallet, 'cluster_' || substr(sha256(string_agg(node, ' ' ORDER BY node)), 1, 12)
     AS cluster_id, count(*) AS cluster_size, CASE WHEN count(b) > 0 THEN 'HIGH' ELSE 'LOW' END AS cluster_risk
-    FROM (SELECT DISTINCT k.wallet, k.node, s.wallet AS b FROM tx_keys k JOIN tx_newest30 n
-      ON n.signature = k.signature LEFT JOIN scam_suppliers s ON s.wallet = k.node
+    FROM (SELECT DISTINCT k.wallet, k.node, s.wallet AS b FROM tx_keys k LEFT JOIN scam_suppliers s ON s.wallet = k.node
       WHERE k.node = k.wallet OR length(k.node) BETWEEN 3 AND 48) GROUP BY 1""")
 def _(v):
     return G.neighborhood_cluster(v.tx_raw, v.scam_suppliers, ["transfer-program"], min_len=3)
 
 
+@query("g25_neighborhood_cluster_newest", """SELECT wallet, count(*) AS cluster_size, CASE WHEN count(b) > 0 THEN 'HIGH' ELSE 'LOW' END AS cluster_risk
+    FROM (SELECT DISTINCT k.wallet, k.node, s.wallet AS b FROM tx_keys k JOIN tx_newest n ON n.signature = k.signature
+      LEFT JOIN scam_suppliers s ON s.wallet = k.node WHERE k.node = k.wallet OR length(k.node) BETWEEN 3 AND 48) GROUP BY 1""")
+def _(v):
+    return G.neighborhood_cluster(v.tx_raw, v.scam_suppliers, ["transfer-program"], n=5, min_len=3).drop("cluster_id")
+
+
 SQL_VIEWS["sus_tx"] = """SELECT wallet, count(*) FILTER (wallet IN (FROM scam_wallets) OR counterparty IN (FROM scam_wallets))
     AS n FROM ends GROUP BY 1"""
 

@@ -100,7 +100,12 @@ def _(v):
     return O.stage_health(v.stage_log, NOW)[0]
 
 
-@query("u06_stage_errors", "SELECT ts, stage, message, wallet FROM stage_recent WHERE status = 'error' ORDER BY ts DESC, message LIMIT 20")
+@query("u06_stage_errors", "SELECT ts, stage, message, wallet FROM stage_recent WHERE status = 'error'")
+def _(v):
+    return O.stage_health(v.stage_log, NOW)[1]
+
+
+@query("u06_stage_errors_newest", "SELECT ts, stage, message, wallet FROM stage_recent WHERE status = 'error' ORDER BY ts DESC, message LIMIT 20")
 def _(v):
     return O.stage_health(v.stage_log, NOW, 20)[1]
 

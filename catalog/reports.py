@@ -159,27 +159,42 @@ SQL_VIEWS["flow_rows"] = """SELECT wallet, target, min(kind) AS kind FROM (SELEC
     UNION ALL SELECT wallet, counterparty, 2 FROM ends WHERE wallet <> counterparty) GROUP BY 1, 2"""
 
 
-@query("q11_flow_paths", """SELECT f.wallet AS source, target, CASE kind WHEN 1 THEN 'cluster' ELSE 'interaction' END AS relationship, CASE WHEN coalesce(score, 50) < 25 THEN 'HIGH' END AS risk FROM (
-    SELECT * FROM flow_rows QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY kind, target) <= 50) f LEFT JOIN p_scores s ON s.wallet = target""")
+@query("q11_flow_paths", """SELECT f.wallet AS source, target, CASE kind WHEN 1 THEN 'cluster' ELSE 'interaction' END AS relationship, CASE WHEN coalesce(score, 50) < 25 THEN 'HIGH' END AS risk FROM flow_rows f LEFT JOIN p_scores s ON s.wallet = target""")
 def _(v):
     return Q.flow_paths(v.transfers, v.cluster_members, partial_scores(v))
 
 
+@query("q11_flow_paths_first", """SELECT f.wallet AS source, target, CASE kind WHEN 1 THEN 'cluster' ELSE 'interaction' END AS relationship, CASE WHEN coalesce(score, 50) < 25 THEN 'HIGH' END AS risk FROM (
+    SELECT * FROM flow_rows QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY kind, target) <= 50) f LEFT JOIN p_scores s ON s.wallet = target""")
+def _(v):
+    return Q.flow_paths(v.transfers, v.cluster_members, partial_scores(v), 50)
+
+
 SQL_VIEWS["ig_rows"] = """SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY kind, node) AS rn FROM (SELECT wallet, node, min(kind) AS kind FROM (
     SELECT DISTINCT wallet, wallet AS node, 0 AS kind FROM flow_rows UNION ALL SELECT wallet, counterparty, 1 FROM ends WHERE wallet <> counterparty
     UNION ALL SELECT x.wallet, y.wallet, 2 FROM cluster_members x JOIN cluster_members y ON x.cluster_id = y.cluster_id AND x.wallet <> y.wallet) GROUP BY 1, 2)"""
 
 
-@query("q12_identity_graph_nodes", "SELECT r.wallet, node, coalesce(score, 50.0) AS risk FROM ig_rows r LEFT JOIN p_scores s ON s.wallet = node WHERE rn <= 30")
+@query("q12_identity_graph_nodes_first", "SELECT r.wallet, node, coalesce(score, 50.0) AS risk FROM ig_rows r LEFT JOIN p_scores s ON s.wallet = node WHERE rn <= 30")
 def _(v):
     return Q.identity_graph(v.transfers, v.cluster_members, partial_scores(v), 30, 20)[0]
 
 
-@query("q12_identity_graph_edges", "SELECT wallet, least(wallet, node) AS source, greatest(wallet, node) AS target FROM ig_rows WHERE rn <= 21 AND kind > 0")
+@query("q12_identity_graph_edges_first", "SELECT wallet, least(wallet, node) AS source, greatest(wallet, node) AS target FROM ig_rows WHERE rn <= 21 AND kind > 0")
 def _(v):
     return Q.identity_graph(v.transfers, v.cluster_members, partial_scores(v), 30, 20)[1]
 
 
+@query("q12_identity_graph_nodes", "SELECT r.wallet, node, coalesce(score, 50.0) AS risk FROM ig_rows r LEFT JOIN p_scores s ON s.wallet = node")
+def _(v):
+    return Q.identity_graph(v.transfers, v.cluster_members, partial_scores(v))[0]
+
+
+@query("q12_identity_graph_edges", "SELECT wallet, least(wallet, node) AS source, greatest(wallet, node) AS target FROM ig_rows WHERE kind > 0")
+def _(v):
+    return Q.identity_graph(v.transfers, v.cluster_members, partial_scores(v))[1]
+
+
 def cluster_types(v):
     """A cluster counts as scam when a member is a known scam wallet."""
     bad = v.cluster_members.join(v.scam_wallets, "wallet", "left_semi").select("cluster_id", F.lit("scam").alias("cluster_type")).distinct()
@@ -218,9 +233,9 @@ def _(v):
 @query("q14_wallet_dashboard", f"""SELECT l.wallet, CAST(round(score) AS INTEGER) AS trust_score, CASE WHEN is_anomalous THEN 'HIGH' ELSE 'unknown' END AS risk_tier, age AS wallet_age_days, n AS total_transactions, u AS unique_counterparties, v AS volume_30d,
     age > 90 AS long_term_holder, round(score) >= 70 AS low_risk_network, contains(rs, 'DRAINER') AS drainer_pattern, rs AS reasons, bs AS badges FROM latest_scores l JOIN (SELECT wallet, ({AS_OF + 66 * DAY} - min(ts)) // {DAY} AS age, count(*) AS n,
       count(DISTINCT CASE WHEN counterparty <> wallet THEN counterparty END) AS u, round(coalesce(sum(amount_lamports) FILTER (ts >= {AS_OF + 36 * DAY}), 0) / {D} * 100) / 100 AS v FROM ends GROUP BY 1) USING (wallet)
-    JOIN (SELECT wallet, string_agg(reason_code, ',' ORDER BY rn) AS rs FROM (SELECT wallet, reason_code, min(rn) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY created_at DESC, tx_hash DESC) AS rn FROM wallet_reasons) WHERE rn <= 20 GROUP BY 1, 2) GROUP BY 1) USING (wallet)
+    JOIN (SELECT wallet, string_agg(reason_code, ',' ORDER BY rn) AS rs FROM (SELECT wallet, reason_code, min(rn) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY created_at DESC, tx_hash DESC) AS rn FROM wallet_reasons) GROUP BY 1, 2) GROUP BY 1) USING (wallet)
     JOIN (SELECT wallet, string_agg(badge, ',' ORDER BY rn) AS bs FROM (SELECT wallet, badge, min(rn) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, badge) AS rn FROM (
-      SELECT wallet, {BADGE5} AS badge, max(computed_at) AS ts FROM score_timeline GROUP BY 1, 2)) WHERE rn <= 20 GROUP BY 1, 2) GROUP BY 1) USING (wallet)""")
+      SELECT wallet, {BADGE5} AS badge, max(computed_at) AS ts FROM score_timeline GROUP BY 1, 2)) GROUP BY 1, 2) GROUP BY 1) USING (wallet)""")
 def _(v):
     s = v.latest_scores.withColumn("risk_level", F.when(F.col("is_anomalous"), "HIGH"))
     b = v.score_timeline.groupBy("wallet", S.badge(F.col("score"))["name"].alias("badge")).agg(F.max("computed_at").alias("ts"))

@@ -125,7 +125,12 @@ def _(v):
     return T.upsert_by_key(old, new, ["wallet"])
 
 
-@query("s11_recent_history", """SELECT wallet, signature, ts FROM transfers
+@query("s11_recent_history", "SELECT wallet, signature, ts FROM transfers_large")
+def _(v):
+    return T.recent_history(v.transfers_large).select("wallet", "signature", "ts")
+
+
+@query("s11_recent_history_newest", """SELECT wallet, signature, ts FROM transfers
     QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, signature DESC) <= 50""")
 def _(v):
     return T.recent_history(v.transfers, 50).select("wallet", "signature", "ts")
@@ -206,7 +211,12 @@ def _(v):
     return v.tokens.select("mint", F.explode(T.parse_list_column(text)).alias("creator"))
 
 
-@query("s18_distinct_owners", """SELECT DISTINCT mint, wallet AS owner FROM token_accounts
+@query("s18_distinct_owners", "SELECT DISTINCT mint, wallet AS owner FROM token_accounts")
+def _(v):
+    return T.distinct_owners(v.token_accounts)
+
+
+@query("s18_distinct_owners_first", """SELECT DISTINCT mint, wallet AS owner FROM token_accounts
     QUALIFY row_number() OVER (PARTITION BY mint ORDER BY wallet) <= 10""")
 def _(v):
     return T.distinct_owners(v.token_accounts, 10)

@@ -179,17 +179,22 @@ def ent_hist(v):
         F.col("cluster_id").alias("entity_id"), F.col("computed_at").alias("at")).agg(F.max("score").alias("score"))
 
 
-def _entity_history(v):
+def _entity_history(v, keep=None):
     h = ent_hist(v)
     cut = AS_OF - 2 * DAY
-    return T.entity_history(h.filter(F.col("at") < cut), h.filter(F.col("at") >= cut), keep=40)
+    return T.entity_history(h.filter(F.col("at") < cut), h.filter(F.col("at") >= cut), keep=keep)
 
 
-@query("w10_entity_history", 'SELECT entity_id, "at", score, rank FROM ent_ranked WHERE rank <= 40')
+@query("w10_entity_history", 'SELECT entity_id, "at", score, rank FROM ent_ranked')
 def _(v):
     return _entity_history(v)[0]
 
 
+@query("w10_entity_history_newest", 'SELECT entity_id, "at", score, rank FROM ent_ranked WHERE rank <= 40')
+def _(v):
+    return _entity_history(v, 40)[0]
+
+
 @query("w10_entity_trend", """SELECT entity_id, recent, older, CASE WHEN n < 2 THEN NULL WHEN recent > older THEN 'improving' WHEN recent < older THEN 'degrading' ELSE 'stable' END AS trend
     FROM (SELECT entity_id, arg_min(score, rank) AS recent, arg_max(score, rank) AS older, count(*) AS n FROM ent_ranked WHERE rank <= 10 GROUP BY 1)""")
 def _(v):
