@@ -4,10 +4,11 @@
    identifier-like tokens and joined digit groups, each with its lexical contexts: the two words before, and the word
    before with the word after; the start of a text stands for a word.
 2. Contexts of seeds are patterns.  Spark scores the graph of patterns and instances in rounds: a pattern is worth
-   the summed worth of its distinct instances over their number plus ``SMOOTHING``; an unknown instance is worth
-   1 - product(1 - worth of its patterns); a seed is worth 1 for its kind.
-3. Patterns with a worth of ``MIN_WORTH`` and with at least ``MIN_SEEDS`` distinct seeds, and ``MIN_SHARE`` of all
-   seeds of their kind, are kept: at most 2 / MIN_SHARE per kind, whatever the corpus, so they are broadcast.
+   the summed worth of its distinct instances over their number plus ``SMOOTHING``; an unknown instance that looks like a
+   kind is worth 1 - product(1 - worth of its patterns) for it; a seed is worth 1 for its kind.  An instance worth
+   ``TRUST`` teaches like a seed, so contexts that no seed stands in join in the next round.
+3. Patterns with a worth of ``MIN_WORTH`` and with at least ``MIN_SEEDS`` distinct teachers, and ``MIN_SHARE`` of all
+   seeds of their kind, are kept.  They are broadcast, the worthiest ``MAX_PATTERNS`` of each kind if there are more.
 4. A second pass adds the identifier-like tokens that stand in a kept pattern and look like its kind.
 
 Results: one row per input row.  A null text counts as empty and has no spans.  Offsets are code points, ends are
@@ -26,12 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwise.functions.common import newest_n
 from ledgerwise.functions.storage import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SMOOTHING = 2.0
 MIN_WORTH, MIN_SEEDS, MIN_SHARE = 0.8, 5, 0.001
+TRUST = 0.9
+MAX_PATTERNS = 5_000
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: An email begins where no local character precedes, or right behind the previous one.
@@ -40,7 +44,8 @@ _EMAIL_FRESH = re.compile(rf"(?<![{_LOCAL}])" + _EMAIL.pattern)
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s<>|\"'=,;()]*(?:[0-9@]|::)[^\s<>|\"'=,;()]*")
+_RUN = re.compile(r"[^\s<>|\"'=,;()]++")
+_HINT = re.compile(r"[0-9@]|::")
 #: Digit groups joined by spaces, dots, hyphens and parentheses; a piece of WHOLE digits stands for itself.
 _GROUPS = re.compile(r"(?<![\w@/])[+(]{0,2}[0-9]++(?:[ .()-]{1,3}+[0-9]++)++")
 WHOLE = 10
@@ -111,7 +116,7 @@ def _digits(token: str) -> int:
 
 
 def _ipv6(token: str) -> bool:
-    return (token.count(":") >= 3 or "::" in token) and token.strip(":.") != "" and _IPV6.fullmatch(token) is not None
+    return len(token) <= 45 and (token.count(":") >= 3 or "::" in token) and token.strip(":.") != "" and _IPV6.fullmatch(token) is not None
 
 
 def _groups(text: str) -> Iterator[tuple[int, int]]:
@@ -135,8 +140,10 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
                 yield start, end
 
     def tokens() -> Iterator[tuple[int, int]]:
-        for m in _TOKEN.finditer(text):
+        for m in _RUN.finditer(text):
             found = m[0].rstrip(".:!?")
+            if not _HINT.search(found):
+                continue
             if _digits(found) >= 4 or "@" in found[1:-1] or _ipv6(found):
                 yield m.start(), m.start() + len(found)
 
@@ -165,39 +172,53 @@ def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 spans += [(a, z, -1) for a, z in candidates(text, base)]
             for a, z, kind in spans:
                 instance = xxhash.xxh3_64_intdigest(text[a:z].encode("utf-8", "surrogatepass")) - (1 << 63)
-                rows += [(p, kind, instance) for p in contexts(text, a, z)]
-        yield pd.DataFrame(rows, columns=["pattern", "kind", "instance"])
+                like = sum(1 << k for k in range(len(KINDS)) if fits(k, text[a:z])) if kind < 0 else 0
+                if kind >= 0 or like:
+                    rows += [(p, kind, like, instance) for p in contexts(text, a, z)]
+        yield pd.DataFrame(rows, columns=["pattern", "kind", "fits", "instance"])
 
 
 def score_patterns(mentions: DataFrame) -> DataFrame:
-    """(pattern, kind, worth) of the kept patterns from distinct (pattern, kind, instance); kind -1 is unknown."""
+    """(pattern, kind, worth) of the kept patterns from distinct (pattern, kind, fits, instance).
+
+    kind -1 is unknown; bit k of ``fits`` tells whether the instance looks like kind k.
+    """
     seeds = mentions.filter("kind >= 0")
     total = seeds.groupBy("kind").agg(F.approx_count_distinct("instance").alias("total"))
-    support = seeds.groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds"))
-    able = cut_lineage(support.join(F.broadcast(total), "kind").filter(  # one row per kind
-        (F.col("seeds") >= MIN_SEEDS) & (F.col("seeds") >= MIN_SHARE * F.col("total"))).select("pattern", "kind", "seeds"))
-    edges = cut_lineage(mentions.join(able.select("pattern").distinct(), "pattern"))
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size"))
-    able = cut_lineage(able.join(sizes, "pattern"))
-    unknown = edges.filter("kind = -1").select("pattern", "instance").distinct()
-    worth = able.withColumn("worth", F.col("seeds") / (F.col("size") + SMOOTHING))
+    support = cut_lineage(seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")))
+    sizes = mentions.groupBy("pattern").agg(F.countDistinct("instance").alias("size")).filter(F.col("size") >= MIN_SEEDS)
+    unknown = cut_lineage(mentions.filter("kind = -1").select("pattern", "instance", F.explode(F.array(*[
+        F.when(F.col("fits").bitwiseAND(1 << k) != 0, F.lit(k)) for k in range(len(KINDS))])).alias("kind")).filter("kind IS NOT NULL"))
+
+    def able(more: DataFrame) -> DataFrame:
+        """Patterns with enough teachers; more: (pattern, kind, more, trusted) of unknown instances."""
+        both = support.join(more, ["pattern", "kind"], "full").fillna(0, ["seeds", "more", "trusted"])
+        teachers = F.col("seeds") + F.col("trusted")
+        enough = both.join(F.broadcast(total), "kind").filter(  # one row per kind
+            (teachers >= MIN_SEEDS) & (teachers >= MIN_SHARE * F.col("total")))
+        return cut_lineage(enough.join(sizes, "pattern").select(
+            "pattern", "kind", ((F.col("seeds") + F.col("more")) / (F.col("size") + SMOOTHING)).alias("worth"),
+            (teachers / (F.col("size") + SMOOTHING)).alias("purity")))
+
+    worth = able(support.select("pattern", "kind", F.lit(0.0).alias("more"), F.lit(0).cast("bigint").alias("trusted")).limit(0))
     for _ in range(ROUNDS):
-        worth = cut_lineage(worth.select("pattern", "kind", "worth"))
-        found = unknown.join(worth, "pattern").groupBy("instance", "kind").agg(
-            (1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("value"))
-        more = unknown.join(found, "instance").groupBy("pattern", "kind").agg(F.sum("value").alias("more"))
-        worth = able.join(more, ["pattern", "kind"], "left").withColumn(
-            "worth", (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("size") + SMOOTHING))
-    purity = F.col("seeds") / (F.col("size") + SMOOTHING)
-    return worth.filter((F.col("worth") >= MIN_WORTH) & (purity >= MIN_WORTH / 2)).select("pattern", "kind", "worth")
+        known = unknown.join(worth.select("pattern", "kind", "worth"), ["pattern", "kind"])
+        found = cut_lineage(known.groupBy("instance", "kind").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("value")))
+        if found.isEmpty():
+            break
+        worth = able(unknown.join(found, ["instance", "kind"]).groupBy("pattern", "kind").agg(
+            F.sum("value").alias("more"), F.count_if(F.col("value") >= TRUST).alias("trusted")))
+    return worth.filter((F.col("worth") >= MIN_WORTH) & (F.col("purity") >= MIN_WORTH / 2)).select("pattern", "kind", "worth")
 
 
 def learn_patterns(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     """Pattern -> kind number: a bounded number of high-confidence patterns (the most worthy kind of each)."""
     mentions = cut_lineage(docs.select(F.col(text_col).alias("text")).mapInPandas(
-        _mentions, "pattern string, kind int, instance bigint").distinct())
-    best = score_patterns(mentions).groupBy("pattern").agg(F.max_by("kind", F.struct("worth", -F.col("kind"))).alias("kind"))
-    return {r.pattern: r.kind for r in best.collect()}
+        _mentions, "pattern string, kind int, fits int, instance bigint").distinct())
+    best = score_patterns(mentions).groupBy("pattern").agg(F.max("worth").alias("worth"), F.max_by("kind", F.struct("worth", -F.col("kind"))).alias("kind"))
+    kept = newest_n(best, ["kind"], [F.desc("worth"), F.col("pattern")], MAX_PATTERNS)
+    return {r.pattern: r.kind for r in kept.collect()}
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], patterns: dict[str, int]) -> list[tuple[int, int, int]]:

@@ -1,5 +1,7 @@
 """Spaced and bracketed identifiers, short IPv6 forms, and contexts at the start and the edge of the window."""
 
+import time
+
 import pytest
 
 from ledgerwise.llm.pii import REACH, base_spans, candidates, contexts, find_pii, fits, redact
@@ -34,3 +36,29 @@ def test_spaced_phones_are_found(spark, form):
     got = {r.doc_id: r.spans for r in find_pii(rows).collect()}
     assert got[98] == f"phone:18:{18 + len(form)}" and got[99] == f"phone:7:{7 + len(form)}"
     assert {r.text for r in redact(rows).filter("doc_id > 90 AND doc_id < 100").collect()} == {"please call me on <phone> thanks", "Phone: <phone> today"}
+
+
+def test_unspaced_text_costs_linear_time():
+    from ledgerwise.llm.pii import base_spans, candidates
+
+    def seconds(text):
+        start = time.perf_counter()
+        assert list(candidates(text, base_spans(text))) == []
+        return time.perf_counter() - start
+
+    for unit in ("a", "a.", "a::", "(", "+", "1 "):
+        small, big = (seconds(unit * n) for n in (100_000, 1_000_000))
+        assert big < 25 * small + 1, unit
+
+
+def test_bootstrap_grows_over_rounds(spark):
+    """Seeds teach one context, the identifiers found there teach another, that no seed stands in."""
+    from ledgerwise.llm.pii import find_pii
+
+    number = lambda i: f"212.555.{i:04d}"
+    rows = [(i, f"please call me on +1 (212) 555-{i:04d} thanks") for i in range(60)]
+    rows += [(100 + i, f"please call me on {number(i)} thanks") for i in range(20)]
+    rows += [(200 + i, f"his second desk line {number(i)} rings") for i in range(20)]
+    rows += [(300, f"his second desk line {number(9000)} rings"), (301, f"page of ledger {number(9001)} total"), (302, None)]
+    got = {r.doc_id: r.n_found for r in find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[100] == got[200] == got[300] == 1 and got[301] == got[302] == got[0] == 0
