@@ -39,7 +39,7 @@ from ledgerwise.llm.ngram_trie import KEY_BITS, NgramTrie
 from ledgerwise.llm.textsets import mix, words
 
 DISCOUNT = 0.75
-PART_WORDS = 1_000_000
+PART_WORDS = 1_500_000
 SHARD_BYTES = 8_000_000
 SAMPLE_DOCS = 2_000
 
@@ -48,16 +48,19 @@ _SHIFT = _U(64 - KEY_BITS)
 #: No word has a space, so these are nobody's hashes.
 START, END = (xxhash.xxh3_64_intdigest(w) for w in (b" start", b" end"))
 _KINDS = {
-    # mids: key, words, contexts; then per word: key, count; per context: key, trigrams; per trigram: rank, count
-    "ask": [_U, np.uint32, np.uint32, np.uint8, np.uint32, np.uint8, np.uint32, np.uint32, np.uint32, np.int64],
-    "answer": [np.int64, np.uint32, np.uint8, np.float32, np.uint8, np.float32, np.uint8, np.float32, np.int64],
-    "plan": [_U, np.int32, np.int64, np.uint8, np.int64, np.uint8, np.uint8],
+    # per middle word: key (gaps), words, contexts; per word: key, count; per context: key, trigrams; per trigram: rank, count
+    "ask": [_U, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.int64],
+    # keys (gaps) of whole words; per middle word: count, different successors; codes and books of the levels; totals
+    "answer": [_U, np.int64, np.uint32, np.uint8, np.float32, np.uint8, np.float32, np.uint8, np.float32, np.int64],
+    # word numbers; words of each text, null ids, ids, held out; the split words of the part
+    "plan": [np.int32, np.int64, np.uint8, np.int64, np.uint8, _U],
 }
 
 
 def pack(kind: str, *arrays: np.ndarray) -> bytes:
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    body = b"".join(np.ascontiguousarray(a, k).tobytes() for a, k in zip(arrays, _KINDS[kind], strict=True))
+    # byte by byte of all values: the high bytes are mostly zero
+    body = b"".join(np.ascontiguousarray(a, k).view(np.uint8).reshape(len(a), np.dtype(k).itemsize).T.tobytes() for a, k in zip(arrays, _KINDS[kind], strict=True))
     return zstandard.ZstdCompressor(level=1).compress(head + body)
 
 
@@ -65,20 +68,20 @@ def unpack(kind: str, raw: bytes) -> list[np.ndarray]:
     raw, kinds = zstandard.ZstdDecompressor().decompress(raw), _KINDS[kind]
     at, out = 8 * len(kinds), []
     for n, k in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds):
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+        size = np.dtype(k).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).ravel())
+        at += n * size
     return out
 
 
-def narrow(keys: np.ndarray) -> np.ndarray:
-    """The bytes of ``KEY_BITS``-bit keys."""
-    return np.ascontiguousarray(keys.astype(_U).view(np.uint8).reshape(-1, 8)[:, :KEY_BITS // 8]).ravel()
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Rising keys as differences."""
+    return np.diff(keys, prepend=_U(0))
 
 
-def wide(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // (KEY_BITS // 8), 8), np.uint8)
-    out[:, :KEY_BITS // 8] = raw.reshape(len(out), -1)
-    return out.view(_U).ravel()
+def whole(gap: np.ndarray) -> np.ndarray:
+    return np.cumsum(gap, dtype=_U)
 
 
 def _starts(counts: np.ndarray) -> np.ndarray:
@@ -174,8 +177,8 @@ class Layout:
             a, b = self.shard_at[s], self.shard_at[s + 1]
             w, c = slice(*self.words_at[[a, b]]), slice(*self.contexts_at[[a, b]])
             t = slice(*self.trigrams_at[self.contexts_at[[a, b]]])
-            yield s, pack("ask", self.mids[a:b], np.diff(self.words_at[a:b + 1]), np.diff(self.contexts_at[a:b + 1]),
-                          narrow(self.word_key[w]), n_words[w], narrow(self.context_key[c]),
+            yield s, pack("ask", gaps(self.mids[a:b]), np.diff(self.words_at[a:b + 1]), np.diff(self.contexts_at[a:b + 1]),
+                          self.word_key[w], n_words[w], self.context_key[c],
                           np.diff(self.trigrams_at[self.contexts_at[a]:self.contexts_at[b] + 1]), rank[t], n_tri[t],
                           np.concatenate([[docs if s == 0 else 0], self.kinds[a:b]]))
 
@@ -190,8 +193,9 @@ class Asked:
     """The lists of all parts for one trie, added up."""
 
     def __init__(self, lists: list[list[np.ndarray]]):
-        cols = [np.concatenate(c) for c in zip(*[x[:9] for x in lists])]
-        mids, n_words, n_contexts, word_raw, self.n_word, context_raw, n_tri, rank, self.n_tri_raw = cols
+        self.lists = [whole(x[0]) for x in lists]
+        cols = [np.concatenate(c) for c in zip(*[(keys, *x[1:9]) for keys, x in zip(self.lists, lists)])]
+        mids, n_words, n_contexts, word_key, self.n_word, context_key, n_tri, rank, self.n_tri_raw = cols
         self.docs = sum(int(x[9][0]) for x in lists)
         kinds = np.concatenate([x[9][1:] for x in lists])
         self.sizes = [(len(x[0]), len(x[4]), len(x[6]), len(x[7])) for x in lists]
@@ -200,8 +204,8 @@ class Asked:
         self.kinds[self.mid_inv] = kinds
         at = np.arange(len(mids))
         word_at, list_mid = _starts(n_words), np.repeat(at, n_contexts)
-        self.word_root, self.word_key, self.word_inv = _merge(self.mid_inv[np.repeat(at, n_words)], wide(word_raw), KEY_BITS)
-        self.ctx_root, self.ctx_key, self.ctx_inv = _merge(self.mid_inv[list_mid], wide(context_raw), KEY_BITS)
+        self.word_root, self.word_key, self.word_inv = _merge(self.mid_inv[np.repeat(at, n_words)], word_key, KEY_BITS)
+        self.ctx_root, self.ctx_key, self.ctx_inv = _merge(self.mid_inv[list_mid], context_key, KEY_BITS)
         owner = np.repeat(np.arange(len(list_mid)), n_tri)
         word = self.word_inv[word_at[list_mid[owner]] + rank]
         self.tri_ctx, tri_word, self.tri_inv = _merge(self.ctx_inv[owner], word, 32)
@@ -236,18 +240,18 @@ class Asked:
         plain = self.kinds == 0
         totals = np.array([self.total[plain].sum(), (plain & (self.total > 0)).sum(), self.docs])
         at = [0, 0, 0, 0]
-        for size in self.sizes:
+        for keys, size in zip(self.lists, self.sizes):
             m, w, c, t = (inv[a:a + n] for inv, a, n in zip((self.mid_inv, self.word_inv, self.ctx_inv, self.tri_inv), at, size))
             at = [a + n for a, n in zip(at, size)]
-            yield pack("answer", self.total[m], self.kinds_met[m], by_word[w], trie.codes["words_book"], by_ctx[c],
+            yield pack("answer", gaps(keys[plain[m]]), self.total[m], self.kinds_met[m], by_word[w], trie.codes["words_book"], by_ctx[c],
                        trie.codes["contexts_book"], by_tri[t], trie.codes["ranks_book"], totals)
 
 
 def score_part(layout: Layout, answers: list[list[np.ndarray]], discount: float) -> dict[str, np.ndarray | int]:
     """Sums of a part's documents from the answers of all tries in order."""
-    total, met = (np.concatenate([x[i] for x in answers]).astype(np.int64) for i in (0, 1))
-    by_word, by_ctx, by_tri = (np.concatenate([x[i + 1][x[i]] for x in answers]).astype(np.float64) for i in (2, 4, 6))
-    n_all, n_kinds, docs = sum(x[8] for x in answers).tolist()
+    total, met = (np.concatenate([x[i] for x in answers]).astype(np.int64) for i in (1, 2))
+    by_word, by_ctx, by_tri = (np.concatenate([x[i + 1][x[i]] for x in answers]).astype(np.float64) for i in (3, 5, 7))
+    n_all, n_kinds, docs = sum(x[9] for x in answers).tolist()
     pieces = lambda x: np.add.reduceat(np.append(x[layout.split_mids], 0), layout.split_at[:-1]) if len(layout.split_keys) \
         else np.empty(0, np.int64)
     split_total, split_met = pieces(total), pieces(met)
@@ -340,8 +344,8 @@ def _lists(docs: DataFrame, split: dict[int, int], shards: int, part_words: int)
             teach = np.array(teach, bool)
             rows = list(layout.asked(np.repeat(teach, lengths + 1), int(teach.sum())))
             null = np.array([i is None for i in ids])
-            plan = pack("plan", hashes, numbers, lengths, null, np.array([i or 0 for i in ids], np.int64),
-                        np.array(out, bool), teach)
+            plan = pack("plan", numbers, lengths, null, np.array([i or 0 for i in ids], np.int64), np.array(out, bool),
+                        np.intersect1d(hashes, layout.split_keys))
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([-1 - part, *[s for s, _ in rows]], pa.int64()),
                 "part": pa.array([part] * (len(rows) + 1), pa.int64()), "payload": pa.array([plan, *[x for _, x in rows]], pa.binary())})
@@ -379,9 +383,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     def score(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("shard").to_pylist(), t.column("payload").to_pylist()))
-        hashes, numbers, lengths, null, ids, out, _ = unpack("plan", rows[0][1])
+        numbers, lengths, null, ids, out, cut = unpack("plan", rows[0][1])
+        answers = [unpack("answer", x) for _, x in rows[1:]]
+        # the part's words are the middle words that the tries send back, the split ones and the two marks
+        hashes = np.unique(np.concatenate([*[whole(x[0]) for x in answers], cut, np.array([START, END], _U)]))
         layout = Layout(hashes, numbers.astype(np.int64), lengths, split, shards)
-        got = score_part(layout, [unpack("answer", x) for _, x in rows[1:]], discount)
+        got = score_part(layout, answers, discount)
         n = len(ids)
         return pa.Table.from_arrays([
             pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(out.astype(bool)), pa.array(lengths + 1, pa.int64()),

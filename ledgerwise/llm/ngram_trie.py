@@ -14,8 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Bits of a word's hash below its parent.
-KEY_BITS = 40
+#: Bits of a word's hash below its parent.  Words that share them below one parent count as one there.
+KEY_BITS = 32
 _U = np.uint64
 
 
