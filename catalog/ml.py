@@ -16,7 +16,6 @@ from ledgerwise.operators import analysis as A
 from ledgerwise.operators import drainer as D
 from ledgerwise.operators import features as O
 from ledgerwise.operators import ml as M
-from ledgerwise.operators import propagation as R
 
 
 def labels_in(v):
@@ -201,7 +200,7 @@ def _(v):
     labels = t.select(F.explode(F.array("sender", "receiver")).alias("wallet")).distinct().join(
         v.latest_scores.select(F.col("wallet").alias("w"), "score"), F.split("wallet", "@")[0] == F.col("w")).select(
         "wallet", (F.col("score") < 70).cast("int").alias("label"))
-    return M.tune_propagation(R.scam_reach(und_six(v), v.scam_six_hour), labels, _GRID, AS_OF, scam_below=49.0)
+    return M.tune_propagation(und_six(v), v.scam_six_hour, labels, _GRID, AS_OF, scam_below=49.0)
 
 
 @query("m14_save_load_model")

@@ -43,10 +43,13 @@ def cut_with_metrics(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]
     return out, out.agg(*[c.alias(name) for name, c in metrics.items()]).first().asDict()
 
 
+def release_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a step that nothing reads any more."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/step-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            release_path(df.sparkSession, name)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerwise import params as P
 from ledgerwise.functions.common import assemble, clamp, lookup, ratio, rnd
 from ledgerwise.operators.analysis import FEATURE_NAMES
+from ledgerwise.operators.propagation import reach_sums
 from ledgerwise.operators.reasons import feature_join
 
 # fixed values: labels that mean scam
@@ -213,21 +214,23 @@ def tune_reason_weights(reasons: DataFrame, labels: DataFrame, grid: dict[str, S
     return marked.withColumnsRenamed({f"w{i}": c for i, c in enumerate(names)})
 
 
-def tune_propagation(reach: DataFrame, labels: DataFrame, grid: dict[str, Sequence[float]], as_of: int, base: float = 50.0,
-                     scam_below: float = 20.0) -> DataFrame:
-    """Quality of every propagation setting over one breadth-first reach (``scam_reach`` at the greatest depth).
+def tune_propagation(edges: DataFrame, scam: DataFrame, labels: DataFrame, grid: dict[str, Sequence[float]], as_of: int,
+                     base: float = 50.0, scam_below: float = 20.0) -> DataFrame:
+    """Quality of every propagation setting over one breadth-first walk from the scam wallets.
 
     grid: d1, d2, d3, volume_scale, time_decay_days, max_depth.  The penalty is linear in the depth
-    penalties and the scale, so reach is first summed per (wallet, decay, depth) and only
+    penalties and the scale, so the walk keeps one sum per (wallet, depth, decay) (``reach_sums``) and only
     these sums of labelled wallets meet the grid.
     """
     values = lambda k: F.array(*[F.lit(x) for x in grid[k]])
     size = F.least(F.lit(1.0), F.log10(F.col("amount") + 1) / 3)
     age = (F.lit(as_of) - F.col("last_ts")) / 86_400.0
-    near = reach.join(labels.select(F.col("wallet").alias("node")), "node", "left_semi")
-    sums = near.withColumn("time_decay_days", F.explode(values("time_decay_days"))).withColumn(
-        "x", (size * F.exp(-age / F.greatest(F.col("time_decay_days"), F.lit(1)))).cast("decimal(28,9)")).groupBy(
-        F.col("node").alias("wallet"), "time_decay_days").agg(
+    decays = grid["time_decay_days"]
+    reach = reach_sums(edges, scam, {f"x{i}": size * F.exp(-age / max(k, 1)) for i, k in enumerate(decays)}, max_depth=3)
+    near = reach.join(labels.select("wallet"), "wallet", "left_semi").select("wallet", "depth", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("time_decay_days"), F.col(f"x{i}").alias("x")) for i, k in enumerate(decays)])).alias("e")).select(
+        "wallet", "depth", "e.*")
+    sums = near.groupBy("wallet", "time_decay_days").agg(
         *[F.coalesce(F.sum(F.when(F.col("depth") == d, F.col("x"))), F.lit(0)).cast("double").alias(f"s{d}") for d in (1, 2, 3)])
     rows = labels.select("wallet", "label", F.explode(values("time_decay_days")).alias("time_decay_days")).join(
         sums, ["wallet", "time_decay_days"], "left").fillna(0.0, ["s1", "s2", "s3"])

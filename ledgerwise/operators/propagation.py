@@ -2,45 +2,104 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise import params as P
-from ledgerwise.functions.common import DAY, clamp, rnd
-from ledgerwise.functions.storage import cut_lineage
-from ledgerwise.operators.graph import connected_components, k_hop_neighbors
+from ledgerwise.functions.common import DAY, clamp, clean_wallet, newest_n, rnd
+from ledgerwise.functions.storage import cut_lineage, release, release_path, shared_dir
+from ledgerwise.operators.graph import adjacency, connected_components, k_hop_neighbors
 
 
-def scam_reach(edges: DataFrame, scam: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Breadth-first reach of each scam wallet: (source, node, depth, amount, last_ts).
+#: Sources that are walked together, and neighbours of a node that one task of a step meets.
+BLOCK_SOURCES = 10_000
+HUB = 100_000
 
-    ``amount`` and ``last_ts`` belong to the edge that first reached the node; among
-    predecessors one level up, the smallest wallet id is taken.  Nodes that are scam
-    wallets are walked through but not reported.
+
+@contextmanager
+def bucketed_neighbors(edges: DataFrame, hub: int = HUB) -> Iterator[DataFrame]:
+    """(x, salt, y, parts, amount, last_ts): both directions of the edges, bucketed by (x, salt) for the time of the block.
+
+    A node with more than ``hub`` neighbours is spread over several salts; ``parts`` is the number of salts of y.
+    Written once, the table joins any number of frontiers without being shuffled again.
     """
-    ends = edges.select(
+    spark = edges.sparkSession
+    ends = cut_lineage(edges.select(
         F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
                           F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "amount", "last_ts",
-    ).select("e.*", "amount", "last_ts")
-    bad = scam.select("wallet").distinct()
-    seen = bad.select(F.col("wallet").alias("source"), F.col("wallet").alias("node"))
-    frontier, levels = seen, []
+    ).select("e.*", "amount", "last_ts"))
+    parts = F.ceil(F.count(F.lit(1)) / hub).cast("int")
+    degree = cut_lineage(ends.groupBy(F.col("x").alias("node")).agg(parts.alias("parts")))
+    rows = ends.join(degree.select(F.col("node").alias("x"), F.col("parts").alias("_x")), "x").join(
+        degree.select(F.col("node").alias("y"), "parts"), "y")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("y"), F.col("_x")).cast("int")).drop("_x")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"neighbors_{uuid.uuid4().hex}", f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    rows.repartition(n, "x", "salt").write.bucketBy(n, "x", "salt").sortBy("x", "salt").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    try:
+        yield table
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for step in (ends, degree):
+            release(step)
+        release_path(spark, path)
+
+
+def _levels(neighbors: DataFrame, sources: DataFrame, max_depth: int) -> Iterator[tuple[int, DataFrame]]:
+    """(depth, level): rows (source, node, parts, amount, last_ts) first reached at that depth.
+
+    A neighbour of a level lies in the level before, in the same or in the next one, so the new level is what neither of
+    these two holds; one aggregation finds that and the smallest predecessor.
+    """
+    home = neighbors.join(sources.select(F.col("wallet").alias("y")), "y", "left_semi").groupBy("y").agg(F.max("parts").alias("parts"))
+    level = cut_lineage(home.select(F.col("y").alias("source"), F.col("y").alias("node"), "parts"))
+    before = None
     for depth in range(1, max_depth + 1):
-        step = (
-            frontier.join(ends, F.col("node") == F.col("x"))
-            .groupBy("source", F.col("y").alias("node"))
-            .agg(F.min_by(F.struct("amount", "last_ts"), F.col("x")).alias("via"))
-            .join(seen, ["source", "node"], "left_anti")
-            .select("source", "node", F.lit(depth).alias("depth"), "via.amount", "via.last_ts")
-        )
-        step = cut_lineage(step)
-        levels.append(step)
-        frontier = step.select("source", "node")
-        seen = seen.unionByName(frontier)
-    found = reduce(DataFrame.unionByName, levels)
-    return found.join(bad.withColumnRenamed("wallet", "node"), "node", "left_anti")
+        frontier = level.select("source", F.col("node").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        met = frontier.join(neighbors, ["x", "salt"]).select(
+            "source", F.col("y").alias("node"), F.struct("x", "amount", "last_ts", "parts").alias("via"))
+        old = level.select("source", "node") if before is None else level.select("source", "node").union(before.select("source", "node"))
+        rows = met.unionByName(old, allowMissingColumns=True)
+        new = rows.groupBy("source", "node").agg(
+            F.min_by("via", "via.x").alias("via"), F.max(F.col("via").isNull()).alias("_old")).filter("NOT _old")
+        step = cut_lineage(new.select("source", "node", "via.parts", "via.amount", "via.last_ts"))
+        yield depth, step
+        if before is not None:
+            release(before)
+        before, level = level, step
+    for df in (before, level):
+        if df is not None:
+            release(df)
+
+
+def reach_sums(edges: DataFrame, scam: DataFrame, weights: Mapping[str, Column], max_depth: int = 3,
+               block_sources: int = BLOCK_SOURCES, hub: int = HUB) -> DataFrame:
+    """(wallet, depth, one decimal sum per weight) over the breadth-first reach of each scam wallet.
+
+    A weight is an expression of depth and of amount and last_ts of the edge that first reached the wallet (the smallest
+    of the predecessors one level up).  Scam wallets are walked through but not reported.  Sources are walked in
+    blocks and only the sums of a block stay, so at no time are there more pairs than one block times the wallets.
+    """
+    bad = cut_lineage(scam.select("wallet").filter("wallet IS NOT NULL").distinct())
+    blocks = max(1, -(-bad.count() // block_sources))
+    sums = None
+    with bucketed_neighbors(edges, hub) as neighbors:
+        for k in range(blocks):
+            block = bad.filter(F.pmod(F.xxhash64("wallet"), F.lit(blocks)) == k)
+            for depth, level in _levels(neighbors, block, max_depth):
+                found = level.select(F.col("node").alias("wallet"), F.lit(depth).alias("depth"), "amount", "last_ts").join(
+                    bad, "wallet", "left_anti")
+                part = cut_lineage(found.groupBy("wallet", "depth").agg(
+                    *[F.sum(w.cast("decimal(28,9)")).cast("decimal(38,9)").alias(name) for name, w in weights.items()]))
+                sums = part if sums is None else sums.unionByName(part)
+    return sums.groupBy("wallet", "depth").agg(*[F.sum(name).alias(name) for name in weights])
 
 
 def reach_penalty(as_of: int, depth_penalties, scale, decay_days) -> F.Column:
@@ -53,11 +112,10 @@ def reach_penalty(as_of: int, depth_penalties, scale, decay_days) -> F.Column:
 
 
 def propagate_scam_penalty(edges_undirected: DataFrame, scam: DataFrame, as_of: int,
-                           cfg: P.PropagationConfig = P.PropagationConfig()) -> DataFrame:
-    reach = scam_reach(edges_undirected, scam, cfg.max_depth)
+                           cfg: P.PropagationConfig = P.PropagationConfig(), block_sources: int = BLOCK_SOURCES) -> DataFrame:
     pen = reach_penalty(as_of, [F.lit(float(p)) for p in cfg.penalties], F.lit(cfg.scale), F.lit(float(cfg.decay_days)))
-    return reach.groupBy(F.col("node").alias("wallet")).agg(
-        F.sum(pen.cast("decimal(28,9)")).cast("double").alias("penalty"))
+    sums = reach_sums(edges_undirected, scam, {"penalty": pen}, cfg.max_depth, block_sources)
+    return sums.groupBy("wallet").agg(F.sum("penalty").cast("double").alias("penalty"))
 
 
 def propagation_updates(penalties: DataFrame, degrees: DataFrame, scores: DataFrame, base: float = 50.0) -> DataFrame:
@@ -83,10 +141,38 @@ def propagation_hits(edges: DataFrame, latest_scores: DataFrame,
                         decay.alias("decay"), (F.lit(cfg.base) * decay).alias("penalty"))
 
 
+def nearest_sources(edges: DataFrame, sources: DataFrame, hops: int, enough: int) -> DataFrame:
+    """(wallet, source, hop) with the fewest hops from a source to each wallet, at most ``enough`` sources handed on per
+    wallet and hop.
+
+    A wallet passes on only its first ``enough`` sources of a hop.  So a step has at most ``enough`` rows per edge,
+    and a wallet lacks a source only if it sees at least ``enough`` others that are as near.
+    """
+    adj = cut_lineage(adjacency(edges))
+    level = sources.select("wallet", F.col("wallet").alias("source"), F.lit(0).alias("hop"))
+    found = level
+    for hop in range(1, hops + 1):
+        met = level.join(adj, "wallet").select(F.col("neighbor").alias("wallet"), "source", F.lit(hop).alias("hop"))
+        near = found.unionByName(met).groupBy("wallet", "source").agg(F.min("hop").alias("hop"))
+        if hop == hops:
+            return near.filter("hop > 0")
+        new = near.filter(F.col("hop") == hop)
+        level = cut_lineage(newest_n(new, ["wallet"], [F.col("source")], enough))
+        found = found.unionByName(level)
+    return found.filter("hop > 0")
+
+
 def anomalous_neighbor_penalty(edges: DataFrame, latest_scores: DataFrame, base: DataFrame,
                                cfg: P.NeighborPenaltyConfig = P.NeighborPenaltyConfig()) -> DataFrame:
-    total = propagation_hits(edges, latest_scores, cfg).groupBy(F.col("affected").alias("wallet")).agg(
-        F.least(F.lit(cfg.cap), F.sum("penalty")).alias("penalty"))
+    """Score less the capped sum of the decayed penalties of anomalous wallets within the hop limit.
+
+    So many sources at the largest distance reach the cap; a wallet needs no more witnesses than that.
+    """
+    enough = math.ceil(cfg.cap / (cfg.base * cfg.decay ** cfg.max_hops)) + 1  # one of them may be the wallet itself
+    bad = latest_scores.filter("is_anomalous").select(clean_wallet("wallet").alias("wallet")).distinct()
+    near = nearest_sources(edges, bad, cfg.max_hops, enough)
+    total = near.groupBy("wallet").agg(F.least(
+        F.lit(cfg.cap), F.sum(F.lit(cfg.base) * F.pow(F.lit(cfg.decay), F.col("hop")))).alias("penalty"))
     penalty = F.coalesce("penalty", F.lit(0.0))
     return base.select("wallet", F.col("score").alias("_s")).join(total, "wallet", "left").select(
         "wallet", penalty.alias("penalty"), clamp(rnd(F.col("_s") - penalty, 2)).alias("adjusted_score"))
