@@ -9,7 +9,7 @@ documents are kept, so the model grows with the corpus; it is cut in tries of ab
    distinct middle words v with their successors, predecessors and trigrams, and how often learning documents have them.
 2. The task of a trie adds these lists up, builds the trie (``ngram_trie``) with discounted, quantised probabilities,
    maps it from a file, and answers each part's list entry by entry.
-3. The part joins the answers with its word numbers, that went through the same shuffle, and adds up its documents.
+3. The part joins the answers with its word numbers, that wait where the first shuffle put them, and adds up its documents.
 
 The trie of a trigram follows from its middle word.  A word that takes more than half a trie's share of all words
 is split: its trigrams by their first word, its bigrams by their last word, over as many parts of tries as its share asks for.
@@ -59,9 +59,10 @@ _KINDS = {
 
 def pack(kind: str, *arrays: np.ndarray) -> bytes:
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    # byte by byte of all values: the high bytes are mostly zero
-    body = b"".join(np.ascontiguousarray(a, k).view(np.uint8).reshape(len(a), np.dtype(k).itemsize).T.tobytes() for a, k in zip(arrays, _KINDS[kind], strict=True))
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    body = [head]
+    for a, k in zip(arrays, _KINDS[kind], strict=True):  # byte by byte of all values: the high bytes are mostly zero
+        body.append(np.ascontiguousarray(a, k).view(np.uint8).reshape(len(a), np.dtype(k).itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(body))
 
 
 def unpack(kind: str, raw: bytes) -> list[np.ndarray]:
@@ -75,13 +76,13 @@ def unpack(kind: str, raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def gaps(keys: np.ndarray) -> np.ndarray:
-    """Rising keys as differences."""
-    return np.diff(keys, prepend=_U(0))
+def gaps(keys: np.ndarray, kind: type = _U) -> np.ndarray:
+    """Keys as differences (modulo the range of the type); small where keys rise."""
+    return np.diff(keys.astype(kind), prepend=kind(0))
 
 
 def whole(gap: np.ndarray) -> np.ndarray:
-    return np.cumsum(gap, dtype=_U)
+    return np.cumsum(gap, dtype=gap.dtype)
 
 
 def _starts(counts: np.ndarray) -> np.ndarray:
@@ -178,7 +179,7 @@ class Layout:
             w, c = slice(*self.words_at[[a, b]]), slice(*self.contexts_at[[a, b]])
             t = slice(*self.trigrams_at[self.contexts_at[[a, b]]])
             yield s, pack("ask", gaps(self.mids[a:b]), np.diff(self.words_at[a:b + 1]), np.diff(self.contexts_at[a:b + 1]),
-                          self.word_key[w], n_words[w], self.context_key[c],
+                          gaps(self.word_key[w], np.uint32), n_words[w], gaps(self.context_key[c], np.uint32),
                           np.diff(self.trigrams_at[self.contexts_at[a]:self.contexts_at[b] + 1]), rank[t], n_tri[t],
                           np.concatenate([[docs if s == 0 else 0], self.kinds[a:b]]))
 
@@ -194,7 +195,8 @@ class Asked:
 
     def __init__(self, lists: list[list[np.ndarray]]):
         self.lists = [whole(x[0]) for x in lists]
-        cols = [np.concatenate(c) for c in zip(*[(keys, *x[1:9]) for keys, x in zip(self.lists, lists)])]
+        cols = [np.concatenate(c) for c in zip(*[
+            (keys, *x[1:3], whole(x[3]), x[4], whole(x[5]), *x[6:9]) for keys, x in zip(self.lists, lists)])]
         mids, n_words, n_contexts, word_key, self.n_word, context_key, n_tri, rank, self.n_tri_raw = cols
         self.docs = sum(int(x[9][0]) for x in lists)
         kinds = np.concatenate([x[9][1:] for x in lists])
@@ -375,29 +377,34 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     def answer(t: pa.Table) -> pa.Table:
         if t.column("shard")[0].as_py() < 0:
-            return t
+            return t.slice(0, 0)
         asked = Asked([unpack("ask", x) for x in t.column("payload").to_pylist()])
         trie = asked.trie(discount).mapped()
         return pa.Table.from_arrays([t.column("shard"), t.column("part"), pa.array(list(asked.answers(trie)), pa.binary())],
                                     ["shard", "part", "payload"])
 
-    def score(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("shard").to_pylist(), t.column("payload").to_pylist()))
-        numbers, lengths, null, ids, out, cut = unpack("plan", rows[0][1])
-        answers = [unpack("answer", x) for _, x in rows[1:]]
+    def score(t: pa.Table, got: pa.Table) -> pa.Table:
+        if not len(got):  # the list of a trie
+            return pa.Table.from_batches([], schema=result)
+        numbers, lengths, null, ids, out, cut = unpack("plan", t.column("payload")[0].as_py())
+        rows = sorted(zip(got.column("shard").to_pylist(), got.column("payload").to_pylist()))
+        answers = [unpack("answer", x) for _, x in rows]
         # the part's words are the middle words that the tries send back, the split ones and the two marks
         hashes = np.unique(np.concatenate([*[whole(x[0]) for x in answers], cut, np.array([START, END], _U)]))
         layout = Layout(hashes, numbers.astype(np.int64), lengths, split, shards)
-        got = score_part(layout, answers, discount)
+        sums = score_part(layout, answers, discount)
         n = len(ids)
         return pa.Table.from_arrays([
             pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(out.astype(bool)), pa.array(lengths + 1, pa.int64()),
-            pa.array(got["n_known"], pa.int64()), pa.array([got["train_tokens"]] * n, pa.int64()),
-            pa.array(got["base"], pa.float64()), pa.array(got["score"], pa.float64())],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    answers = _lists(rows.select("doc_id", "text", "teach", "held_out"), split, shards, part_words).groupBy("shard").applyInArrow(answer, _ROW)
-    return answers.groupBy("part").applyInArrow(
+            pa.array(sums["n_known"], pa.int64()), pa.array([sums["train_tokens"]] * n, pa.int64()),
+            pa.array(sums["base"], pa.float64()), pa.array(sums["score"], pa.float64())], schema=result)
+
+    result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    # one shuffle serves the tries and, by the key of its plan, each part: the plan waits where the answers will come
+    lists = _lists(rows.select("doc_id", "text", "teach", "held_out"), split, shards, part_words).repartition("shard")
+    answers = lists.groupBy("shard").applyInArrow(answer, _ROW).withColumn("plan", -1 - F.col("part"))
+    return lists.groupBy("shard").cogroup(answers.groupBy("plan")).applyInArrow(
         score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
