@@ -39,7 +39,7 @@ from ledgerwise.llm.ngram_trie import KEY_BITS, NgramTrie
 from ledgerwise.llm.textsets import mix, words
 
 DISCOUNT = 0.75
-PART_WORDS = 1_500_000
+PART_WORDS = 1_200_000
 SHARD_BYTES = 8_000_000
 SAMPLE_DOCS = 2_000
 
@@ -100,7 +100,7 @@ class Layout:
         self.hashes = hashes
         start, end = np.searchsorted(hashes, np.array([START, END], _U))
         n_docs, at = len(lengths), _starts(lengths + 3)
-        line = np.full(int(at[-1]), start, np.int64)  # of each document: start, start, its words, end
+        line = np.full(int(at[-1]), start, np.int32)  # of each document: start, start, its words, end
         inside = np.ones(len(line), bool)
         inside[at[:-1]] = inside[at[:-1] + 1] = inside[at[1:] - 1] = False
         line[inside], line[at[1:] - 1] = ids, end
@@ -109,6 +109,7 @@ class Layout:
         self.first, self.middle, self.last = line[token - 2], line[token - 1], line[token]
         self.doc_at = at[:-1] - 2 * np.arange(n_docs)
         self.tokens = len(token)
+        del line, inside, token
 
         pieces = np.zeros(len(hashes), np.int64)
         keys = np.array(sorted(split), _U)
@@ -141,7 +142,7 @@ class Layout:
         self.split_mids, self.split_keys = where(every), keys
         self.word_mid = np.full(len(hashes), -1, np.int64)  # of words that are not split
         self.word_mid[normal] = where(hashes[normal])
-        of_token = self.word_mid[self.middle]
+        of_token = self.word_mid[self.middle].astype(np.int32)
         of_token[hot] = where(mid[hot])
         kinds = np.zeros(len(mids), np.uint8)  # 1: trigrams of a split word, 2: its bigrams
         kinds[of_token[hot]], kinds[self.split_mids] = 1, 2
@@ -152,12 +153,17 @@ class Layout:
         pair_mid = where(pair)
         entries, inv = np.unique(np.concatenate([packed(of_token, key[self.last]), packed(pair_mid, key[self.last[hot]])]),
                                  return_inverse=True)
+        inv = inv.astype(np.int32)
         self.word_of, self.pair_of, self.hot = inv[:len(of_token)], inv[:len(of_token)].copy(), hot
         self.pair_of[hot] = inv[len(of_token):]  # the bigram whose probability counts
-        contexts, self.context_of = np.unique(packed(of_token, key[self.first]), return_inverse=True)
+        del inv, mid
+        contexts, inv = np.unique(packed(of_token, key[self.first]), return_inverse=True)
+        self.context_of = inv.astype(np.int32)
+        del inv, of_token
         self.word_in, self.word_key = (entries >> _U(KEY_BITS)).astype(np.int64), entries & _U((1 << KEY_BITS) - 1)
         self.context_in, self.context_key = (contexts >> _U(KEY_BITS)).astype(np.int64), contexts & _U((1 << KEY_BITS) - 1)
-        tri, self.trigram_of = np.unique((self.context_of << 32) | self.word_of, return_inverse=True)
+        tri, inv = np.unique((self.context_of.astype(np.int64) << 32) | self.word_of, return_inverse=True)
+        self.trigram_of = inv.astype(np.int32)
         self.trigram_context, self.trigram_word = tri >> 32, tri & ((1 << 32) - 1)
         self.words_at = _starts(np.bincount(self.word_in, minlength=len(mids)))
         self.contexts_at = _starts(np.bincount(self.context_in, minlength=len(mids)))
