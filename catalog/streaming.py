@@ -5,13 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog.features import _ROUND, _shown
-from catalog.reasons import day_codes, priors
+from catalog.reasons import _DYN, _TWP, _conf_sql, day_codes, priors, sql_set
 from catalog.registry import ORACLE, query
 from catalog.reports import proposed, receivers
 from catalog.timeseries import observations
 from catalog.views import DAY, SQL_VIEWS, Views
 from ledgerwise import params as P
-from ledgerwise.functions.storage import shared_dir
+from ledgerwise.functions.storage import cut_lineage, shared_dir
 from ledgerwise.operators import scoring as C
 from ledgerwise.operators.reports import check_transfers
 from ledgerwise.streaming import native as N
@@ -70,13 +70,48 @@ def _(v):
     return _shown(N.newest_version(rows, ["wallet"]))
 
 
-@query("t05_stream_risk_update")
+REPLAY_FILES = 8
+
+
+def replayed(v, rows, schema, late_s=2 * DAY):
+    """The rows as a file stream of four micro-batches: cut by time, every tenth row a batch late (up to ``late_s``).
+
+    A last batch with a row far in the future lets the watermark pass all others; the watermark never passes that one.
+    """
+    path = f"{shared_dir(v.spark)}/replay-{uuid.uuid4().hex}"
+    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    width = (span.hi - span.lo) // 4 + 1
+    late = F.when(F.pmod(F.xxhash64(*rows.columns), F.lit(10)) == 0, F.lit(late_s)).otherwise(F.lit(0))
+    part = F.least(F.lit(3), F.floor((F.col("ts") + late - span.lo) / width))
+    cut = cut_lineage(rows.withColumn("part", part))
+    for k in range(4):  # one micro-batch has as many files as its step wrote
+        cut.filter(F.col("part") == k).drop("part").repartition(REPLAY_FILES).write.mode("append").parquet(path)
+    v.spark.range(REPLAY_FILES).select(*[
+        F.lit(span.hi + 1000 * DAY).alias(c) if c == "ts" else F.lit("~").alias(c) for c in rows.columns
+    ]).repartition(REPLAY_FILES).write.mode("append").parquet(path)
+    return v.spark.readStream.schema(schema).option("maxFilesPerTrigger", REPLAY_FILES).parquet(path)
+
+
+SQL_VIEWS["t_pen"] = _DYN.format(trig=sql_set(P.SCAM_TRIGGERS), twp=_TWP, conf=_conf_sql("1", "1", "0", "0", "0"), r="fs_codes", dist="1", extra="")
+SQL_VIEWS["t_inputs"] = """SELECT wallet, coalesce(score, 50.0) AS score, coalesce(penalty, 0) - trunc(coalesce(posterior, 0.05) * 100) AS change
+    FROM (SELECT wallet FROM latest_scores UNION SELECT wallet FROM fs_codes) LEFT JOIN latest_scores USING (wallet) LEFT JOIN t_pen USING (wallet)
+    LEFT JOIN posterior_tab USING (wallet)"""
+SQL_VIEWS["t_start"] = """SELECT e.wallet, min(e.ts) AS ts, any_value(coalesce(score, 50.0)) AS score, any_value(coalesce(change, -5.0)) AS change
+    FROM ends e LEFT JOIN t_inputs USING (wallet) GROUP BY 1"""
+SQL_VIEWS["t_walk"] = """SELECT wallet, ts, change, greatest(0, least(100, trunc(score) + change)) AS now FROM t_start UNION ALL
+    SELECT w.wallet, (SELECT min(e.ts) FROM ends e WHERE e.wallet = w.wallet AND e.ts >= w.ts + 300), change, greatest(0, least(100, trunc(now) + change)) FROM t_walk w
+    WHERE EXISTS (SELECT 1 FROM ends e WHERE e.wallet = w.wallet AND e.ts >= w.ts + 300)"""
+
+
+@query("t05_stream_risk_update", "SELECT wallet, ts, CAST(trunc(now) AS INTEGER) AS new_score FROM t_walk")
 def _(v):
     S.use_rocksdb(v.spark)
     w = C.forced_weight(F.col("code"), F.coalesce(C.lookup(P.REASON_WEIGHTS, F.col("code")), F.lit(0)))
     reasons = day_codes(v).groupBy("wallet", "code").agg(F.min("days_old").alias("days_old")).withColumn("weight", w)
     inputs = S.risk_inputs(v.latest_scores, reasons, priors(v))
-    return N.run_to_files(S.stream_risk_update(streamed(v).transfers, inputs)).drop("batch_id")
+    rows = v.transfers.select("sender", "receiver", "ts")
+    stream = replayed(v, rows, "sender string, receiver string, ts bigint")
+    return N.run_to_files(S.stream_risk_update(stream, inputs, delay="10 days")).drop("batch_id")
 
 
 @query("t06_stream_usage_hourly", "SELECT api_key, endpoint, hour, requests, success, errors, round(avg_ms, 6) AS avg_ms FROM hourly")
@@ -95,18 +130,16 @@ SQL_VIEWS["first_alert"] = "SELECT wallet, severity, min(created_at) AS created_
 @query("t07_stream_alerts", "SELECT wallet, severity, 'burst ' || severity AS reason, created_at FROM cool")
 def _(v):
     S.use_rocksdb(v.spark)
-    rows = streamed(v).alerts.withColumnRenamed("created_at", "ts")
-    return N.run_to_files(S.stream_alerts(rows, P.AlertConfig(cooldown_s=DAY))).drop("batch_id")
+    rows = v.alerts.select("wallet", "severity", "reason", F.col("created_at").alias("ts"))
+    stream = replayed(v, rows, "wallet string, severity string, reason string, ts bigint")
+    return N.run_to_files(S.stream_alerts(stream, P.AlertConfig(cooldown_s=DAY), "10 days")).drop("batch_id")
 
 
-@query("t08_stream_escalation")
+@query("t08_stream_escalation", "SELECT wallet, ts, score, stage, tier, last_alert_ts, last_clean_ts FROM esc_end")
 def _(v):
-    """The observations are batch aggregates, so both inputs are written once and streamed from files."""
     S.use_rocksdb(v.spark)
-    path = f"{shared_dir(v.spark)}/escalation-{uuid.uuid4().hex}"
-    S.escalation_input(observations(v), v.alerts).write.parquet(path)
-    rows = v.spark.readStream.schema("wallet string, ts bigint, kind int, types string").parquet(path)
-    return S.with_stage(N.newest_version(N.run_to_files(S.stream_escalation(rows), "update"), ["wallet"]))
+    rows = replayed(v, S.escalation_input(observations(v), v.alerts), "wallet string, ts bigint, tag string")
+    return S.with_stage(N.newest_version(N.run_to_files(S.stream_escalation(rows, delay="10 days")), ["wallet"]))
 
 
 @query("t09_stream_check_transfers", ORACLE["q16_check_transfers"])

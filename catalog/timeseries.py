@@ -222,7 +222,26 @@ def observations(v):
     return t.groupBy("wallet", "ts").agg(F.array_distinct(F.flatten(F.collect_set(kind))).alias("types"))
 
 
-@query("w12_escalation_state")
+SQL_VIEWS["esc_obs"] = """SELECT wallet, (ts // 21600 + 1) * 21600 AS ts, bool_or(err IS NOT NULL) AS b, bool_or(err IS NOT NULL AND amount_lamports >= 80000000000) AS q
+    FROM transfers GROUP BY 1, 2"""
+SQL_VIEWS["esc_ctx"] = """SELECT o.wallet, o.ts, row_number() OVER (PARTITION BY o.wallet ORDER BY o.ts) AS rn, b::INTEGER + q::INTEGER AS n, count(a.wallet) > 0 AS recent,
+    b AND count(a.wallet) > 0 AS rep, (b OR count(a.wallet) > 0)::INTEGER + q::INTEGER >= 2 AS multi, count(a.wallet) FILTER (a.created_at >= o.ts - 3600) >= 3 AS clu
+    FROM esc_obs o LEFT JOIN alerts a ON a.wallet = o.wallet AND a.created_at BETWEEN o.ts - 172800 AND o.ts GROUP BY o.wallet, o.ts, b, q"""
+SQL_VIEWS["esc_walk"] = """SELECT wallet, 0::BIGINT AS rn, 0.0::DOUBLE AS score, NULL::BIGINT AS last_alert_ts, min(ts) AS last_clean_ts, NULL::BIGINT AS ts, false AS rep, false AS multi, false AS clu
+      FROM esc_ctx GROUP BY 1 UNION ALL
+    SELECT c.wallet, c.rn, CASE WHEN c.n = 0 AND NOT recent THEN CASE WHEN c.ts - last_clean_ts >= 172800 THEN 0.0 WHEN c.ts - last_alert_ts >= 86400 THEN greatest(0.0, score - 12) ELSE score END
+        ELSE least(100.0, CASE WHEN c.n = 0 AND c.ts - last_clean_ts >= 86400 THEN greatest(0.0, score - 12) ELSE score END
+          + 6 * c.n + CASE WHEN c.rep THEN 8 ELSE 0 END + CASE WHEN c.multi THEN 12 ELSE 0 END + CASE WHEN c.clu THEN 15 ELSE 0 END) END,
+      CASE WHEN c.n > 0 THEN c.ts WHEN NOT recent AND c.ts - last_clean_ts >= 172800 THEN NULL ELSE last_alert_ts END,
+      CASE WHEN c.n = 0 AND NOT recent THEN c.ts ELSE last_clean_ts END, c.ts, c.rep, c.multi, c.clu
+    FROM esc_walk w JOIN esc_ctx c ON c.wallet = w.wallet AND c.rn = w.rn + 1"""
+SQL_VIEWS["esc_end"] = """SELECT *, CASE stage WHEN 'warning' THEN 'watchlist' ELSE stage END AS tier FROM (
+    SELECT wallet, ts, round(score * 100) / 100 AS score, CASE WHEN score <= 30 THEN 'normal' WHEN score <= 60 THEN 'warning' ELSE 'critical' END AS stage, last_alert_ts, last_clean_ts, rep, multi, clu
+    FROM esc_walk WHERE rn > 0 QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY rn DESC) = 1)"""
+
+
+@query("w12_escalation_state", """SELECT wallet, stage, score, tier, last_alert_ts, last_clean_ts,
+    array_to_string(list_filter([CASE WHEN rep THEN 'repeated' END, CASE WHEN multi THEN 'multiple_types' END, CASE WHEN clu THEN 'time_cluster' END], lambda x: x IS NOT NULL), ',') AS reasons FROM esc_end""")
 def _(v):
     return A.escalation_state(observations(v), v.alerts).withColumn("reasons", F.array_join("reasons", ","))
 

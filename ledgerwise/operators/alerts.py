@@ -29,20 +29,15 @@ def alerts(scores: DataFrame, flags: DataFrame, recent_alerts: DataFrame, as_of:
         "created_at", F.lit(as_of).cast("bigint"))
 
 
-# fixed values: alert types inferred from the alert text
-ALERT_TYPES = ["burst_transactions", "suspicious_velocity", "fresh_wallet_high_value", "risk_score",
-               "other_critical", "other_high", "other_medium", "other_low", "other_"]
-
-
 def alert_type(severity: Column, reason: Column) -> Column:
+    """Type of a stored alert from its text; any other alert counts under its own severity."""
     r, s = F.lower(F.coalesce(reason, F.lit(""))), F.lower(F.coalesce(severity, F.lit("")))
-    other = F.concat(F.lit("other_"), s)
     return (
         F.when(r.contains("burst") | r.contains("transaction"), "burst_transactions")
         .when(r.contains("velocity"), "suspicious_velocity")
         .when(r.contains("fresh") | r.contains("high value"), "fresh_wallet_high_value")
         .when(r.contains("trust score") | (s == "risk_score"), "risk_score")
-        .when(other.isin(*ALERT_TYPES), other).otherwise("other_"))
+        .otherwise(F.concat(F.lit("other_"), s)))
 
 
 def alert_context(observations: DataFrame, alert_rows: DataFrame,
@@ -50,22 +45,27 @@ def alert_context(observations: DataFrame, alert_rows: DataFrame,
     """Observations with the alerts of the two days before: their types, and how many fell in the last hour.
 
     Time is cut into buckets as wide as the look-back; an alert is placed in its own and
-    the next bucket, so a wallet with very many rows is spread over its buckets.
+    the next bucket, so a wallet with very many rows is spread over its buckets.  An observation meets each type of its
+    bucket once, whatever the types are, and reads the type's last alert so far from a growing frame; all that is
+    grouped by (wallet, bucket), in one shuffle.
     """
     width = cfg.recent_s
     home = lambda c: F.floor(F.col(c) / width)
-    obs = observations.select("wallet", "ts", "types", home("ts").alias("_bucket"), F.lit(None).cast("string").alias("_type"))
+    obs = observations.select("wallet", "ts", "types", home("ts").alias("_bucket"))
     al = alert_rows.select(
-        "wallet", F.col("created_at").alias("ts"), F.lit(None).cast("array<string>").alias("types"),
-        F.explode(F.array(home("created_at"), home("created_at") + 1)).alias("_bucket"),
+        "wallet", F.col("created_at").alias("ts"), F.explode(F.array(home("created_at"), home("created_at") + 1)).alias("_bucket"),
         alert_type(F.col("severity"), F.col("reason")).alias("_type"))
-    w = Window.partitionBy("wallet", "_bucket").orderBy("ts")
-    hour = w.rangeBetween(-cfg.cluster_s, 0)
-    # the newest alert per type so far tells whether one lies in the look-back: a growing frame, linear in the rows
-    last = lambda t: F.max(F.when(F.col("_type") == t, F.col("ts"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    found = F.array_compact(F.array(*[F.when(last(t) >= F.col("ts") - cfg.recent_s, F.lit(t)) for t in ALERT_TYPES]))
-    rows = obs.unionByName(al).withColumns({"hour_count": F.count("_type").over(hour), "recent_types": found})
-    return rows.filter("types IS NOT NULL").select("wallet", "ts", "types", "hour_count", "recent_types")
+    al = al.groupBy("wallet", "_bucket", "ts", "_type").agg(F.count(F.lit(1)).alias("_n"))
+    rows = obs.join(al.select("wallet", "_bucket", "_type").distinct(), ["wallet", "_bucket"], "left").unionByName(
+        al.withColumn("_at", F.col("ts")), allowMissingColumns=True)
+    in_bucket = Window.partitionBy("wallet", "_bucket").orderBy("ts")
+    of_type = Window.partitionBy("wallet", "_bucket", "_type").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_last", F.max("_at").over(of_type)).withColumn(
+        "hour_count", F.coalesce(F.sum("_n").over(in_bucket.rangeBetween(-cfg.cluster_s, 0)), F.lit(0)))
+    recent = F.when(F.col("_last") >= F.col("ts") - cfg.recent_s, F.col("_type"))
+    return rows.filter("types IS NOT NULL").groupBy("wallet", "_bucket", "ts").agg(
+        F.any_value("types").alias("types"), F.max("hour_count").alias("hour_count"),
+        F.collect_set(recent).alias("recent_types")).drop("_bucket")
 
 
 def _max_before(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -92,8 +92,8 @@ def escalation_state(observations: DataFrame, alert_rows: DataFrame, previous: D
     """Escalation state after all observations (wallet, ts, types: one row per wallet and time).
 
     Every step changes the score by a clamp x -> min(hi, max(lo, x + a)).  Clamps compose
-    to clamps, so each (wallet, day) is folded on its own, then each (wallet, month), then
-    the wallet: no task has to walk through a whole wallet.
+    to clamps, so each (wallet, hour) is folded on its own, then the hours of a month, the months of five years and
+    these: a list has at most 3600, 720 and 61 entries, and no task has to walk through a whole wallet.
     """
     df = cut_lineage(alert_context(observations, alert_rows, cfg))
     if previous is None:
@@ -138,9 +138,10 @@ def escalation_state(observations: DataFrame, alert_rows: DataFrame, previous: D
         return rows.groupBy(*keys).agg(ordered.alias("_l")).select(
             *keys, _compose(F.transform("_l", lambda e: e["s"])).alias("step"))
 
-    days = fold(df, ["wallet", "_bucket"], "ts")
-    months = fold(days.withColumn("_month", F.floor(F.col("_bucket") / 30)), ["wallet", "_month"], "_bucket")
-    total = fold(months, ["wallet"], "_month")
+    hours = fold(df.withColumn("_hour", F.floor(F.col("ts") / 3600)), ["wallet", "_hour"], "ts")
+    months = fold(hours.withColumn("_month", F.floor(F.col("_hour") / 720)), ["wallet", "_month"], "_hour")
+    eras = fold(months.withColumn("_era", F.floor(F.col("_month") / 61)), ["wallet", "_era"], "_month")
+    total = fold(eras, ["wallet"], "_era")
     last = F.max_by(F.struct(
         F.when(repeated > 0, "repeated").alias("r1"), F.when(F.size(union) >= 2, "multiple_types").alias("r2"),
         F.when(F.col("hour_count") >= cfg.cluster_alerts, "time_cluster").alias("r3")), "ts")

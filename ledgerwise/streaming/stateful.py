@@ -1,12 +1,17 @@
 """Keyed-state operators: risk updates, alert cooldown and escalation.
 
-Each processor keeps a constant amount of state per key and handles the rows of a
-micro-batch in event order.
+All of them read rows in event order, whatever the order of arrival.  A row waits in its key's state until the
+watermark has passed it; an event-time timer then hands the due rows on.  So late rows inside ``delay`` count as if they
+had come in time, and the result does not depend on how the stream is cut into micro-batches.  Rows are
+counted by (time, tag) before the shuffle, in the state and chunk by chunk, so a hot key costs its distinct times and not
+its rows.  Timers also clear the state of keys that were idle for so long that it can be told from the rules
+(cooldown) or by choice (``idle_s``).
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerwise import params as P
-from ledgerwise.functions.common import assemble, both_ends
+from ledgerwise.functions.common import DAY, assemble, both_ends
 from ledgerwise.operators.alerts import alert_type
 from ledgerwise.operators.scoring import bayes_posterior, dynamic_penalty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How late rows may come, and after how long without rows a wallet's state is given up.
+DELAY = "10 minutes"
+IDLE_S = 90 * DAY
 
 
 def use_rocksdb(spark) -> None:
@@ -27,41 +35,123 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _sorted_rows(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    parts = [p for p in rows if len(p)]
-    return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
+class InEventOrder(StatefulProcessor):
+    """Hands a key's rows on in event order once the watermark has passed them.
 
+    ``step(key, state, due)`` gets the state of the key (None at first) and the due rows [(ts, tag, count), ...]
+    and returns the new state and a list of output rows.  ``keep`` limits a count, where more make no difference.
+    """
 
-class RiskUpdates(StatefulProcessor):
-    """At most one update per wallet and gap; every update starts from the wallet's current score."""
+    columns: list[str] = []
+    integers: list[str] = []
+    keep = 1
 
-    def __init__(self, gap_s: int):
-        self.gap_s = gap_s
+    def __init__(self, idle_s: int):
+        self.idle_s = idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "last bigint, score double")
+        self.handle = handle
+        self.state = handle.getValueState("state", "json string")
+        self.pending = handle.getValueState("pending", "json string")
+
+    def step(self, key: tuple, state: dict | None, due: list[tuple]) -> tuple[dict, list[tuple]]:
+        raise NotImplementedError
+
+    def _runs(self, due: list[tuple]) -> list[list[tuple]]:
+        """Due rows cut where the key was idle for longer than ``idle_s``."""
+        cuts = [i for i in range(1, len(due)) if due[i][0] - due[i - 1][0] > self.idle_s]
+        return [due[a:b] for a, b in zip([0, *cuts], [*cuts, len(due)])] if due else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        data = _sorted_rows(rows, ["ts"])
-        if not len(data):
-            return
-        last, score = self.state.get() if self.state.exists() else (None, float(data["score"].iloc[0]))
+        held = {(t, tag): n for t, tag, n in json.loads(self.pending.get()[0])} if self.pending.exists() else {}
+        first = min(held, default=(None,))[0]
+        for chunk in rows:
+            for ts, tag, n in zip(chunk["ts"].tolist(), chunk["tag"].tolist(), chunk["n"].tolist()):
+                held[ts, tag] = min(self.keep, held.get((ts, tag), 0) + n)
+        if held:
+            self.pending.update((json.dumps([(t, tag, n) for (t, tag), n in held.items()]),))
+            start = min(held)[0]
+            if first is None or start < first:
+                self.handle.registerTimer(start * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(x) for x in json.loads(self.pending.get()[0])] if self.pending.exists() else []
+        due = sorted(x for x in held if x[0] * 1000 < passed)
+        state = json.loads(self.state.get()[0]) if self.state.exists() else None
         out = []
-        change = float(data["change"].iloc[0])
-        for ts in data["ts"].unique():
-            if last is not None and ts - last < self.gap_s:
-                continue
-            score = max(0.0, min(100.0, int(score) + change))
-            last = int(ts)
-            out.append((key[0], int(ts), int(score)))
-        self.state.update((last, score))
+        for run in self._runs(due):
+            if state is not None and run[0][0] - state["at"] > self.idle_s:
+                state = None  # as if the timer had cleared it in between
+            state, rows = self.step(key, state, run)
+            state["at"] = run[-1][0]
+            out += rows
+        rest = held[:0] if len(due) == len(held) else [x for x in held if x[0] * 1000 >= passed]
+        if due and rest:
+            self.pending.update((json.dumps(rest),))
+        elif due:
+            self.pending.clear()
+        if rest:
+            self.handle.registerTimer(min(rest)[0] * 1000)
+        elif state is not None:
+            over = (state["at"] + self.idle_s) * 1000
+            if over < passed:
+                state = None
+                self.state.clear()
+            else:
+                self.handle.registerTimer(over)
+        if state is not None and due:
+            self.state.update((json.dumps(state),))
         if out:
-            yield pd.DataFrame(out, columns=["wallet", "ts", "new_score"])
+            yield pd.DataFrame(out, columns=self.columns).astype(dict.fromkeys(self.integers, "Int64"))
 
     def close(self) -> None:
         pass
 
 
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, ts, tag) counted per Arrow batch before the shuffle: a combiner, exact in any grouping."""
+    names = [*keys, "ts", "tag"]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.groupby(names, sort=False, dropna=False).size().reset_index(name="n")
+
+    return rows.select(*names).mapInPandas(count, ", ".join([f"{k} string" for k in keys] + ["ts bigint, tag string, n bigint"]))
+
+
+def _in_order(rows: DataFrame, keys: list[str], processor: InEventOrder, schema: str, delay: str) -> DataFrame:
+    timed = _counted(rows, keys).withColumn("event_time", F.timestamp_seconds("ts"))
+    return timed.withWatermark("event_time", delay).groupBy(*keys).transformWithStateInPandas(
+        processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
+class RiskUpdates(InEventOrder):
+    """At most one update per wallet and gap; every update starts from the wallet's current score.
+
+    The tag is "score|change" of the wallet as the row's batch had them: a wallet starts from the first, and each update
+    applies the change that its row came with.
+    """
+
+    columns, integers = ["wallet", "ts", "new_score"], ["ts", "new_score"]
+
+    def __init__(self, gap_s: int, idle_s: int):
+        super().__init__(max(gap_s, idle_s))
+        self.gap_s = gap_s
+
+    def step(self, key, state, due):
+        last, score = (state["last"], state["score"]) if state else (None, None)
+        out = []
+        for ts, tag, _ in due:
+            start, change = map(float, tag.split("|"))
+            score = start if score is None else score
+            if last is None or ts - last >= self.gap_s:
+                last, score = ts, max(0.0, min(100.0, int(score) + change))
+                out.append((key[0], ts, int(score)))
+        return {"last": last, "score": score}, out
+
+
 #: What one update assumes of a wallet that has neither a score nor reasons.
 DEFAULT_SCORE = 50.0
 DEFAULT_CHANGE = -float(int(P.DEFAULT_PRIOR * 100))
@@ -82,51 +172,44 @@ def risk_inputs(scores: DataFrame, reasons: DataFrame, priors: DataFrame) -> Dat
     return df.select("wallet", F.coalesce("score", F.lit(DEFAULT_SCORE)).alias("score"), change.cast("double").alias("change"))
 
 
-def stream_risk_update(stream: DataFrame, inputs: DataFrame, min_gap_s: int = 300) -> DataFrame:
+def stream_risk_update(stream: DataFrame, inputs: DataFrame, min_gap_s: int = 300, delay: str = DELAY,
+                       idle_s: int = IDLE_S) -> DataFrame:
     """Both ends of each transfer are rescored; ``inputs`` comes from ``risk_inputs``.
 
-    Wallets without a row there start from the default score.  A wallet keeps the score it had when first seen;
-    the change is read from ``inputs`` with every batch.
+    Wallets without a row there start from the default score.  A wallet keeps the score it had when first seen, until
+    it was idle for ``idle_s``; the change is read from ``inputs`` with every batch.
     """
-    ends = both_ends(stream, "ts").select("wallet", "ts").join(inputs, "wallet", "left").select(
-        "wallet", "ts", F.coalesce("score", F.lit(DEFAULT_SCORE)).alias("score"),
-        F.coalesce("change", F.lit(DEFAULT_CHANGE)).alias("change"))
-    return ends.groupBy("wallet").transformWithStateInPandas(
-        RiskUpdates(min_gap_s), outputStructType="wallet string, ts bigint, new_score int", outputMode="append", timeMode="none")
+    ends = both_ends(stream, "ts").select("wallet", "ts").filter("ts IS NOT NULL").join(inputs, "wallet", "left")
+    score, change = F.coalesce("score", F.lit(DEFAULT_SCORE)), F.coalesce("change", F.lit(DEFAULT_CHANGE))
+    rows = ends.select("wallet", "ts", F.concat_ws("|", score.cast("string"), change.cast("string")).alias("tag"))
+    return _in_order(rows, ["wallet"], RiskUpdates(min_gap_s, idle_s), "wallet string, ts bigint, new_score int", delay)
 
 
-class Cooldown(StatefulProcessor):
-    """Passes an alert unless the same one was passed within the cooldown."""
+class Cooldown(InEventOrder):
+    """Passes an alert unless the same one was passed within the cooldown.
 
-    def __init__(self, cooldown_s: int):
-        self.cooldown_s = cooldown_s
+    Once the watermark is past the cooldown every later row passes, so the state is cleared then without any loss.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts bigint")
+    columns, integers = ["wallet", "severity", "reason", "created_at"], ["created_at"]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        data = _sorted_rows(rows, ["ts"])
-        if not len(data):
-            return
-        last = self.last.get()[0] if self.last.exists() else None
-        passed = []
-        for ts in data["ts"]:
-            if last is None or ts - last > self.cooldown_s:
-                last = int(ts)
-                passed.append((*key, last))
-        self.last.update((last,))
-        if passed:
-            yield pd.DataFrame(passed, columns=["wallet", "severity", "reason", "created_at"])
+    def __init__(self, cooldown_s: int):
+        super().__init__(cooldown_s)
 
-    def close(self) -> None:
-        pass
+    def step(self, key, state, due):
+        last, out = state["last"] if state else None, []
+        for ts, _, _ in due:
+            if last is None or ts - last > self.idle_s:
+                last = ts
+                out.append((*key, ts))
+        return {"last": last}, out
 
 
-def stream_alerts(alert_stream: DataFrame, cfg: P.AlertConfig = P.AlertConfig()) -> DataFrame:
+def stream_alerts(alert_stream: DataFrame, cfg: P.AlertConfig = P.AlertConfig(), delay: str = DELAY) -> DataFrame:
     """alert_stream: wallet, severity, reason, ts."""
-    return alert_stream.groupBy("wallet", "severity", "reason").transformWithStateInPandas(
-        Cooldown(cfg.cooldown_s), outputStructType="wallet string, severity string, reason string, created_at bigint",
-        outputMode="append", timeMode="none")
+    rows = alert_stream.filter("ts IS NOT NULL").withColumn("tag", F.lit(""))
+    return _in_order(rows, ["wallet", "severity", "reason"], Cooldown(cfg.cooldown_s),
+                     "wallet string, severity string, reason string, created_at bigint", delay)
 
 
 def escalate(state: dict, ts: int, types: list[str], cfg: P.EscalationConfig) -> dict:
@@ -155,52 +238,51 @@ def escalate(state: dict, ts: int, types: list[str], cfg: P.EscalationConfig) ->
     return {**state, "score": score, "last_alert": last_alert, "last_clean": clean}
 
 
-class Escalation(StatefulProcessor):
-    """Escalation state; of the alerts it keeps the last time per type and the newest few times."""
-
-    def __init__(self, cfg: P.EscalationConfig):
-        self.cfg = cfg
+class Escalation(InEventOrder):
+    """Escalation state; of the alerts it keeps the last time per type and the newest few times, as long as they count.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "json string")
+    The tag is "kind|types": 0 for an alert with its type, 1 for an observation with its types.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        data = _sorted_rows(rows, ["ts", "kind"])
-        if not len(data):
-            return
-        fresh = {"score": 0.0, "last_alert": None, "last_clean": None, "seen": {}, "newest": []}
-        state = json.loads(self.state.get()[0]) if self.state.exists() else fresh
-        ts = None
-        for row in data.itertuples(index=False):
-            if row.kind == 0:
-                state["seen"][row.types] = int(row.ts)
-                state["newest"] = (state["newest"] + [int(row.ts)])[-self.cfg.cluster_alerts:]
+    columns = ["wallet", "ts", "score", "last_alert_ts", "last_clean_ts"]
+    integers = ["ts", "last_alert_ts", "last_clean_ts"]
+
+    def __init__(self, cfg: P.EscalationConfig, idle_s: int):
+        super().__init__(idle_s)
+        self.cfg, self.keep = cfg, cfg.cluster_alerts
+
+    def step(self, key, state, due):
+        state = state or {"score": 0.0, "last_alert": None, "last_clean": None, "seen": {}, "newest": []}
+        seen_at = None
+        for ts, tag, n in due:
+            kind, _, types = tag.partition("|")
+            if kind == "0":
+                state["seen"][types] = ts
+                state["newest"] = (state["newest"] + [ts] * n)[-self.cfg.cluster_alerts:]
             else:
-                ts = int(row.ts)
-                state = escalate(state, ts, [t for t in row.types.split(",") if t], self.cfg)
-        self.state.update((json.dumps(state),))
-        if ts is not None:
-            yield pd.DataFrame([(key[0], ts, round(state["score"], 2), state["last_alert"], state["last_clean"])],
-                               columns=["wallet", "ts", "score", "last_alert_ts", "last_clean_ts"]).astype(
-                {"last_alert_ts": "Int64", "last_clean_ts": "Int64"})
-
-    def close(self) -> None:
-        pass
+                seen_at = ts
+                state = escalate(state, ts, [t for t in types.split(",") if t], self.cfg)
+        state["seen"] = {t: at for t, at in state["seen"].items() if at >= due[-1][0] - self.cfg.recent_s}
+        out = [(key[0], seen_at, round(state["score"], 2), state["last_alert"], state["last_clean"])] if seen_at is not None else []
+        return state, out
 
 
 def escalation_input(observations: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Observations (wallet, ts, types) and alerts (wallet, created_at, severity, reason) as one ordered input."""
-    obs = observations.select("wallet", "ts", F.lit(1).alias("kind"), F.array_join("types", ",").alias("types"))
-    raised = alerts.select("wallet", F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
-                           alert_type(F.col("severity"), F.col("reason")).alias("types"))
+    """Observations (wallet, ts, types) and alerts (wallet, created_at, severity, reason) as one input (wallet, ts, tag)."""
+    obs = observations.select("wallet", "ts", F.concat(F.lit("1|"), F.array_join("types", ",")).alias("tag"))
+    raised = alerts.select("wallet", F.col("created_at").alias("ts"),
+                           F.concat(F.lit("0|"), alert_type(F.col("severity"), F.col("reason"))).alias("tag"))
     return obs.unionByName(raised)
 
 
-def stream_escalation(rows: DataFrame, cfg: P.EscalationConfig = P.EscalationConfig()) -> DataFrame:
-    """State of each wallet after every micro-batch; ``rows`` comes from ``escalation_input``."""
-    return rows.groupBy("wallet").transformWithStateInPandas(
-        Escalation(cfg), outputStructType="wallet string, ts bigint, score double, last_alert_ts bigint, last_clean_ts bigint",
-        outputMode="update", timeMode="none")
+def stream_escalation(rows: DataFrame, cfg: P.EscalationConfig = P.EscalationConfig(), delay: str = DELAY,
+                      idle_s: int = IDLE_S) -> DataFrame:
+    """State of each wallet whenever observations of it became due; ``rows`` comes from ``escalation_input``.
+
+    A wallet without rows for ``idle_s`` starts anew.
+    """
+    return _in_order(rows.filter("ts IS NOT NULL"), ["wallet"], Escalation(cfg, idle_s),
+                     "wallet string, ts bigint, score double, last_alert_ts bigint, last_clean_ts bigint", delay)
 
 
 def with_stage(rows: DataFrame, cfg: P.EscalationConfig = P.EscalationConfig()) -> DataFrame:

@@ -13,7 +13,7 @@ from ledgerwise.streaming import stateful as S
 CFG = P.EscalationConfig()
 HOUR, DAY = 3_600, 86_400
 REASONS = {"burst_transactions": ("high", "Burst activity"), "suspicious_velocity": ("medium", "Suspicious velocity"),
-           "risk_score": ("risk_score", "Trust score below"), "other_low": ("low", "something")}
+           "risk_score": ("risk_score", "Trust score below"), "other_low": ("low", "something"), "other_page_me": ("Page_me", None)}
 
 
 def walk(obs, alerts):
@@ -79,38 +79,51 @@ def test_fold_continues_from_previous_state(spark):
     assert got == {w: walk(v, alerts[w]) for w, v in late.items()}
 
 
-def test_stream_split_in_batches_equals_walk(spark, tmp_path):
+FAR = 10**9
+
+
+def _arrival(rows, late_by, seed):
+    """Rows in order of arrival: each up to ``late_by`` after its time."""
+    rng = random.Random(seed)
+    return sorted(rows, key=lambda r: r["ts"] + rng.choice([0, 0, 0, late_by]))
+
+
+def test_stream_with_late_rows_equals_walk(spark, tmp_path):
     S.use_rocksdb(spark)
     obs, alerts = make(4, 6)
-    rows = S.escalation_input(*frames(spark, obs, alerts)).orderBy("ts", "kind").collect()
-    step = len(rows) // 4 + 1
-    for i in range(0, len(rows), step):
-        part = spark.createDataFrame(rows[i:i + step], "wallet string, ts bigint, kind int, types string")
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("wallet string, ts bigint, kind int, types string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = N.run_to_files(S.stream_escalation(stream), "update")
+    rows = _arrival(S.escalation_input(*frames(spark, obs, alerts)).collect(), 2 * DAY, 1)
+    stream = _stream(spark, str(tmp_path / "in"), rows, "wallet string, ts bigint, tag string", 5, ("~", FAR, "1|"))
+    out = N.run_to_files(S.stream_escalation(stream, delay="2 days"))
     assert out.select("batch_id").distinct().count() > 1
     got = {r["wallet"]: (r["score"], r["last_alert_ts"], r["last_clean_ts"]) for r in N.newest_version(out, ["wallet"]).collect()}
     assert got == {w: walk(v, alerts[w]) for w, v in obs.items()}
 
 
-def _stream(spark, path, df_rows, schema, files):
+def _stream(spark, path, df_rows, schema, files, end=None):
     step = len(df_rows) // files + 1
     for i in range(0, len(df_rows), step):
         spark.createDataFrame(df_rows[i:i + step], schema).coalesce(1).write.mode("append").parquet(path)
+    if end:
+        spark.createDataFrame([end], schema).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def test_risk_updates_keep_the_gap(spark, tmp_path):
+    """Late and repeated rows; between the two bursts wallets are idle for so long that their state goes."""
     S.use_rocksdb(spark)
     rng = random.Random(5)
-    times = sorted(rng.randint(0, 5_000) for _ in range(80))
+    burst = [rng.randint(0, 5_000) for _ in range(80)]
+    times = burst + [burst[0]] * 5 + [50_000 + rng.randint(0, 2_000) for _ in range(30)]
     schema = "sender string, receiver string, ts bigint"
-    stream = _stream(spark, str(tmp_path / "in"), [("a", "b", t) for t in times], schema, 3)
+    rows = _arrival([{"sender": "a", "receiver": "b", "ts": t} for t in times], 1_000, 2)
+    stream = _stream(spark, str(tmp_path / "in"), [("a", "b", r["ts"]) for r in rows], schema, 5, ("~", "~", FAR))
     inputs = spark.createDataFrame([("a", 90.0, -7.0), ("b", 12.0, -5.0)], "wallet string, score double, change double")
-    out = N.run_to_files(S.stream_risk_update(stream, inputs))
-    want, last, score = [], None, {"a": 90, "b": 12}
-    for t in times:
+    out = N.run_to_files(S.stream_risk_update(stream, inputs, delay="1000 seconds", idle_s=10_000))
+    want, last, start = [], None, {"a": 90, "b": 12}
+    score = dict(start)
+    for t in sorted(set(times)):
+        if last is not None and t - last > 10_000:
+            last, score = None, dict(start)
         if last is None or t - last >= 300:
             last = t
             for w, d in (("a", -7), ("b", -5)):
@@ -119,6 +132,28 @@ def test_risk_updates_keep_the_gap(spark, tmp_path):
     assert sorted((r["wallet"], r["ts"], r["new_score"]) for r in out.collect()) == sorted(want)
 
 
+def test_cooldown_state_expires_without_loss(spark, tmp_path):
+    S.use_rocksdb(spark)
+    rng = random.Random(6)
+    rows = [{"wallet": f"w{rng.randint(0, 3)}", "severity": rng.choice(["high", None]), "reason": "r", "ts": rng.randint(0, 40_000)} for _ in range(300)]
+    arrived = [(r["wallet"], r["severity"], r["reason"], r["ts"]) for r in _arrival(rows, 900, 3)]
+    schema = "wallet string, severity string, reason string, ts bigint"
+    stream = _stream(spark, str(tmp_path / "in"), arrived, schema, 6, ("~", "~", "~", FAR))
+    out = N.run_to_files(S.stream_alerts(stream, P.AlertConfig(cooldown_s=3_600), "900 seconds"))
+    want, last = [], {}
+    for w, sev, _, t in sorted(arrived, key=lambda r: r[3]):
+        if (w, sev) not in last or t - last[w, sev] > 3_600:
+            last[w, sev] = t
+            want.append((w, sev or "", t))
+    assert sorted((r["wallet"], r["severity"] or "", r["created_at"]) for r in out.collect()) == sorted(want)
+    state = spark.read.format("statestore").option("path", state_checkpoint(out)).option("stateVarName", "state").load()
+    assert state.count() == 0  # all cooldowns are over
+
+
+def state_checkpoint(out):
+    return out.inputFiles()[0].split("/out/")[0] + "/checkpoint"
+
+
 def test_dedupe_across_batches_and_late_rows(spark, tmp_path):
     schema = "wallet string, signature string, ts bigint"
     data = [("a", "1", 10_000), ("a", "2", 20_000), ("a", "1", 10_000), ("b", "1", 21_000), ("a", "3", 19_900), ("a", "2", 20_000)]
