@@ -62,7 +62,7 @@ def pack(kind: str, *arrays: np.ndarray) -> bytes:
     body = [head]
     for a, k in zip(arrays, _KINDS[kind], strict=True):  # byte by byte of all values: the high bytes are mostly zero
         body.append(np.ascontiguousarray(a, k).view(np.uint8).reshape(len(a), np.dtype(k).itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(body))
+    return zstandard.ZstdCompressor(level=1 if kind == "ask" else 3).compress(b"".join(body))
 
 
 def unpack(kind: str, raw: bytes) -> list[np.ndarray]:

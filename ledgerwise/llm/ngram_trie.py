@@ -21,12 +21,14 @@ _U = np.uint64
 
 def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Position of the bit number ``rank`` (from 0) that is set in each word."""
-    at, left = np.zeros(len(words), _U), rank.astype(_U)
+    words, left, at = words.copy(), rank.astype(np.uint8), np.zeros(len(words), np.uint8)
     for step in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count((words >> at) & _U((1 << step) - 1)).astype(_U)
+        low = np.bitwise_count(words & _U((1 << step) - 1))
         over = left >= low
-        left = np.where(over, left - low, left)
-        at = np.where(over, at + _U(step), at)
+        left -= low * over
+        moved = over * np.uint8(step)
+        at += moved
+        words >>= moved.astype(_U)
     return at
 
 
@@ -75,25 +77,33 @@ class EliasFano:
         bit = _select(self.high[w], i - self.ones[w]).astype(np.int64) + w * 64
         return ((bit - i).astype(_U) << _U(self.width)) | self._low(i)
 
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """Number of values whose high part is below ``h``: the ones before the zero number h - 1."""
+    def _zero(self, h: np.ndarray) -> np.ndarray:
+        """Bit behind the zero number h - 1, where the ones of the high part h begin; h of them are zeros before it."""
         out = np.zeros(len(h), np.int64)
         real = np.flatnonzero(h > 0)
         k = h[real] - 1
         w = np.searchsorted(self.zeros, k, side="right") - 1
-        out[real] = _select(~self.high[w], k - self.zeros[w]).astype(np.int64) + w * 64 - k
+        out[real] = _select(~self.high[w], k - self.zeros[w]).astype(np.int64) + w * 64 + 1
         return out
 
+    def _range(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the values with the high part ``h``: a run of ones, read off its word if it ends there."""
+        bit = self._zero(h)
+        rest = self.high[bit >> 6] >> (bit & 63).astype(_U)
+        ones = np.bitwise_count(rest & ~(rest + _U(1))).astype(np.int64)
+        far = np.flatnonzero((bit & 63) + ones == 64)
+        ones[far] = self._zero(h[far] + 1) - bit[far] - 1
+        return bit - h, bit - h + ones
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of the first value >= x (n if there is none) and whether that value equals x."""
         x = x.astype(_U)
         if not self.n or not len(x):
             return np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
-        h = (x >> _U(self.width)).astype(np.int64)
-        most = int(self.zeros[-1]) - 1  # no value has a higher part
-        beyond = h > most
-        h = np.where(beyond, 0, h)
-        lo, hi = self._before(h), self._before(np.minimum(h + 1, most + 1))
+        high = x >> _U(self.width)
+        beyond = high > _U(int(self.zeros[-1]) - 1)  # no value has a higher part
+        h = np.where(beyond, _U(0), high).astype(np.int64)
+        lo, hi = self._range(h)
         want = x & _U((1 << self.width) - 1)
         end, open_ = hi.copy(), np.flatnonzero(lo < hi)
         while len(open_):
