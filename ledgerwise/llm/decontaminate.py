@@ -9,13 +9,15 @@ lists walked, pivot by pivot.  A retrieved item is verified on the words of the
 answer (the last sentence, or the last third if there is one sentence) must each have enough of their word 5-grams
 in the document (``OVERLAP`` of them; parts shorter than five words are one gram).
 
-Items longer than half a passage are indexed by windows of half a passage, each with the item's id; a verified window leads to the
-verification of the whole item.  The index of one block of items has at most ``ITEMS`` items; larger test sets are
-queried block after block, so what is broadcast is bounded.
+Items longer than half a passage are indexed by windows of half a passage; so is the question of each item on its own, as a
+document may hold it far from the answer.  A hit of any of an item's entries leads to the verification of the whole item, and
+no item is verified without its question, so answers need no entries.  An index has at most ``ITEMS`` items and a pass over
+the documents at most ``INDEXES`` of them, so what is broadcast is bounded; document frequencies and the mean length are
+those of all items, so results don't depend on the number of indexes or passes.
 
 Results: one row (doc_id, item_id, score, question_overlap, answer_overlap) per verified pair; documents without one
-have no row.  Null or empty texts and items match nothing.  Repeated rows give repeated matches, once per distinct
-(doc_id, item_id).  Empty tables give an empty result.  Words are runs of letters and digits, lower-cased.
+have no row.  Null or empty texts and items match nothing.  Repeated rows give one match per distinct
+(doc_id, item_id); of items with equal id and different texts each is verified, and the largest figures stay.  Empty tables give an empty result.  Words are runs of letters and digits, lower-cased.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwise.functions.storage import cut_lineage
+
 PASSAGE = 128
 THRESHOLD = 0.6
 OVERLAP = 0.75
 GRAM = 5
 BLOCK = 8
-ITEMS = 2_000
+ITEMS, INDEXES = 2_000, 4
 K1, B = 1.2, 0.75
 _END = 1 << 60
 _at = itemgetter(0)
@@ -64,28 +68,45 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def entries_of(text: str) -> list[list[str]]:
+    """What an item is found by: windows of half a passage of its words, and of its question's words."""
+    half = PASSAGE // 2
+    out = [words[i:i + half] for words in (tokens(text), question_and_answer(text)[0]) if words
+           for i in range(0, max(1, len(words) - half // 2), half // 2)]
+    return [list(e) for e in dict.fromkeys(map(tuple, out))]
+
+
+class ItemStats:
+    """Entries of all items: their number, summed length and, per term, how many have it."""
+
+    def __init__(self, n: int, length: int, seen: dict[str, int]):
+        self.n, self.length, self.seen = n, length, seen
+
+    @classmethod
+    def of(cls, texts: list[str]) -> ItemStats:
+        entries = [e for t in texts for e in entries_of(t)]
+        return cls(len(entries), sum(map(len, entries)), Counter(w for e in entries for w in set(e)))
+
+
 class ItemIndex:
-    """BM25 index over one block of test items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        half, entries = PASSAGE // 2, []
-        self.items = {}
-        for item, text in items:
-            words = tokens(text)
-            if words:
-                self.items[item] = question_and_answer(text)
-                entries += [(item, words[i:i + half]) for i in range(0, max(1, len(words) - half // 2), half // 2)]
+    """BM25 index over one block of test items; an item is known by its row, as ids may repeat."""
+
+    def __init__(self, items: list[tuple[int, str]], stats: ItemStats | None = None):
+        stats = stats or ItemStats.of([text for _, text in items])
+        self.ids = [item for item, _ in items]
+        self.items = [question_and_answer(text) for _, text in items]
+        entries = [(row, words) for row, (_, text) in enumerate(items) for words in entries_of(text)]
         entries.sort(key=lambda e: len(e[1]))  # items of like length share a block, so its bound is tight
-        self.owner = [item for item, _ in entries]
-        n = len(entries)
-        seen = Counter(w for _, words in entries for w in set(words))
-        mean = sum(len(words) for _, words in entries) / max(n, 1)
+        self.owner = [row for row, _ in entries]
+        n, mean = stats.n, stats.length / max(stats.n, 1)
+        df = stats.seen
+        seen = dict.fromkeys(w for _, words in entries for w in words)
         self.terms = {w: i for i, w in enumerate(seen)}
         self.blocks = -(-n // BLOCK)
         self.peak = np.zeros((len(seen), self.blocks), np.float32)
         self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in seen]  # term -> block -> entries, impacts
         for e, (_, words) in enumerate(entries):
-            weight = {w: math.log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5)) * tf * (K1 + 1)
+            weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1)
                       / (tf + K1 * (1 - B + B * len(words) / mean)) for w, tf in Counter(words).items()}
             total, block = sum(weight.values()), e // BLOCK
             for w, x in weight.items():
@@ -132,7 +153,7 @@ class ItemIndex:
         return found
 
     def search(self, texts: list[str]) -> list[list[tuple[int, float]]]:
-        """Per text the (item, best score) of all items that one of its passages retrieves."""
+        """Per text the (row, best score) of all items that one of its passages retrieves."""
         none, half = len(self.terms), PASSAGE // 2
         split = [tokens(t) for t in texts]
         sizes = np.array([len(w) for w in split])
@@ -160,11 +181,11 @@ class ItemIndex:
                     hits[d][self.owner[e]] = max(score, hits[d].get(self.owner[e], 0.0))
         return [sorted(h.items()) for h in hits]
 
-    def verify(self, text: str, item: int) -> tuple[float, float]:
+    def verify(self, text: str, row: int) -> tuple[float, float]:
         """Shares of the question's and the answer's grams that the text has."""
         words = tokens(text)
         shares = []
-        for part in self.items[item]:
+        for part in self.items[row]:
             want = grams(part)
             n = len(next(iter(want))) if want else 0
             have = {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -172,34 +193,60 @@ class ItemIndex:
         return shares[0], shares[1]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"term": sorted({w for t in b["t"] for w in tokens(t)})})
+
+
+def item_stats(items: DataFrame) -> tuple[int, int, DataFrame]:
+    """Number and summed length of all entries of the items (i, t), and (term, df)."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            stats = ItemStats.of(b["t"].tolist())
+            yield pd.DataFrame([*stats.seen.items(), (None, stats.n), (None, stats.length)], columns=["term", "n"]).assign(
+                kind=[0] * len(stats.seen) + [1, 2])
+
+    rows = cut_lineage(items.mapInPandas(count, "term string, n bigint, kind int").groupBy("kind", "term").agg(F.sum("n").alias("n")))
+    whole = {r.kind: r.n for r in rows.filter("kind > 0").collect()}
+    return whole.get(1, 0), whole.get(2, 0), rows.filter("kind = 0").select("term", F.col("n").alias("df"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                 item_text: str = "text", per_index: int = ITEMS, per_pass: int = INDEXES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document and item that match."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    items = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL AND i IS NOT NULL").distinct()
-    n = items.count()
-    blocks = max(1, -(-n // ITEMS))
+    items = cut_lineage(items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter(
+        "t IS NOT NULL AND i IS NOT NULL").distinct())
+    n, length, frequency = item_stats(items)
+    blocks = max(1, -(-items.count() // per_index))
+    placed = cut_lineage(items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")))
     kind = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     out = None
-    for k in range(blocks):
-        block = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t").collect()]
-        if not block and out is not None:
-            continue
-        shared = spark.sparkContext.broadcast(block)
+    for first in range(0, blocks, per_pass):
+        part = placed.filter(F.col("k").between(first, first + per_pass - 1))
+        texts = [(r.k, r.i, r.t) for r in part.orderBy("k", "i", "t").collect()]  # about per_index * per_pass items
+        found = {r.term: r.df for r in frequency.join(part.mapInPandas(_terms, "term string").distinct(), "term", "left_semi").collect()}
+        shared = spark.sparkContext.broadcast((texts, n, length, found))
 
         def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value)  # noqa: B023
+            texts, n, length, df = shared.value  # noqa: B023
+            by_index: dict[int, list[tuple[int, str]]] = {}
+            for k, i, t in texts:
+                by_index.setdefault(k, []).append((i, t))
+            indexes = [ItemIndex(own, ItemStats(n, length, df)) for own in by_index.values()]
             for b in batches:
-                found, ids, texts = [], b["doc_id"].tolist(), b["text"].tolist()
-                for i in range(0, len(ids) if index.blocks else 0, 512):
-                    for doc, text, hits in zip(ids[i:i + 512], texts[i:i + 512], index.search(texts[i:i + 512])):
-                        for item, score in hits:
-                            q, a = index.verify(text, item)
-                            if q >= OVERLAP and a >= OVERLAP:
-                                found.append((doc, item, score, q, a))
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        part = rows.mapInPandas(match, kind)
-        out = part if out is None else out.union(part)
+                hits, ids, texts = [], b["doc_id"].tolist(), b["text"].tolist()
+                for index in indexes:
+                    for i in range(0, len(ids) if index.blocks else 0, 512):
+                        for doc, text, near in zip(ids[i:i + 512], texts[i:i + 512], index.search(texts[i:i + 512])):
+                            for row, score in near:
+                                q, a = index.verify(text, row)
+                                if q >= OVERLAP and a >= OVERLAP:
+                                    hits.append((doc, index.ids[row], score, q, a))
+                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+        one = rows.mapInPandas(match, kind)
+        out = one if out is None else out.union(one)
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
