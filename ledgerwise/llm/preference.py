@@ -12,7 +12,7 @@ equal numbers are ordered by role, then text, and repeated rows stay.  Empty tab
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwise.functions.storage import cut_lineage
@@ -53,7 +53,7 @@ def _mask(turns: Column) -> Column:
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``pairs`` (arrays of turns) with n_common, prompt, and text and mask of both completions."""
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    kept = [c for c in pairs.columns if c not in (chosen, rejected, "_c", "_r")]
+    kept = [c for c in pairs.columns if c not in (chosen, rejected, "_c", "_r")]  # working names
     rows = pairs.select(*kept, F.coalesce(F.col(chosen), none).alias("_c"), F.coalesce(F.col(rejected), none).alias("_r"))
     differs = F.transform(F.col("_c"), lambda t, i: F.coalesce(
         (t["role"] != F.get(F.col("_r"), i)["role"]) | (t["text"] != F.get(F.col("_r"), i)["text"]), F.lit(True)))
@@ -79,11 +79,20 @@ def pairs_by_first_turn(convs: DataFrame) -> DataFrame:
 
 def pairs_with_foreign_reply(convs: DataFrame) -> DataFrame:
     """Pairs of each conversation that has a reply (a turn of a ``TRAINED`` role) with itself up to its last reply,
-    which is replaced by the last reply of the conversation with the next id (nothing, if that has none)."""
+    which is replaced by the last reply of the next conversation by id that has one (the first one's, for the last).
+
+    Ids may have gaps.  The conversations are range-partitioned by id: the next reply lies in the same partition or is
+    the first one of the next partition, so only one row per partition meets others.
+    """
     at = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"].isin(*TRAINED), i + 1)))
     rows = convs.select("conv_id", "turns", at.alias("_at")).filter("_at IS NOT NULL")
-    other = rows.select((F.col("conv_id") - 1).alias("conv_id"), F.col("turns")[F.col("_at") - 1].alias("_reply"))
-    joined = rows.join(other, "conv_id", "left")
-    swapped = F.concat(F.slice("turns", 1, F.col("_at") - 1), F.array_compact(F.array("_reply")))
-    return joined.select(F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"),
+    spread = cut_lineage(rows.repartitionByRange("conv_id").withColumn("_p", F.spark_partition_id()))
+    reply = F.struct("conv_id", F.col("turns")[F.col("_at") - 1].alias("turn"))
+    here = spread.withColumn("_next", F.lead(reply).over(Window.partitionBy("_p").orderBy("conv_id")))
+    heads = spread.groupBy("_p").agg(F.min_by(reply, "conv_id").alias("head"))  # one row per partition
+    first = F.first("head").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = heads.select("_p", F.coalesce(F.lead("head").over(Window.orderBy("_p")), first).alias("_after"))
+    joined = here.join(after, "_p").withColumn("_other", F.coalesce("_next", "_after"))
+    swapped = F.concat(F.slice("turns", 1, F.col("_at") - 1), F.array(F.col("_other")["turn"]))
+    return joined.select(F.col("conv_id").alias("chosen_id"), F.col("_other")["conv_id"].alias("rejected_id"),
                          F.slice("turns", 1, F.col("_at")).alias("chosen"), swapped.alias("rejected"))

@@ -246,7 +246,7 @@ def test_preference_pairs(spark):
     (span,) = row[0].rejected_mask
     assert row[0].rejected_completion[span.start:span.end] == "hello<|im_end|>\n"
     foreign = {r.chosen_id: r for r in format_pairs(pairs_with_foreign_reply(convs)).collect()}
-    assert set(foreign) == {1, 2} and "hello" in foreign[1].rejected_completion and foreign[2].rejected_completion == ""
+    assert set(foreign) == {1, 2} and "hello" in foreign[1].rejected_completion and "yo" in foreign[2].rejected_completion
     assert format_pairs(pairs_by_first_turn(convs.limit(0))).collect() == []
 
 
