@@ -2,10 +2,11 @@
 
 Tier one is a broadcast table of frequent pre-tokens and their lengths in tokens.  It comes from one pass over all
 texts in which every task keeps a summary of ``SUMMARY`` counters (Misra-Gries: every pre-token above
-1 / SUMMARY of the task's occurrences is in it); the summaries are added up and pre-tokens with at least
-``MIN_SHARE`` of all occurrences stay, so the table has at most 1 / MIN_SHARE rows.  Tier two is a cache of each
-worker; what it lacks is encoded by the tokenizer library in batches.  Table and cache move only time: a count is the
-same whichever tier gives it.
+1 / SUMMARY of the task's occurrences is in it).  No pre-token is shuffled: a task hands on its summary as one packed row, and
+summaries are merged ``FAN_IN`` at a time into summaries of the same size, which keeps the guarantee for all texts
+together.  So the table has at most SUMMARY rows, of pre-tokens with at least ``MIN_SHARE`` of all occurrences.  Tier two
+is a cache of each worker, bounded in entries and characters; what it lacks is encoded by the tokenizer library
+in batches.  Table and cache move only time: a count is the same whichever tier gives it.
 
 The special strings of the vocabulary inside a text are one token each, as the library has it by default.
 Texts with characters beyond ``PLAIN`` are cut by the library's own pre-tokenizer, as Unicode tables may differ.
@@ -16,21 +17,23 @@ table.  Long texts are cut and counted whole; other columns are not carried.
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwise.functions.storage import cut_lineage
-
 LIMIT = 512
 SUMMARY = 50_000
 MIN_SHARE = 2e-6
-WORKER_CACHE = 400_000
+WORKER_CACHE, CACHE_CHARS = 400_000, 8_000_000
+FAN_IN = 64
 #: Letters and symbols up to here mean the same to all Unicode versions in use.
 PLAIN = regex.compile(r"[\x00-ɏ‐-‧€]*")
 
@@ -44,7 +47,7 @@ class Counts(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.table, self.cut = table, regex.compile(pattern)
+        self.table, self.cut, self.chars = table, regex.compile(pattern), 0
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
@@ -63,10 +66,12 @@ class Counts(dict):
 
     def learn(self, pieces: set[str]) -> None:
         """Lengths of the pieces that are neither in the table nor met before, encoded in one batch."""
-        if len(self) > len(self.table) + WORKER_CACHE:
+        if len(self) > len(self.table) + WORKER_CACHE or self.chars > CACHE_CHARS:
             self.clear()
             self.update(self.table)
+            self.chars = 0
         new = [w for w in pieces if w not in self]
+        self.chars += sum(map(len, new))
         self.update(zip(new, [len(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]))
 
     def count(self, texts: list[str]) -> list[int]:
@@ -84,8 +89,31 @@ class Counts(dict):
         return [sum(map(self.__getitem__, p)) for p in block]
 
 
+def trimmed(seen: Counter) -> Counter:
+    """The largest ``SUMMARY`` counters, less the count of the next one."""
+    if len(seen) <= SUMMARY:
+        return seen
+    floor = sorted(seen.values())[-SUMMARY - 1]
+    return Counter({w: n - floor for w, n in seen.items() if n > floor})
+
+
+def _packed(seen: Counter) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(json.dumps([list(seen), list(seen.values())]).encode())
+
+
+def _merged(rows: pd.DataFrame) -> tuple[int, Counter]:
+    """Occurrences met and the summary of several summaries."""
+    seen: Counter = Counter()
+    for raw in rows["summary"]:
+        pieces, counts = json.loads(zstandard.ZstdDecompressor().decompress(raw))
+        seen.update(dict(zip(pieces, counts)))
+        if len(seen) > 2 * SUMMARY:
+            seen = trimmed(seen)
+    return int(rows["met"].sum()), trimmed(seen)
+
+
 def frequent_pretokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
-    """(piece, n_tokens) of pre-tokens with at least ``min_share`` of all occurrences."""
+    """(piece, n_tokens) of pre-tokens with at least ``min_share`` of all occurrences: at most ``SUMMARY`` rows."""
 
     def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen, met = Counts(path, pattern, {}), Counter(), 0
@@ -95,28 +123,33 @@ def frequent_pretokens(docs: DataFrame, path: str, pattern: str, text_col: str =
                     pieces = counts.pieces(text)
                     met += len(pieces)
                     seen.update(pieces)
-            if len(seen) > 2 * SUMMARY:  # take the counter below the largest ones off all
-                floor = sorted(seen.values())[-SUMMARY]
-                seen = Counter({w: n - floor for w, n in seen.items() if n > floor})
-        yield pd.DataFrame([(w, n, 0) for w, n in seen.items() if n > 1] + [(None, 0, met)], columns=["piece", "n", "met"])
-
-    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if len(seen) > 2 * SUMMARY:
+                seen = trimmed(seen)
+        if met:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "met": [met], "summary": [_packed(trimmed(seen))]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        met, seen = _merged(rows)
+        return pd.DataFrame({"part": [rows["part"].min()], "met": [met], "summary": [_packed(seen)]})
+
+    def lengths(rows: pd.DataFrame) -> pd.DataFrame:
+        met, seen = _merged(rows)
+        pieces = [w for w, n in seen.items() if n >= met * min_share]
         counts = Counts(path, pattern, {})
-        for b in batches:
-            counts.learn(set(b["piece"]))
-            yield pd.DataFrame({"piece": b["piece"], "n_tokens": [counts[w] for w in b["piece"]]})
+        counts.learn(set(pieces))
+        return pd.DataFrame({"piece": pieces, "n_tokens": [counts[w] for w in pieces]})
 
-    parts = cut_lineage(docs.select(F.col(text_col).alias("t")).mapInPandas(summary, "piece string, n bigint, met bigint")
-                        .groupBy("piece").agg(F.sum("n").alias("n"), F.sum("met").alias("met")))
-    total = parts.agg(F.coalesce(F.sum("met"), F.lit(0))).first()[0]
-    return parts.filter((F.col("n") >= total * min_share) & F.col("piece").isNotNull()).select("piece").mapInPandas(
-        lengths, "piece string, n_tokens int")
+    kind = "part bigint, met bigint, summary binary"
+    parts = docs.select(F.col(text_col).alias("t")).mapInPandas(summary, kind)
+    for width in (FAN_IN, FAN_IN**2):
+        parts = parts.groupBy(F.floor(F.col("part") / width)).applyInPandas(merge, kind)
+    return parts.groupBy().applyInPandas(lengths, "piece string, n_tokens int")
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                  limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens)."""
-    rows = frequent_pretokens(docs, path, pattern, text_col).collect()  # at most 1 / MIN_SHARE rows
+    rows = frequent_pretokens(docs, path, pattern, text_col).collect()  # at most SUMMARY rows
     shared = docs.sparkSession.sparkContext.broadcast({r.piece: r.n_tokens for r in rows})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
