@@ -17,11 +17,11 @@ from ledgerwise.operators import timeseries as T
 
 
 def partial_scores(v):
-    """Scores of part of the wallets, so that defaults for unscored wallets show."""
-    return v.latest_scores.filter("is_anomalous OR score < 50")
+    """All scores there are: those of senders, so that defaults show for wallets that only receive."""
+    return v.latest_scores
 
 
-SQL_VIEWS["p_scores"] = "SELECT * FROM latest_scores WHERE is_anomalous OR score < 50"
+SQL_VIEWS["p_scores"] = "SELECT * FROM latest_scores"
 SQL_VIEWS["all_w"] = "SELECT DISTINCT wallet FROM ends"
 SQL_VIEWS["c_size"] = "SELECT wallet, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM cluster_members"
 SQL_VIEWS["profile"] = """SELECT w.wallet, coalesce(score, 50.0) AS trust_score, CASE WHEN coalesce(score, 50) >= 80 THEN 'LOW' WHEN coalesce(score, 50) >= 50 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
@@ -159,11 +159,24 @@ SQL_VIEWS["flow_rows"] = """SELECT wallet, target, min(kind) AS kind FROM (SELEC
     UNION ALL SELECT wallet, counterparty, 2 FROM ends WHERE wallet <> counterparty) GROUP BY 1, 2"""
 
 
-@query("q11_flow_paths", """SELECT f.wallet AS source, target, CASE kind WHEN 1 THEN 'cluster' ELSE 'interaction' END AS relationship, CASE WHEN coalesce(score, 50) < 25 THEN 'HIGH' END AS risk FROM flow_rows f LEFT JOIN p_scores s ON s.wallet = target""")
+SQL_VIEWS["c_several"] = "SELECT DISTINCT cluster_id, wallet FROM cluster_members WHERE cluster_id IN (SELECT cluster_id FROM cluster_members GROUP BY 1 HAVING count(DISTINCT wallet) > 1)"
+SQL_VIEWS["apart"] = """SELECT DISTINCT wallet, counterparty AS node FROM ends e WHERE wallet <> counterparty AND NOT EXISTS (SELECT 1 FROM cluster_members x JOIN cluster_members y ON y.cluster_id = x.cluster_id
+    WHERE x.wallet = e.wallet AND y.wallet = e.counterparty)"""
+
+
+@query("q11_flow_paths", """SELECT source, cluster_id, target, relationship, CASE WHEN target IS NOT NULL AND coalesce(score, 50) < 25 THEN 'HIGH' END AS risk FROM (
+    SELECT wallet AS source, NULL AS cluster_id, node AS target, 'interaction' AS relationship FROM apart UNION ALL SELECT wallet, cluster_id, NULL, 'cluster' FROM c_several
+    UNION ALL SELECT NULL, cluster_id, wallet, 'member' FROM c_several) f LEFT JOIN p_scores s ON s.wallet = target""")
 def _(v):
     return Q.flow_paths(v.transfers, v.cluster_members, partial_scores(v))
 
 
+@query("q11_flow_paths_unfolded", """SELECT f.wallet AS source, target, CASE kind WHEN 1 THEN 'cluster' ELSE 'interaction' END AS relationship, CASE WHEN coalesce(score, 50) < 25 THEN 'HIGH' END AS risk FROM flow_rows f
+    LEFT JOIN p_scores s ON s.wallet = target WHERE f.wallet IN (FROM scam_wallets)""")
+def _(v):
+    return Q.paths_of(Q.flow_paths(v.transfers, v.cluster_members, partial_scores(v)), v.scam_wallets)
+
+
 @query("q11_flow_paths_first", """SELECT f.wallet AS source, target, CASE kind WHEN 1 THEN 'cluster' ELSE 'interaction' END AS relationship, CASE WHEN coalesce(score, 50) < 25 THEN 'HIGH' END AS risk FROM (
     SELECT * FROM flow_rows QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY kind, target) <= 50) f LEFT JOIN p_scores s ON s.wallet = target""")
 def _(v):
@@ -185,12 +198,15 @@ def _(v):
     return Q.identity_graph(v.transfers, v.cluster_members, partial_scores(v), 30, 20)[1]
 
 
-@query("q12_identity_graph_nodes", "SELECT r.wallet, node, coalesce(score, 50.0) AS risk FROM ig_rows r LEFT JOIN p_scores s ON s.wallet = node")
+@query("q12_identity_graph_nodes", """SELECT f.wallet, cluster_id, node, CASE WHEN node IS NOT NULL THEN coalesce(score, 50.0) END AS risk FROM (
+    SELECT DISTINCT wallet, NULL AS cluster_id, wallet AS node FROM (SELECT wallet FROM apart UNION ALL SELECT wallet FROM c_several) UNION ALL SELECT wallet, NULL, node FROM apart
+    UNION ALL SELECT wallet, cluster_id, NULL FROM c_several UNION ALL SELECT NULL, cluster_id, wallet FROM c_several) f LEFT JOIN p_scores s ON s.wallet = node""")
 def _(v):
     return Q.identity_graph(v.transfers, v.cluster_members, partial_scores(v))[0]
 
 
-@query("q12_identity_graph_edges", "SELECT wallet, least(wallet, node) AS source, greatest(wallet, node) AS target FROM ig_rows WHERE kind > 0")
+@query("q12_identity_graph_edges", """SELECT wallet, NULL AS cluster_id, least(wallet, node) AS source, greatest(wallet, node) AS target FROM apart
+    UNION ALL SELECT wallet, cluster_id, NULL, NULL FROM c_several""")
 def _(v):
     return Q.identity_graph(v.transfers, v.cluster_members, partial_scores(v))[1]
 

@@ -11,6 +11,7 @@ from ledgerwise.functions.common import (
     utc_minute_text,
 )
 from ledgerwise.functions.scores import badge, recommended_actions, risk_level
+from ledgerwise.functions.storage import cut_lineage
 from ledgerwise.operators.features import wallet_pairs
 from ledgerwise.operators.graph import cluster_scam_ratio, flow_to_scam, suspicious_tx_count
 from ledgerwise.operators.timeseries import score_change_30d
@@ -168,48 +169,107 @@ def top_neighbors(transfers: DataFrame, scores: DataFrame, n: int = 20) -> DataF
         F.coalesce("score", F.lit(50.0)).alias("risk_score"))
 
 
-def _cluster_links(members: DataFrame, n: int | None) -> DataFrame:
-    """(wallet, target): for each member all other members, or the first ``n`` of them.
+def _cluster_links(members: DataFrame, n: int) -> DataFrame:
+    """(wallet, target): for each member the first ``n`` other members.
 
-    Only the first n + 1 members of a cluster can be anyone's first n others, so with ``n`` a
-    cluster of size k gives k * (n + 1) rows instead of all its pairs.
+    Only the first n + 1 members of a cluster can be anyone's first n others, so a cluster of size k gives k * (n + 1) rows
+    instead of all its pairs.
     """
     m = members.select("cluster_id", "wallet").distinct()
-    head = m if n is None else newest_n(m, ["cluster_id"], [F.col("wallet")], n + 1)
-    head = head.select("cluster_id", F.col("wallet").alias("target"))
+    head = newest_n(m, ["cluster_id"], [F.col("wallet")], n + 1).select("cluster_id", F.col("wallet").alias("target"))
     return m.join(head, "cluster_id").filter("wallet <> target").select("wallet", "target").distinct()
 
 
+def _factors(transfers: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counterparties that share no cluster with the wallet: wallet, node; members of clusters with company: cluster_id, wallet).
+
+    Together they stand for all pairs of a wallet with its counterparties and cluster members, in rows that are
+    linear in the pairs of transfers and in the memberships.
+    """
+    m = members.select("cluster_id", "wallet").distinct()
+    several = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("cluster_id")
+    m = cut_lineage(m.join(several, "cluster_id"))
+    pairs = wallet_pairs(transfers).filter("counterparty IS NOT NULL AND counterparty <> wallet").select(
+        "wallet", F.col("counterparty").alias("node"))
+    common = pairs.join(m, "wallet").join(m.withColumnRenamed("wallet", "node"), ["node", "cluster_id"]).select("wallet", "node").distinct()
+    return pairs.join(common, ["wallet", "node"], "left_anti"), m
+
+
+def _risk_mark(score: Column, risky_below: float) -> Column:
+    return F.when(F.coalesce(score, F.lit(50.0)) < risky_below, "HIGH")
+
+
 def flow_paths(transfers: DataFrame, members: DataFrame, scores: DataFrame, n: int | None = None,
                risky_below: float = 25) -> DataFrame:
-    """Per wallet all cluster members and counterparties, or the first ``n`` of them (members first, by name)."""
+    """Per wallet its cluster members and counterparties.
+
+    Without ``n`` all of them, factorised, so that a cluster of k wallets takes 2k rows and not k * k: rows of
+    relationship ``interaction`` (source, target, risk), ``cluster`` (source, cluster_id: all other members of that cluster)
+    and ``member`` (cluster_id, target, risk).  ``paths_of`` unfolds them for chosen wallets.  With ``n`` the first ``n``
+    targets of each wallet (members first, by name) as rows (source, target, relationship, risk).
+    """
+    s = scores.select(F.col("wallet").alias("target"), "score")
+    risk = _risk_mark(F.col("score"), risky_below).alias("risk")
+    if n is None:
+        pairs, m = _factors(transfers, members)
+        none = F.lit(None).cast("string")
+        links = pairs.select(F.col("wallet").alias("source"), F.lit(None).cast(m.schema["cluster_id"].dataType).alias("cluster_id"),
+                             F.col("node").alias("target"), F.lit("interaction").alias("relationship"))
+        held = m.select(none.alias("source"), "cluster_id", F.col("wallet").alias("target"), F.lit("member").alias("relationship"))
+        own = m.select(F.col("wallet").alias("source"), "cluster_id", none.alias("target"), F.lit("cluster").alias("relationship"))
+        return links.unionByName(held).join(s, "target", "left").select("source", "cluster_id", "target", "relationship", risk).unionByName(
+            own.withColumn("risk", none))
     pairs = wallet_pairs(transfers).filter("counterparty IS NOT NULL AND counterparty <> wallet").select(
         "wallet", F.col("counterparty").alias("target"), F.lit(2).alias("kind"))
     rows = _cluster_links(members, n).withColumn("kind", F.lit(1)).unionByName(pairs).groupBy("wallet", "target").agg(
         F.min("kind").alias("kind"))
-    top = rows if n is None else newest_n(rows, ["wallet"], [F.col("kind"), F.col("target")], n)
-    return top.join(scores.select(F.col("wallet").alias("target"), "score"), "target", "left").select(
-        F.col("wallet").alias("source"), "target", F.when(F.col("kind") == 1, "cluster").otherwise("interaction").alias("relationship"),
-        F.when(F.coalesce("score", F.lit(50.0)) < risky_below, "HIGH").alias("risk"))
+    top = newest_n(rows, ["wallet"], [F.col("kind"), F.col("target")], n)
+    return top.join(s, "target", "left").select(
+        F.col("wallet").alias("source"), "target", F.when(F.col("kind") == 1, "cluster").otherwise("interaction").alias("relationship"), risk)
+
+
+def paths_of(paths: DataFrame, wallets: DataFrame) -> DataFrame:
+    """(source, target, relationship, risk) of chosen wallets, from factorised ``flow_paths``."""
+    chosen = wallets.select(F.col("wallet").alias("source")).distinct()
+    own = paths.filter("source IS NOT NULL").join(chosen, "source")
+    held = paths.filter("relationship = 'member'").select("cluster_id", "target", "risk")
+    inside = own.filter("relationship = 'cluster'").select("source", "cluster_id").join(held, "cluster_id").filter("source <> target")
+    return own.filter("relationship = 'interaction'").select("source", "target", "relationship", "risk").unionByName(
+        inside.select("source", "target", F.lit("cluster").alias("relationship"), "risk").distinct())
 
 
 def identity_graph(transfers: DataFrame, members: DataFrame, scores: DataFrame, max_nodes: int | None = None,
                    max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Per wallet: nodes (itself, counterparties, then cluster members, by name) and its undirected edges to them.
 
-    All of them, or the first ``max_nodes`` and ``max_edges``.
+    Without limits all of them, factorised like ``flow_paths``: nodes (wallet, cluster_id, node, risk), where a row without
+    a node stands for the members of the cluster, which are the rows without a wallet; edges (wallet, cluster_id,
+    source, target), where a row without ends stands for the edges to all other members.  With limits the first
+    ``max_nodes`` nodes (wallet, node, risk) and ``max_edges`` edges (wallet, source, target).
     """
+    s = scores.select(F.col("wallet").alias("node"), "score")
+    risk = F.coalesce("score", F.lit(50.0)).alias("risk")
+    if max_nodes is None and max_edges is None:
+        pairs, m = _factors(transfers, members)
+        none, no_cluster = F.lit(None).cast("string"), F.lit(None).cast(m.schema["cluster_id"].dataType).alias("cluster_id")
+        own = pairs.select("wallet").union(m.select("wallet")).distinct().select("wallet", F.col("wallet").alias("node"))
+        alone = own.unionByName(pairs).select("wallet", no_cluster, "node")
+        held = m.select(none.alias("wallet"), "cluster_id", F.col("wallet").alias("node"))
+        inside = m.select("wallet", "cluster_id")
+        nodes = alone.unionByName(held).join(s, "node", "left").select("wallet", "cluster_id", "node", risk).unionByName(
+            inside.select("wallet", "cluster_id", none.alias("node"), F.lit(None).cast("double").alias("risk")))
+        edges = pairs.select("wallet", no_cluster, F.least("wallet", "node").alias("source"), F.greatest("wallet", "node").alias("target"))
+        return nodes, edges.unionByName(inside.select("wallet", "cluster_id", none.alias("source"), none.alias("target")))
     pairs = wallet_pairs(transfers).filter("counterparty IS NOT NULL AND counterparty <> wallet").select(
         "wallet", F.col("counterparty").alias("node"), F.lit(1).alias("kind"))
-    links = _cluster_links(members, max_nodes).select("wallet", F.col("target").alias("node"), F.lit(2).alias("kind"))
+    limits = [x for x in (max_nodes, None if max_edges is None else max_edges + 1) if x is not None]
+    links = _cluster_links(members, max(limits)).select("wallet", F.col("target").alias("node"), F.lit(2).alias("kind"))
     own = pairs.select("wallet").union(links.select("wallet")).distinct().select(
         "wallet", F.col("wallet").alias("node"), F.lit(0).alias("kind"))
     rows = own.unionByName(pairs).unionByName(links).groupBy("wallet", "node").agg(F.min("kind").alias("kind"))
-    limits = [x for x in (max_nodes, None if max_edges is None else max_edges + 1) if x is not None]
-    first = lambda n: rows if n is None else newest_n(rows, ["wallet"], [F.col("kind"), F.col("node")], n)
-    nodes = first(max_nodes).join(scores.select(F.col("wallet").alias("node"), "score"), "node", "left").select(
-        "wallet", "node", F.coalesce("score", F.lit(50.0)).alias("risk"))
-    edges = first(min(limits, default=None)).filter("kind > 0").select(
+    first = lambda n: newest_n(rows, ["wallet"], [F.col("kind"), F.col("node")], n)
+    nodes = first(max_nodes if max_nodes is not None else max(limits)).join(s, "node", "left").select("wallet", "node", risk)
+    edges = first(min(limits)).filter("kind > 0").select(
         "wallet", F.least("wallet", "node").alias("source"), F.greatest("wallet", "node").alias("target"))
     return nodes, edges
 

@@ -38,10 +38,14 @@ def test_dashboard_limit_keeps_the_flag(spark):
 def test_flow_paths_and_identity_graph(spark):
     members = spark.createDataFrame([(1, f"m{i:03d}") for i in range(110)] + [(1, "hub")], "cluster_id bigint, wallet string")
     t, s = star(spark, 120), scored(spark)
-    paths = {(r.target, r.relationship) for r in reports.flow_paths(t, members, s).filter("source = 'hub'").collect()}
+    rows = reports.flow_paths(t, members, s)
+    assert rows.count() == 2 * 111 + 2 * 120  # linear in members and pairs
+    hub = spark.createDataFrame([("hub",)], "wallet string")
+    paths = {(r.target, r.relationship) for r in reports.paths_of(rows, hub).collect()}
     assert paths == {(f"m{i:03d}", "cluster") for i in range(110)} | {(f"p{i:04d}", "interaction") for i in range(120)}
     nodes, edges = reports.identity_graph(t, members, s)
-    assert nodes.filter("wallet = 'hub'").count() == 231 and edges.filter("wallet = 'hub'").count() == 230
+    assert nodes.count() == 231 + 2 * 120 + 2 * 111 and edges.count() == 2 * 120 + 111
+    assert nodes.filter("wallet = 'hub'").count() == 122 and edges.filter("wallet = 'hub'").count() == 121
     nodes, edges = reports.identity_graph(t, members, s, 10, 4)
     assert nodes.filter("wallet = 'hub'").count() == 10 and edges.filter("wallet = 'hub'").count() == 4
 
