@@ -141,22 +141,22 @@ def _(v):
 
 @query("u10_integrity_checks", f"""SELECT "check", violations = 0 AS ok, violations FROM (VALUES
     ('null_wallets_transfers', (SELECT count(*) FROM transfers WHERE program_id = 'view')), ('null_wallets_scores', 0), ('null_wallets_reasons', 0),
-    ('duplicate_scores', (SELECT count(*) FROM (SELECT wallet FROM score_timeline WHERE computed_at >= {AS_OF - 5 * DAY} GROUP BY 1 HAVING count(*) > 1))),
+    ('duplicate_scores', (SELECT count(*) FROM (SELECT wallet FROM score_timeline GROUP BY 1 HAVING count(*) > 1))),
     ('timestamp_range', (SELECT count(*) FROM score_timeline WHERE computed_at > {AS_OF - 9 * DAY})),
     ('empty_clusters', (SELECT count(DISTINCT k) FROM ev WHERE k NOT IN (SELECT cluster_id FROM cluster_members))),
-    ('score_range', (SELECT count(*) FROM score_timeline WHERE computed_at >= {AS_OF - 5 * DAY} AND score - 20 < 0)),
-    ('duplicate_reasons', 0), ('reasons_without_score', (SELECT count(DISTINCT wallet) FROM wallet_reasons WHERE wallet NOT IN (SELECT wallet FROM score_timeline WHERE computed_at >= {AS_OF - 5 * DAY}))),
+    ('score_range', (SELECT count(*) FROM score_timeline WHERE score - 20 < 0)),
+    ('duplicate_reasons', 0), ('reasons_without_score', (SELECT count(DISTINCT wallet) FROM wallet_reasons WHERE wallet NOT IN (SELECT wallet FROM score_timeline))),
     ('scores_without_reasons', 0), ('bad_links', (SELECT count(*) FROM wallet_reasons WHERE reason_code = 'CLEAN_HISTORY')), ('has_positives', (SELECT (count(*) = 0)::BIGINT FROM wallet_reasons WHERE weight > 0))) AS t("check", violations)""")
 def _(v):
     t = v.transfers.withColumn("wallet", F.when(F.col("program_id") != "view", F.col("wallet")))
-    s = v.score_timeline.filter(F.col("computed_at") >= AS_OF - 5 * DAY).withColumn("score", F.col("score") - 20)
+    s = v.score_timeline.withColumn("score", F.col("score") - 20)
     r = v.wallet_reasons.withColumn("tx_link", F.when(F.col("reason_code") == "CLEAN_HISTORY", "http://x").otherwise("https://x"))
     return O.integrity_checks(t, s, r, v.score_timeline.withColumnRenamed("computed_at", "snapshot_at"), v.cluster_members,
                               v.ev.select(F.col("k").alias("cluster_id")).distinct(), AS_OF - 9 * DAY)
 
 
 @query("u11_score_reconciliation", """SELECT count(*) FILTER (l = r) AS matches, count(*) FILTER (l <> r) AS mismatches, count(*) FILTER (l IS NULL OR r IS NULL) AS missing,
-    round(count(*) FILTER (l = r) / count(*)::DOUBLE * 10000) / 10000 AS rate FROM (SELECT a.score AS l, b.score AS r FROM latest_scores a FULL JOIN (SELECT wallet, max(score) AS score FROM score_timeline WHERE is_anomalous GROUP BY 1 HAVING max(score) > 95) b ON b.wallet = a.wallet)""")
+    round(count(*) FILTER (l = r) / count(*)::DOUBLE * 10000) / 10000 AS rate FROM (SELECT a.score AS l, b.score AS r FROM latest_scores a FULL JOIN (SELECT wallet, max(score) AS score FROM score_timeline GROUP BY 1) b ON b.wallet = a.wallet)""")
 def _(v):
-    right = v.score_timeline.filter("is_anomalous").groupBy("wallet").agg(F.max("score").alias("score")).filter("score > 95")
+    right = v.score_timeline.groupBy("wallet").agg(F.max("score").alias("score"))
     return O.score_reconciliation(v.latest_scores, right)

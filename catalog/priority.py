@@ -20,15 +20,14 @@ def scans(v):
     bad AS (SELECT DISTINCT cluster_id FROM cluster_members WHERE wallet IN (FROM scam_wallets)),
     x AS (SELECT w.wallet, w.wallet IN (SELECT wallet FROM wallet_reasons WHERE reason_code IN {sql_set(P.HIGH_RISK_CODES)} AND created_at >= {AS_OF - 7 * DAY}) AS sus,
       s.score, s.wallet IS NOT NULL AS has, m.cluster_id IN (FROM bad) AS clu, coalesce(n, 0) AS n, max(coalesce(n, 0)) OVER () AS mx, last_scan_ts, sc.wallet IS NOT NULL AS scanned,
-      ({AS_OF} - last_scan_ts) // {DAY} AS days FROM wallets w LEFT JOIN (SELECT * FROM latest_scores WHERE is_anomalous) s ON s.wallet = w.wallet
+      ({AS_OF} - last_scan_ts) // {DAY} AS days FROM wallets w LEFT JOIN latest_scores s ON s.wallet = w.wallet
       LEFT JOIN cluster_members m ON m.wallet = w.wallet LEFT JOIN (SELECT wallet, count(*) AS n FROM transfers GROUP BY 1) t ON t.wallet = w.wallet LEFT JOIN sc ON sc.wallet = w.wallet)
     SELECT wallet, round(0.3 * sus::INT + CASE WHEN has THEN 0.2 * greatest(0, 1 - score / 100) ELSE 0 END + 0.2 * coalesce(clu, false)::INT + 0.1 * n / mx::DOUBLE
       + 0.1 * CASE WHEN scanned THEN least(1.0, days / 30.0) ELSE 1 END, 9)::DOUBLE AS priority,
       CASE WHEN sus THEN 'recent_suspicious' WHEN has AND score < 40 THEN 'low_trust_score' WHEN clu THEN 'recent_scam_cluster' WHEN n > 100 THEN 'high_tx_volume'
       WHEN scanned AND days > 7 THEN 'not_scanned_recently' WHEN NOT scanned THEN 'never_scanned' ELSE 'default' END AS reason FROM x ORDER BY 2 DESC, 1 LIMIT 60""")
 def _(v):
-    s = v.latest_scores.filter("is_anomalous")
-    return R.scan_priority(v.wallets, v.wallet_reasons, s, v.cluster_members, v.scam_wallets, v.transfers, scans(v), AS_OF,
+    return R.scan_priority(v.wallets, v.wallet_reasons, v.latest_scores, v.cluster_members, v.scam_wallets, v.transfers, scans(v), AS_OF,
                            60).withColumn("priority", F.round("priority", 9))
 
 
@@ -88,7 +87,7 @@ def _(v):
 
 
 @query("p08_tiered_batch", f"""WITH l AS (SELECT s.*, (SELECT CASE max(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 ELSE 1 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' END
-      FROM alerts a WHERE a.wallet = s.wallet AND a.created_at >= {AS_OF - 2 * DAY}) AS sev FROM latest_scores s WHERE computed_at < {AS_OF - 6 * H}),
+      FROM alerts a WHERE a.wallet = s.wallet AND a.created_at >= {AS_OF - 2 * DAY}) AS sev FROM latest_scores s),
     x AS (SELECT t.wallet, tier, CASE tier WHEN 'critical' THEN 3 WHEN 'watchlist' THEN 2 ELSE 1 END AS rk, computed_at, CASE
       WHEN sev IN ('critical', 'high') THEN 1100 - score WHEN score < 40 THEN 840 - score WHEN is_anomalous AND sev IS NOT NULL THEN 600 WHEN l.wallet IS NULL THEN 500
       WHEN {AS_OF} - f <= {7 * DAY} THEN 499 ELSE 300 - least(100, score) END::DOUBLE AS priority, CASE WHEN sev IN ('critical', 'high') THEN 'escalation_severe_anomaly' WHEN score < 40 THEN 'high_risk_low_score'
@@ -98,7 +97,7 @@ def _(v):
 def _(v):
     rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "high", 2).otherwise(1)
     sev = v.alerts.filter(F.col("created_at") >= AS_OF - 2 * DAY).groupBy("wallet").agg(F.max(rank).alias("r"))
-    latest = v.latest_scores.filter(F.col("computed_at") < AS_OF - 6 * H).join(sev, "wallet", "left").withColumn(
+    latest = v.latest_scores.join(sev, "wallet", "left").withColumn(
         "max_severity", F.when(F.col("r") == 3, "critical").when(F.col("r") == 2, "high").when(F.col("r") == 1, "medium"))
     prof = v.transfers.groupBy("wallet").agg((F.min("ts") + 23 * DAY - 2 * H).alias("first_seen_at"))
     return R.tiered_batch(v.tracked_wallets, latest, prof, AS_OF, 100)

@@ -125,18 +125,13 @@ def _(v):
         "reason_codes", F.array_join("reason_codes", ","))
 
 
-# reasons of the later half of the month, so that some wallets keep only mild codes at small scale
+# two codes count as no risk, so that it is dropped where a wallet has worse
 SQL_VIEWS["mild"] = f"""SELECT wallet, CASE WHEN reason_code IN ('LOW_ACTIVITY', 'NEW_WALLET') THEN 'NO_RISK_DETECTED'
-    ELSE reason_code END AS reason_code, confidence, tx_hash, created_at FROM wallet_reasons
-    WHERE wallet NOT IN (SELECT wallet FROM latest_scores WHERE NOT is_anomalous) OR reason_code NOT IN
-    ('DRAINER_INTERACTION', 'HIGH_VALUE_OUTFLOW', 'SCAM_CLUSTER_MEMBER', 'RUG_PULL_DEPLOYER')"""
+    ELSE reason_code END AS reason_code, confidence, tx_hash, created_at FROM wallet_reasons"""
 
 
 def mild(v):
-    calm = v.latest_scores.filter("NOT is_anomalous").select("wallet", F.lit(1).alias("calm"))
-    serious = ["DRAINER_INTERACTION", "HIGH_VALUE_OUTFLOW", "SCAM_CLUSTER_MEMBER", "RUG_PULL_DEPLOYER"]
-    return v.wallet_reasons.join(calm, "wallet", "left").filter(
-        F.col("calm").isNull() | ~F.col("reason_code").isin(*serious)).withColumn(
+    return v.wallet_reasons.withColumn(
         "reason_code", F.when(F.col("reason_code").isin("LOW_ACTIVITY", "NEW_WALLET"), P.NO_RISK)
         .otherwise(F.col("reason_code")))
 
@@ -201,11 +196,9 @@ def _(v):
     return R.reason_weights(v.spark, over)
 
 
-# prior from the last score; codes from the deduplicated reasons of the latest day of each wallet
-SQL_VIEWS["day_codes"] = f"""SELECT DISTINCT r.wallet, reason_code AS code, ({LATER} - created_at) // {DAY} AS days_old
-    FROM wallet_reasons r JOIN (SELECT wallet, max(created_at) // {DAY} AS d FROM wallet_reasons GROUP BY 1) m
-    ON m.wallet = r.wallet AND m.d = r.created_at // {DAY}"""
-SQL_VIEWS["priors"] = "SELECT wallet, (100 - score) / 100 AS prior FROM latest_scores WHERE is_anomalous"
+# prior from the last score; codes from all reasons, each with its newest time
+SQL_VIEWS["day_codes"] = f"""SELECT wallet, reason_code AS code, ({LATER} - max(created_at)) // {DAY} AS days_old FROM wallet_reasons GROUP BY 1, 2"""
+SQL_VIEWS["priors"] = "SELECT wallet, (100 - score) / 100 AS prior FROM latest_scores"
 SQL_VIEWS["post"] = f"""SELECT w.wallet, greatest(0.001, least(0.999, coalesce(p.prior, 0.05)))::DOUBLE AS prior, lg,
     coalesce(weak, false) AS weak FROM (SELECT wallet FROM day_codes UNION SELECT wallet FROM priors) w
     LEFT JOIN priors p USING (wallet) LEFT JOIN (SELECT wallet, sum(ln(coalesce(factor, 1.0))) AS lg,
@@ -215,14 +208,12 @@ SQL_VIEWS["posterior_tab"] = """SELECT wallet, prior, CASE WHEN weak THEN prior
 
 
 def day_codes(v):
-    r = v.wallet_reasons
-    last = r.groupBy("wallet").agg(F.floor(F.max("created_at") / DAY).alias("d"))
-    return r.withColumn("d", F.floor(F.col("created_at") / DAY)).join(last, ["wallet", "d"]).select(
-        "wallet", F.col("reason_code").alias("code"), R.days_old(F.col("created_at"), LATER).alias("days_old")).distinct()
+    last = v.wallet_reasons.groupBy("wallet", F.col("reason_code").alias("code")).agg(F.max("created_at").alias("at"))
+    return last.select("wallet", "code", R.days_old(F.col("at"), LATER).alias("days_old"))
 
 
 def priors(v):
-    return v.latest_scores.filter("is_anomalous").select("wallet", ((100 - F.col("score")) / 100).alias("prior"))
+    return v.latest_scores.select("wallet", ((100 - F.col("score")) / 100).alias("prior"))
 
 
 @query("r09_bayes_posterior", "SELECT wallet, round(prior, 6) AS prior, round(posterior, 6) AS posterior FROM posterior_tab")
@@ -411,21 +402,21 @@ def _(v):
 
 
 SQL_VIEWS["sus_set"] = f"""SELECT wallet FROM scam_wallets UNION SELECT wallet FROM wallet_reasons
-    WHERE reason_code IN {sql_set(P.CLUSTER_CODES)} AND created_at < {AS_OF - 22 * DAY}"""
+    WHERE reason_code IN {sql_set(P.CLUSTER_CODES)}"""
+MUCH_LATER = LATER + 45 * DAY
 
 
 @query("r21_score_recovery", f"""WITH lt AS (SELECT w, max(ts) AS ts FROM (
       SELECT unnest([sender, receiver]) AS w, ts FROM transfers WHERE sender IN (FROM sus_set) OR receiver IN (FROM sus_set)) GROUP BY 1),
     lr AS (SELECT wallet AS w, max(created_at) FILTER (reason_code IN {sql_set(P.SUSPICIOUS_CODES)}) AS rts,
-      bool_and(reason_code IN {sql_set(P.CLEAN_CODES)}) AS clean FROM wallet_reasons WHERE created_at < {AS_OF - 22 * DAY} GROUP BY 1),
-    x AS (SELECT s.wallet, CAST(trunc(score) AS INTEGER) AS old, ({LATER} - coalesce(ts, rts)) / {DAY}::DOUBLE AS days, clean
+      bool_and(reason_code IN {sql_set(P.CLEAN_CODES)}) AS clean FROM wallet_reasons GROUP BY 1),
+    x AS (SELECT s.wallet, CAST(trunc(score) AS INTEGER) AS old, ({MUCH_LATER} - coalesce(ts, rts)) / {DAY}::DOUBLE AS days, clean
       FROM latest_scores s LEFT JOIN lt ON lt.w = s.wallet LEFT JOIN lr ON lr.w = s.wallet)
     SELECT wallet, old, new, CAST(floor(days) AS BIGINT) AS days_clean, CASE WHEN new < 40 THEN 'high' WHEN new < 70 THEN 'medium' ELSE 'low' END AS risk_level
     FROM (SELECT *, greatest(0, least(CASE WHEN clean THEN 100 ELSE 80 END, old + CASE WHEN days >= 90 THEN 20 WHEN days >= 60 THEN 10
       WHEN days >= 30 THEN 5 ELSE 0 END)) AS new FROM x WHERE days IS NOT NULL) WHERE new > old AND days >= 30""")
 def _(v):
-    early = v.wallet_reasons.filter(F.col("created_at") < AS_OF - 22 * DAY)
-    return C.score_recovery(v.latest_scores, v.transfers, early, v.scam_wallets, [], LATER)
+    return C.score_recovery(v.latest_scores, v.transfers, v.wallet_reasons, v.scam_wallets, [], MUCH_LATER)
 
 
 @query("r22_combine_scores", """SELECT s.wallet, round(f * 100) / 100 AS score, CASE WHEN f > 80 THEN 'LOW' WHEN f >= 50 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
@@ -560,17 +551,17 @@ def _(v):
 @query("r32_force_scam_scores", f"""SELECT coalesce(s.wallet, b.wallet) AS wallet, CASE WHEN b.wallet IS NOT NULL THEN 0 ELSE score END AS score,
     CASE WHEN b.wallet IS NOT NULL THEN 'HIGH' ELSE {_RANK} END AS risk_level, CASE WHEN b.wallet IS NULL THEN reason_codes WHEN coalesce(trim(reason_codes), '') = ''
     THEN 'scam_wallet' ELSE reason_codes || ',scam_wallet' END AS reason_codes, CASE WHEN b.wallet IS NULL THEN {AS_OF - 5} ELSE {AS_OF} END AS updated_at
-    FROM (SELECT * FROM r_scores WHERE score > 0) s FULL JOIN scam_wallets b ON b.wallet = s.wallet""")
+    FROM r_scores s FULL JOIN scam_wallets b ON b.wallet = s.wallet""")
 def _(v):
-    s = R.dedupe_reasons(v.wallet_reasons, v.latest_scores)[1].filter("score > 0").withColumn("updated_at", F.lit(AS_OF - 5))
+    s = R.dedupe_reasons(v.wallet_reasons, v.latest_scores)[1].withColumn("updated_at", F.lit(AS_OF - 5))
     return C.force_scam_scores(s, v.scam_wallets, AS_OF)
 
 
-@query("r33_fill_missing_scores", f"""SELECT wallet, score, computed_at AS updated_at FROM latest_scores WHERE is_anomalous UNION ALL
-    SELECT DISTINCT wallet, 50.0, {AS_OF} FROM wallet_reasons WHERE wallet NOT IN (SELECT wallet FROM latest_scores WHERE is_anomalous)""")
+@query("r33_fill_missing_scores", f"""SELECT wallet, score, computed_at AS updated_at FROM latest_scores UNION ALL
+    SELECT DISTINCT counterparty, 50.0, {AS_OF} FROM reason_evidence WHERE counterparty NOT IN (SELECT wallet FROM latest_scores)""")
 def _(v):
-    s = v.latest_scores.filter("is_anomalous").withColumnRenamed("computed_at", "updated_at")
-    return C.fill_missing_scores(s, v.wallet_reasons, AS_OF)
+    s = v.latest_scores.withColumnRenamed("computed_at", "updated_at")
+    return C.fill_missing_scores(s, v.reason_evidence.select(F.col("counterparty").alias("wallet"), "reason_code"), AS_OF)
 
 
 @query("r34_replace_reasons", f"""WITH sel AS (SELECT wallet FROM wallets WHERE wallet NOT IN (SELECT wallet FROM latest_scores WHERE is_anomalous)),

@@ -58,8 +58,7 @@ def _hist(days, step, where):
       FROM transfers WHERE {where} GROUP BY wallet, ts // {step * DAY}"""
 
 
-SQL_VIEWS["roll_hist"] = _hist(7, 4, "true") + " UNION ALL " + _hist(
-    30, 10, "wallet IN (SELECT wallet FROM latest_scores WHERE NOT is_anomalous)")
+SQL_VIEWS["roll_hist"] = _hist(7, 4, "true") + " UNION ALL " + _hist(30, 10, "true")
 SQL_VIEWS["base_line"] = """SELECT wallet, window_days, CAST(trunc(median(volume)) AS BIGINT) AS volume, CAST(trunc(median(tx_count)) AS BIGINT) AS tx_count,
     CAST(trunc(median(anomaly_count)) AS BIGINT) AS anomaly_count, round(median(avg_score) * 100) / 100 AS avg_score,
     CAST(trunc(median(alert_count)) AS BIGINT) AS alert_count FROM (SELECT * FROM roll_hist
@@ -75,8 +74,7 @@ def roll_hist(v):
             T.rnd(F.sum(sol).cast("double") / F.count(F.lit(1)), 2).alias("avg_score"), F.count("err").alias("alert_count"),
         ).drop("p").withColumn("window_days", F.lit(days))
 
-    calm = v.latest_scores.filter("NOT is_anomalous").select("wallet")
-    return part(v.transfers, 7, 4).unionByName(part(v.transfers.join(calm, "wallet", "left_semi"), 30, 10))
+    return part(v.transfers, 7, 4).unionByName(part(v.transfers, 30, 10))
 
 
 @query("w04_baseline", "SELECT * FROM base_line")
@@ -130,8 +128,7 @@ def _(v):
     return T.reputation_state(v.score_timeline, AS_OF)
 
 
-SQL_VIEWS["ent_prev"] = f"""SELECT cluster_id AS entity_id, min(score) AS score, min(computed_at) AS last_updated FROM cluster_members JOIN latest_scores USING (wallet)
-    WHERE NOT is_anomalous GROUP BY 1"""
+SQL_VIEWS["ent_prev"] = f"""SELECT cluster_id AS entity_id, min(score) AS score, min(computed_at) AS last_updated FROM cluster_members JOIN latest_scores USING (wallet) GROUP BY 1"""
 SQL_VIEWS["ent_rep"] = f"""SELECT *, (CASE WHEN risky > 0 THEN 'cluster_contamination' ELSE '' END) || (CASE WHEN n >= 2 THEN ';repeated_anomalies' ELSE '' END) AS tags
     FROM (SELECT *, greatest(0, least(100, round((decayed - 4.0 * n - ap - CASE WHEN members >= 2 THEN risky * 0.5 ELSE 0 END)::DOUBLE * 100) / 100))::DOUBLE AS score
     FROM (SELECT g.*, days, 50 + (coalesce(p.score, 50.0) - 50) * power(0.5, days / 90) AS decayed FROM (
@@ -143,7 +140,7 @@ SQL_VIEWS["ent_rep"] = f"""SELECT *, (CASE WHEN risky > 0 THEN 'cluster_contamin
 
 
 def ent_prev(v):
-    return v.cluster_members.join(v.latest_scores.filter("NOT is_anomalous"), "wallet").groupBy(
+    return v.cluster_members.join(v.latest_scores, "wallet").groupBy(
         F.col("cluster_id").alias("entity_id")).agg(F.min("score").alias("score"), F.min("computed_at").alias("last_updated"))
 
 
@@ -276,7 +273,7 @@ SQL_VIEWS["reviews"] = f"""SELECT wallet, score, confidence, CASE WHEN score < 3
       WHEN {AS_OF} - prev_ts <= {DAY} AND abs(score - prev_score) > 40 THEN 'score_spike' WHEN scam AND s.wallet NOT IN (FROM queue_old) THEN 'new_scam_reason'
       WHEN size BETWEEN 1 AND 4 AND scam THEN 'small_cluster_scam' END AS hint
     FROM (SELECT wallet, score, CASE WHEN is_anomalous THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM latest_scores) s LEFT JOIN prev_sc USING (wallet)
-    LEFT JOIN (SELECT wallet, bool_or(reason_code IN {sql_set(P.SUSPICIOUS_CODES)}) AS scam FROM wallet_reasons WHERE created_at >= {AS_OF - 3 * DAY} GROUP BY 1) USING (wallet)
+    LEFT JOIN (SELECT wallet, bool_or(reason_code IN {sql_set(P.SUSPICIOUS_CODES)}) AS scam FROM wallet_reasons GROUP BY 1) USING (wallet)
     LEFT JOIN (SELECT wallet, count(*) OVER (PARTITION BY cluster_id) AS size FROM cluster_members) USING (wallet)) WHERE hint IS NOT NULL"""
 
 
@@ -284,7 +281,7 @@ def reviews(v):
     s = v.latest_scores.withColumn("confidence", F.when(F.col("is_anomalous"), 0.5).otherwise(0.9))
     sizes = v.cluster_members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
     return T.review_triggers(
-        s, v.wallet_reasons.filter(F.col("created_at") >= AS_OF - 3 * DAY), v.score_timeline,
+        s, v.wallet_reasons, v.score_timeline,
         v.cluster_members.join(sizes, "cluster_id"), v.latest_scores.filter("score < 60"), AS_OF)
 
 
@@ -318,10 +315,10 @@ def _(v):
 
 
 @query("w20_needs_refresh", """SELECT w.wallet, s.wallet IS NOT NULL AS cached, s.wallet IS NULL OR coalesce(mx > s.computed_at, false) AS needs_refresh, s.computed_at AS last_updated
-    FROM wallets w LEFT JOIN (SELECT * FROM latest_scores WHERE is_anomalous) s USING (wallet) LEFT JOIN (SELECT wallet, max(ts) AS mx FROM ends GROUP BY 1) USING (wallet)""")
+    FROM (SELECT DISTINCT wallet FROM ends) w LEFT JOIN latest_scores s USING (wallet) LEFT JOIN (SELECT wallet, max(ts) AS mx FROM ends GROUP BY 1) USING (wallet)""")
 def _(v):
-    s = v.latest_scores.filter("is_anomalous").withColumnRenamed("computed_at", "last_updated")
-    return T.needs_refresh(s, v.transfers, v.wallets)
+    wallets = v.transfers.select(F.explode(F.array("sender", "receiver")).alias("wallet")).distinct()
+    return T.needs_refresh(v.latest_scores.withColumnRenamed("computed_at", "last_updated"), v.transfers, wallets)
 
 
 @query("w21_risk_timeline", """SELECT wallet, row_number() OVER (PARTITION BY wallet ORDER BY created_at, tx_hash, reason_code) AS position, created_at, reason_code, weight, confidence, tx_hash
