@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerwise import params as P
-from ledgerwise.functions.storage import shared_dir
+from ledgerwise.functions.storage import release_path, shared_dir
 from ledgerwise.operators.features import (
     anomaly_flags, base_trust_score, features_from_pairs, merge_pairs, wallet_pairs,
 )
@@ -69,31 +69,78 @@ def stream_rolling(stream: DataFrame, delay: str = "1 day", length: str = "7 day
 
 
 HISTORY_BUCKETS = 64
+#: So many runs of one level are merged into one of the next.
+FAN_IN = 8
+
+
+def live_runs(batches: int) -> list[tuple[int, int]]:
+    """(level, first batch) of the runs that hold the first ``batches`` batches: the digits of that number.
+
+    A run of level L covers FAN_IN ** L batches, so there are less than FAN_IN per level.
+    """
+    out, level, size = [], 0, 1
+    while size <= batches:
+        end = batches - batches % size
+        out += [(level, end - (k + 1) * size) for k in range(batches // size % FAN_IN)]
+        level, size = level + 1, size * FAN_IN
+    return sorted(out, key=lambda r: r[1])
+
+
+def finished_merges(batches: int) -> list[tuple[int, int]]:
+    """Runs (level, first batch) that become complete with the last of ``batches`` batches, from the lowest level."""
+    out, level, size = [], 1, FAN_IN
+    while batches and batches % size == 0:
+        out.append((level, batches - size))
+        level, size = level + 1, size * FAN_IN
+    return out
+
+
+def parts_of(level: int, first: int) -> list[tuple[int, int]]:
+    """The runs that a run is merged from."""
+    return [(level - 1, first + k * FAN_IN ** (level - 1)) for k in range(FAN_IN)]
 
 
 def stream_features(stream: DataFrame, history_path: str, sink_path: str, checkpoint: str,
                     cfg: P.AnomalyConfig = P.AnomalyConfig()) -> StreamingQuery:
     """Features, flags and score of the wallets touched by each micro-batch.
 
-    The history keeps only aggregates per (wallet, counterparty) and batch, partitioned by a
-    hash bucket of the wallet.  A batch reads the buckets of its own wallets (at most
-    ``HISTORY_BUCKETS`` numbers reach the driver) and overwrites its own folder, so a
-    replayed batch writes the same files again.
+    The history keeps only aggregates per (wallet, counterparty) in runs, partitioned by a hash bucket of the wallet.
+    A batch writes one run; ``FAN_IN`` runs of a level are merged into one of the next, so a batch reads a
+    number of runs that grows with the logarithm of the batches, and of these the buckets of its own wallets (at most
+    ``HISTORY_BUCKETS`` numbers reach the driver).  Which runs there are follows from the batch number
+    alone.  A merged run's parts are deleted by the batch after the merge, when the merging one is committed, so a replayed batch
+    finds what it read and writes the same files again.
     """
     spark = stream.sparkSession
 
+    def path(run: tuple[int, int]) -> str:
+        return f"{history_path}/run={run[0]}-{run[1]}"
+
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = wallet_pairs(batch).withColumn("bucket", F.pmod(F.xxhash64("wallet"), F.lit(HISTORY_BUCKETS)))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{history_path}/batch={batch_id}")
-        own = spark.read.parquet(f"{history_path}/batch={batch_id}")
+        kind = rows.schema
+
+        def read(runs: list[tuple[int, int]]) -> DataFrame:
+            return spark.read.schema(kind).option("basePath", history_path).parquet(*map(path, runs))
+
+        def write(df: DataFrame, run: tuple[int, int]) -> None:
+            df.write.mode("overwrite").partitionBy("bucket").parquet(path(run))
+
+        for level, first in finished_merges(batch_id):
+            for part in parts_of(level, first):
+                release_path(spark, path(part))
+        write(rows, (0, batch_id))
+        own = read([(0, batch_id)])
         touched = own.select("wallet").distinct()
         buckets = [r[0] for r in own.select("bucket").distinct().collect()]
-        known = spark.read.option("basePath", history_path).parquet(history_path).filter(
-            F.col("bucket").isin(buckets) & (F.col("batch") <= batch_id)).join(touched, "wallet", "left_semi")
+        known = read([*live_runs(batch_id), (0, batch_id)]).filter(F.col("bucket").isin(buckets)).join(touched, "wallet", "left_semi")
         features = features_from_pairs(merge_pairs(known))
         flags = anomaly_flags(features, cfg)
         scored = features.join(flags, "wallet").join(base_trust_score(flags), "wallet")
         scored.write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
+        for level, first in finished_merges(batch_id + 1):
+            merged = merge_pairs(read(parts_of(level, first))).withColumn("bucket", F.pmod(F.xxhash64("wallet"), F.lit(HISTORY_BUCKETS)))
+            write(merged.select(kind.names).repartition("bucket", F.pmod(F.xxhash64("counterparty"), F.lit(4))), (level, first))
 
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 

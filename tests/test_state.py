@@ -187,3 +187,39 @@ def test_risk_inputs_cover_wallets_without_score(spark):
     rows = {r.wallet: r for r in risk_inputs(scores, reasons, priors).collect()}
     assert rows["a"].score == 80.0 and rows["a"].change == DEFAULT_CHANGE
     assert rows["b"].score == 50.0 and rows["b"].change < 0
+
+
+def test_history_runs_follow_from_the_batch_number():
+    """Over 600 batches the runs read hold each batch once, are few, and exist when they are read, also by a replay."""
+    there = set()
+    for batch in range(600):
+        for attempt in range(2):
+            for level, first in N.finished_merges(batch):
+                there -= set(N.parts_of(level, first))
+            there.add((0, batch))
+            runs = N.live_runs(batch)
+            covered = [b for level, first in runs for b in range(first, first + N.FAN_IN**level)]
+            assert covered == list(range(batch)) and set(runs) <= there
+            assert len(runs) < N.FAN_IN * 4
+            for level, first in N.finished_merges(batch + 1):
+                assert set(N.parts_of(level, first)) <= there
+                there.add((level, first))
+
+
+def test_stream_features_read_few_runs_over_many_batches(spark, tmp_path):
+    from ledgerwise.operators.features import wallet_features
+
+    rows = [(f"s{i}", f"w{i % 3}", f"w{(i * 7) % 5}", 10**9 + i, 1000 + 60 * i, i, "p", None) for i in range(40)]
+    schema = "signature string, sender string, receiver string, amount_lamports bigint, ts bigint, slot bigint, program_id string, err string"
+    whole = spark.createDataFrame(rows, schema).withColumn("wallet", F.col("sender"))
+    for i in range(0, 40, 4):
+        spark.createDataFrame(rows[i:i + 4], schema).withColumn("wallet", F.col("sender")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = N.with_event_time(spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    N.stream_features(stream, str(tmp_path / "h"), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "s")).withColumnRenamed("batch", "batch_id").drop("flags", "score")
+    assert out.select("batch_id").distinct().count() == 10
+    runs = sorted(p.name for p in (tmp_path / "h").iterdir() if p.is_dir())
+    assert runs == ["run=0-8", "run=0-9", "run=1-0"]
+    got, want = N.newest_version(out, ["wallet"]), wallet_features(whole)
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
