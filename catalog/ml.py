@@ -101,6 +101,15 @@ def _(v):
     return M.train_trust_model(order_training(v)).importances
 
 
+@query("m06_trust_model_metrics")
+def _(v):
+    """With the flow and drainer features of the same customers merged in."""
+    records = O.wallet_records(v.transfers_large).withColumns({
+        "approval_like": F.col("program_id") == "RF", "has_swap": F.col("program_id") == "AF"})
+    rows = order_training(v)
+    return M.train_trust_model(rows, O.flow_features(v.transfers_large), D.drainer_features(records, rows.select("wallet"))).metrics
+
+
 def event_rows(v):
     p = v.latest_scores.select("wallet", ((100 - F.col("score")) / 100).alias("scam_probability"))
     f = merged_features(v)

@@ -125,6 +125,31 @@ def rugpull_holdings(token_accounts: DataFrame, blacklist: DataFrame) -> DataFra
                                       F.array_sort(F.collect_set("mint")).alias("tokens"))
 
 
+def _dropped_mints() -> Column:
+    """Mints of the wallet's own balances that fell in a transaction.
+
+    Balances before and after are sorted by account, those before first; one fold keeps the largest balance before of the
+    present account, so the cost is that of a sort, not of all pairs.
+    """
+    entry = lambda b, side, mint: F.struct(
+        b["account_index"].cast("bigint").alias("at"), F.lit(side).alias("side"), b["ui_amount"].cast("double").alias("amount"), mint.alias("mint"))
+    none = F.lit(None).cast("string")
+    before = F.transform("token_balances_pre", lambda b: entry(b, 0, none))
+    own = F.filter("token_balances_post", lambda b: b["owner"] == F.col("wallet"))
+    after = F.transform(own, lambda b: entry(b, 1, b["mint"]))
+    both = F.array_sort(F.concat(F.coalesce(before, F.array().cast("array<struct<at:bigint,side:int,amount:double,mint:string>>")), after))
+    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("double").alias("most"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        same = F.coalesce(s["at"] == e["at"], F.lit(False))
+        fell = F.coalesce(same & (e["side"] == 1) & (s["most"] > e["amount"]), F.lit(False))
+        most = F.when(e["side"] == 1, s["most"]).when(same, F.greatest(s["most"], e["amount"])).otherwise(e["amount"])
+        return F.struct(F.when(e["side"] == 1, s["at"]).otherwise(e["at"]).alias("at"), most.alias("most"),
+                        F.when(fell, F.concat(s["out"], F.array(e["mint"]))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(both, start, step, lambda s: s["out"])
+
+
 def nft_scam_role(token_accounts: DataFrame, tokens: DataFrame, tx_raw: DataFrame, collections: DataFrame,
                   max_nfts: int | None = None, n: int | None = None, mass: int = 10) -> DataFrame:
     nfts = token_accounts.filter("decimals = 0 AND amount = 1")
@@ -138,11 +163,7 @@ def nft_scam_role(token_accounts: DataFrame, tokens: DataFrame, tx_raw: DataFram
         F.count_if(F.col("mint_authority") == F.col("wallet")).alias("minted"),
         F.coalesce(F.bool_or(F.array_contains("creator_wallets", F.col("wallet"))), F.lit(False)).alias("is_creator"),
     )
-    pre = F.col("token_balances_pre")
-    dropped = F.filter("token_balances_post", lambda q: F.exists(
-        pre, lambda p: (p["account_index"] == q["account_index"]) & (p["ui_amount"] > q["ui_amount"])))
-    own = F.filter(dropped, lambda q: q["owner"] == F.col("wallet"))
-    sent = ranked_tx(tx_raw, n).select("wallet", F.explode(own).alias("q")).select("wallet", F.col("q.mint").alias("mint"))
+    sent = ranked_tx(tx_raw, n).select("wallet", F.explode(_dropped_mints()).alias("mint"))
     out = sent.join(held.select("wallet", "mint"), ["wallet", "mint"], "left_semi").groupBy("wallet").agg(
         F.count(F.lit(1)).alias("distributed"))
     all_wallets = token_accounts.select("wallet").distinct()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwise.functions.common import DAY, LAMPORTS_PER_SOL, both_ends, clean_wallet, newest_n, rnd
+from ledgerwise.functions.common import DAY, LAMPORTS_PER_SOL, both_ends, clean_wallet, join_skewed, newest_n, rnd
 from ledgerwise.functions.storage import cut_lineage, cut_with_metrics, release
 
 
@@ -102,8 +102,9 @@ def component_stats(edges: DataFrame, components: DataFrame) -> DataFrame:
     per_pair = ends.groupBy("wallet", "neighbor").agg(F.sum("x").alias("x"))
     degree = per_pair.groupBy("wallet").agg(F.count(F.lit(1)).alias("degree"),
                                             F.sum("x").cast("double").alias("volume"))
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return components.join(sizes, "component").join(degree, "wallet", "left").select(
+    components = cut_lineage(components)
+    sizes = cut_lineage(components.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    return join_skewed(components, sizes, "component", "size").join(degree, "wallet", "left").select(
         "wallet", "component", "size", F.coalesce("degree", F.lit(0)).alias("degree"),
         F.coalesce("volume", F.lit(0.0)).alias("volume"),
     )
@@ -149,10 +150,10 @@ def graph_cluster_features(edges: DataFrame, scam: DataFrame) -> DataFrame:
     bad = scam.select(clean_wallet("wallet").alias("neighbor")).distinct().withColumn("is_scam", F.lit(1))
     near = adj.join(bad, "neighbor", "left").groupBy("wallet").agg(
         F.count(F.lit(1)).alias("neighbor_count"), F.count("is_scam").alias("scam_neighbor_count"))
-    components = connected_components(pairs)
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
+    components = cut_lineage(connected_components(pairs))
+    sizes = cut_lineage(components.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size")))
     return (
-        near.join(components, "wallet").join(sizes, "component")
+        near.join(join_skewed(components, sizes, "component", "cluster_size"), "wallet")
         .join(distance_to_sources(pairs, scam), "wallet")
         .select("wallet", "neighbor_count", "scam_neighbor_count", "cluster_size",
                 F.col("distance").alias("distance_to_scam"))
@@ -161,8 +162,8 @@ def graph_cluster_features(edges: DataFrame, scam: DataFrame) -> DataFrame:
 
 def cluster_features(transfers: DataFrame, scam: DataFrame) -> DataFrame:
     edges = transfer_edges(transfers)
-    components = connected_components(edges)
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
+    components = cut_lineage(connected_components(edges))
+    sizes = cut_lineage(components.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size")))
     ends = both_ends(transfers, "amount_lamports", self_once=False).filter("counterparty <> wallet")
     bad = scam.select(clean_wallet("wallet").alias("counterparty")).distinct().withColumn("is_scam", F.lit(1))
     per_pair = ends.groupBy("wallet", "counterparty").agg(
@@ -172,7 +173,7 @@ def cluster_features(transfers: DataFrame, scam: DataFrame) -> DataFrame:
         rnd(F.sum("x") / float(LAMPORTS_PER_SOL) / F.sum("n"), 6).alias("avg_tx_value"),
         F.coalesce(F.max("is_scam"), F.lit(0)).alias("is_connected_to_known_scam"),
     )
-    return components.join(sizes, "component").join(stats, "wallet").drop("component")
+    return join_skewed(components, sizes, "component", "cluster_size").join(stats, "wallet").drop("component")
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 3) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise import params as P
 from ledgerwise.functions.common import assemble, clamp, lookup, ratio, rnd
+from ledgerwise.functions.storage import cut_lineage
 from ledgerwise.operators.analysis import FEATURE_NAMES
 from ledgerwise.operators.propagation import reach_sums
 from ledgerwise.operators.reasons import feature_join
@@ -86,6 +87,16 @@ def stratified_split(df: DataFrame, key: str, label: str, fraction: float, seed:
     return df.filter(point), df.filter(~point)
 
 
+def class_metrics(scored: DataFrame, positive: float = 1.0) -> list[tuple[str, float]]:
+    """Precision and recall of the positive class, and the confusion matrix as ``true_pred`` counts, from predictions."""
+    cells = {(r.label, r.prediction): r.n for r in scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted({c for pair in cells for c in pair} | {0.0, 1.0})
+    hit = cells.get((positive, positive), 0)
+    said, there = (sum(n for pair, n in cells.items() if pair[i] == positive) for i in (1, 0))
+    out = [("precision", hit / said if said else 0.0), ("recall", hit / there if there else 0.0)]
+    return out + [(f"confusion_{int(t)}_{int(p)}", float(cells.get((t, p), 0))) for t in classes for p in classes]
+
+
 def train_forest(df: DataFrame, features: Sequence[str], label: str = "label", key: str = "wallet", trees: int = 100,
                  depth: int = 10, min_leaf: int = 2, train_fraction: float = 0.8, scale: bool = True, seed: int = 42,
                  top: int | None = None) -> Trained:
@@ -96,19 +107,27 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str = "label", k
         steps.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
     steps.append(RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed))
     model = Pipeline(stages=steps).fit(train)
-    scored = model.transform(test)
+    scored = cut_lineage(model.transform(test).select("label", "prediction", vector_to_array("rawPrediction").alias("_raw"))).select(
+        "label", "prediction", array_to_vector("_raw").alias("rawPrediction"))
     spark = df.sparkSession
     metrics = [(m, MulticlassClassificationEvaluator(metricName=m).evaluate(scored)) for m in (
         "accuracy", "f1", "weightedPrecision", "weightedRecall")]
     metrics.append(("areaUnderROC", BinaryClassificationEvaluator().evaluate(scored)))
+    metrics += class_metrics(scored)
     weights = model.stages[-1].featureImportances.toArray()
     listed = sorted(((name, float(w)) for name, w in zip(features, weights)), key=lambda p: (-p[1], p[0]))
     return Trained(model, spark.createDataFrame(metrics, "metric string, value double"),
                    spark.createDataFrame(listed[:top], "feature string, importance double"))
 
 
-def train_trust_model(df: DataFrame, seed: int = 42) -> Trained:
-    return train_forest(df, FEATURE_NAMES, seed=seed)
+def train_trust_model(df: DataFrame, flow: DataFrame | None = None, drainer: DataFrame | None = None, seed: int = 42) -> Trained:
+    """Label 1 is good.  Flow and drainer features are merged by wallet where given; what a wallet lacks counts as 0."""
+    features = list(FEATURE_NAMES)
+    for more in (flow, drainer):
+        if more is not None:
+            named = [c for c in more.columns if c != "wallet" and c not in features]
+            df, features = df.join(more.select("wallet", *named), "wallet", "left"), features + named
+    return train_forest(df, features, seed=seed)
 
 
 def train_scam_model(df: DataFrame, features: Sequence[str], seed: int = 42) -> Trained:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise import params as P
-from ledgerwise.functions.common import DAY, clamp, clean_wallet, newest_n, rnd
+from ledgerwise.functions.common import DAY, clamp, clean_wallet, join_skewed, newest_n, rnd
 from ledgerwise.functions.storage import cut_lineage, release, release_path, shared_dir
 from ledgerwise.operators.graph import adjacency, connected_components, k_hop_neighbors
 
@@ -235,14 +235,14 @@ def identity_clusters(edges: DataFrame, cfg: P.ClusterConfig = P.ClusterConfig()
     rows = cut_lineage(reduce(DataFrame.unionByName, tagged))
     hubs = rows.groupBy("tag", "set_id").agg(F.min("wallet").alias("hub"))
     stars = rows.join(hubs, ["tag", "set_id"]).select(F.col("hub").alias("a"), F.col("wallet").alias("b")).distinct()
-    components = connected_components(stars)
+    components = cut_lineage(connected_components(stars))
     tags = rows.select("wallet", "tag").distinct().join(components, "wallet").groupBy("component").agg(
         F.array_sort(F.collect_set("tag")).alias("reason_tags"), F.count_distinct("wallet").alias("size"))
     confidence = F.least(F.lit(1.0), rnd(
         0.4 + 0.1 * F.size("reason_tags") + 0.05 * F.least(F.col("size") - 2, F.lit(4)), 2))
-    kept = tags.withColumn("confidence", confidence).filter(
-        (F.col("size") >= 2) & (F.col("confidence") >= cfg.min_confidence))
-    return components.join(kept, "component").select(
+    kept = cut_lineage(tags.withColumn("confidence", confidence).filter(
+        (F.col("size") >= 2) & (F.col("confidence") >= cfg.min_confidence)))
+    return join_skewed(components, kept, "component", "size").select(
         F.col("component").alias("cluster_id"), "wallet", "confidence", "reason_tags", "size")
 
 

@@ -1,5 +1,9 @@
-"""Neighbourhood clusters read every transaction of a wallet."""
+"""Neighbourhood clusters read every transaction of a wallet; giant components don't go through one task."""
 
+from pyspark.sql import functions as F
+
+from ledgerwise.functions.common import join_skewed
+from ledgerwise.operators import graph
 from ledgerwise.operators.graph import neighborhood_cluster
 
 SCHEMA = "wallet string, signature string, block_time bigint, account_keys array<string>"
@@ -23,3 +27,24 @@ def test_old_scam_contact_counts(spark):
 def test_newest_is_opt_in(spark):
     tx, scam = made(spark)
     assert found(neighborhood_cluster(tx, scam, ["program"], n=30, min_len=1)) == {"hot": (31, "LOW"), "cold": (2, "LOW")}
+
+
+def test_one_component_with_almost_all_wallets(spark):
+    """Sizes reach the members of a giant component without a shuffle by its id."""
+    pairs = spark.range(1, 4_000).selectExpr("concat('a', lpad(cast(id - 1 as string), 5, '0')) AS a", "'a00000' AS b", "1.0 AS amount").filter("a <> b")
+    small = spark.range(50).selectExpr("concat('x', id) AS a", "concat('y', id) AS b", "2.0 AS amount")
+    edges = pairs.union(small)
+    got = graph.component_stats(edges, graph.connected_components(edges))
+    sizes = {(r.component, r["size"]): r.n for r in got.groupBy("component", "size").agg(F.count("*").alias("n")).collect()}
+    assert sizes[("a00000", 3_999)] == 3_999 and len(sizes) == 51 and sizes[("x7", 2)] == 2
+
+
+def test_join_skewed_equals_join(spark):
+    rows = spark.range(5_000).selectExpr("id", "IF(id < 4000, 0, id % 700) AS k")
+    table = rows.groupBy("k").count()
+    got = join_skewed(rows, table, "k", "count", share=10)
+    assert sorted(map(tuple, got.select("k", "id", "count").collect())) == sorted(
+        map(tuple, rows.join(table, "k").select("k", "id", "count").collect()))
+    heavy = table.filter("count * 10 >= 5000").count()
+    assert heavy == 1
+    assert join_skewed(rows.limit(0), table.limit(0), "k", "count").collect() == []
