@@ -52,42 +52,54 @@ def adjacency(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest wallet id of each component, by alternating large-star and small-star steps.
+def contract(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """((node, root), links among the roots): every node joins the first of itself and its neighbours in a random order.
 
-    Each step links every node to the least node it can see, so the number of rounds
-    grows with the logarithm of the component size.  A step aggregates one minimum per
-    node (combined map-side) and joins it back; hubs are split by adaptive skew joins.
-    Self-edges keep isolated wallets in the result.
+    The order is a hash of the node and the turn, so in expectation at least a quarter of the nodes go with each turn,
+    whatever the shape of the graph, and with them their links.
+    """
+    rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("x"))
+    ends = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    roots = cut_lineage(ends.groupBy("u").agg(F.min(rank("v")).alias("first")).select(
+        F.col("u").alias("node"), F.least(rank("u"), F.col("first"))["x"].alias("root")))
+    left = roots.select(F.col("node").alias("u"), F.col("root").alias("_u"))
+    right = roots.select(F.col("node").alias("v"), F.col("root").alias("_v"))
+    rest = links.join(left, "u").join(right, "v").filter("_u <> _v").select(
+        F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct()
+    return roots, cut_lineage(rest)
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Smallest wallet id of each component, by contraction.
+
+    Each turn replaces the nodes by their roots, so the links shrink geometrically until none is left; the turns' root
+    tables, of falling size too, are joined from the last to the first.  Minima are combined map-side; hubs
+    are split by adaptive skew joins.  Self-edges keep isolated wallets in the result.
     """
     pairs = cut_lineage(_pairs(edges).filter("wallet IS NOT NULL AND neighbor IS NOT NULL").distinct())
     nodes = pairs.select(F.explode(F.array("wallet", "neighbor")).alias("wallet")).distinct()
-    links = pairs.filter("wallet <> neighbor").select(
-        F.greatest("wallet", "neighbor").alias("u"), F.least("wallet", "neighbor").alias("v")).distinct()
-    state = None
-    for _ in range(max_rounds):
-        sym = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-                           .alias("e")).select("e.*")
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = cut_lineage(
-            sym.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(
-            F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        before = links if state else None
-        links, new_state = cut_with_metrics(
-            small.union(low.select("u", F.col("m").alias("v"))).distinct(),
-            n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-        release(large)
-        if before is not None:
-            release(before)
-        if new_state == state:
-            break
-        state = new_state
-    else:
-        raise RuntimeError("connected components did not converge")
-    return nodes.join(links.select(F.col("u").alias("wallet"), F.col("v").alias("root")), "wallet", "left").select(
-        "wallet", F.coalesce("root", "wallet").alias("component"))
+    links = cut_lineage(pairs.filter("wallet <> neighbor").select(
+        F.greatest("wallet", "neighbor").alias("u"), F.least("wallet", "neighbor").alias("v")).distinct())
+    turns: list[DataFrame] = []
+    while not links.isEmpty():
+        if len(turns) == max_rounds:
+            raise RuntimeError("connected components did not converge")
+        roots, rest = contract(links, len(turns))
+        release(links)
+        turns.append(roots)
+        links = rest
+    if not turns:
+        return nodes.select("wallet", F.col("wallet").alias("component"))
+    found = turns[-1]
+    for roots in reversed(turns[:-1]):
+        last = found.select(F.col("node").alias("root"), F.col("root").alias("_last"))
+        found = roots.join(last, "root", "left").select("node", F.coalesce("_last", "root").alias("root"))
+    found = cut_lineage(found)
+    for roots in turns:
+        release(roots)
+    least = cut_lineage(found.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("_n")))
+    named = join_skewed(found, least, "root", "_n").select(F.col("node").alias("wallet"), "component")
+    return nodes.join(named, "wallet", "left").select("wallet", F.coalesce("component", "wallet").alias("component"))
 
 
 def component_stats(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Neighbourhood clusters read every transaction of a wallet; giant components don't go through one task."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerwise.functions.common import join_skewed
@@ -48,3 +50,43 @@ def test_join_skewed_equals_join(spark):
     heavy = table.filter("count * 10 >= 5000").count()
     assert heavy == 1
     assert join_skewed(rows.limit(0), table.limit(0), "k", "count").collect() == []
+
+
+def _plain_components(pairs):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in list(root)}
+
+
+def test_components_match_union_find(spark):
+    """A long chain in order of the ids, a star, a ring of stars, random pairs, self-edges and nulls."""
+    rng = random.Random(8)
+    name = lambda i: f"n{i:05d}"
+    pairs = [(name(i), name(i + 1)) for i in range(300)] + [(name(1000), name(1001 + i)) for i in range(200)]
+    pairs += [(name(2000 + 10 * (i // 9)), name(2001 + i + i // 9)) for i in range(90)] + [(name(2000 + 10 * i), name(2000 + 10 * ((i + 1) % 10))) for i in range(10)]
+    pairs += [(name(5000 + rng.randrange(400)), name(5000 + rng.randrange(400))) for _ in range(250)] + [("solo", "solo")]
+    df = spark.createDataFrame(pairs + [(None, "x"), ("y", None)], "sender string, receiver string").repartition(5)
+    got = {r.wallet: r.component for r in graph.connected_components(df).collect()}
+    assert got == _plain_components(pairs)
+    assert graph.connected_components(df.filter("sender = 'solo'")).collect() == [("solo", "solo")]
+    assert graph.connected_components(df.limit(0)).collect() == []
+
+
+def test_links_shrink_with_every_turn(spark):
+    links = spark.range(3_000).selectExpr("id + 1 AS u", "id AS v")  # a chain in order of the ids
+    sizes = [3_000]
+    for turn in range(30):
+        _, links = graph.contract(links, turn)
+        sizes.append(links.count())
+        if not sizes[-1]:
+            break
+    assert sizes[-1] == 0 and all(b <= 0.85 * a for a, b in zip(sizes, sizes[1:]) if a > 30)
