@@ -9,8 +9,9 @@
 4. What is still apart then is compared across components.  Let a shingle be rare if at most ``RARE`` of these
    documents have it.  A linked pair either shares a rare shingle, and an index of the rare ones finds it with at most
    ``RARE`` partners per entry; or it shares only common ones, and then its union holds the rare shingles of both:
-   100 * min(c) >= 75 * (r + r' + max(c)) for r rare and c common shingles of each.  Few pairs of a bucket meet that
-   bound, which is exact.  So no link between different components of a bucket stays untested, and a group of
+   100 * min(c) >= 75 * (r + r' + max(c)) for r rare and c common shingles of each.  That bound is exact and
+   compares cells of equal counts of a bucket, so documents of one template that are all a little too different meet once and
+   not pair by pair.  So no link between different components of a bucket stays untested, and a group of
    thousands of copies costs a few pairs each.
 5. A pair whose sketches agree enough is confirmed on both full sets: 100 * |A and B| >= 75 * |A or B|.
 
@@ -150,8 +151,14 @@ def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     left = side(placed, "key", {"doc_id": "a", "comp": "ca", "common": "na", "rare": "ra", "bands": "ka"})
     right = side(placed, "key", {"doc_id": "b", "comp": "cb", "common": "nb", "rare": "rb", "bands": "kb"})
     bound = 100 * F.least("na", "nb") >= PERCENT * (F.col("ra") + F.col("rb") + F.greatest("na", "nb"))
-    once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]  # a pair counts in one of its buckets
-    by_common = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & bound & once)
+    # the bound is a matter of the two counts, so cells of equal counts are compared first and only cells that may hold
+    # links meet member by member
+    cells = cut_lineage(placed.select("key", "common", "rare").distinct())
+    cell_a = side(cells, "key", {"common": "na", "rare": "ra"})
+    cell_b = side(cells, "key", {"common": "nb", "rare": "rb"})
+    allowed = cut_lineage(cell_a.join(cell_b, "key").filter(bound))
+    once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")  # a pair counts in one of its buckets
+    by_common = left.join(allowed, ["key", "na", "ra"]).join(right, ["key", "nb", "rb"]).filter((F.col("ca") < F.col("cb")) & once)
     return by_rare.select("a", "b").union(by_common.select("a", "b"))
 
 

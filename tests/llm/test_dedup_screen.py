@@ -23,3 +23,22 @@ def test_stated_figure_is_the_exact_one():
     stated = float(re.search(r"fails the sketch with\s+(?:less than\s+)?([0-9.]+e-[0-9]+)", N.__doc__)[1])
     exact = lost(N.SKETCH_BITS, N.BANDS * N.ROWS, N.SCREEN)
     assert 0.9 * exact <= stated <= 1.1 * exact, exact
+
+
+def test_template_below_the_limit_costs_no_pairs(spark):
+    """3 000 documents that share 71 % and are in one bucket: no links, and cells instead of pairs."""
+    from pyspark.sql import functions as F
+
+    from ledgerwise.llm.near_dedup import _across, near_duplicates
+
+    n = 3_000
+    stem = [f"t{i}" for i in range(82)]
+    rows = [(i, " ".join(stem + [f"d{i}x{k}" for k in range(16)])) for i in range(n)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    reps = texts.select("doc_id", F.lit(94).cast("bigint").alias("n_shingles"), F.array(F.lit(5).cast("bigint")).alias("bands"))
+    rest = texts.select(F.lit(5).cast("bigint").alias("key"), "doc_id", F.col("doc_id").alias("comp"))
+    assert _across(rest, reps, texts).count() == 0
+    near = [(n + k, " ".join(stem + [f"e{k}x{j}" for j in range(16)])) for k in range(2)] + [(n + 9, rows[0][1] + " more")]
+    some = texts.filter("doc_id < 300").union(spark.createDataFrame(near, "doc_id bigint, text string"))
+    got = {r.doc_id: r.component_id for r in near_duplicates(some).collect()}
+    assert got[n + 9] == 0 and all(got[i] == i for i in [*range(300), n, n + 1])
