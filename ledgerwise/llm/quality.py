@@ -149,9 +149,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps.  The counts pass through to the decision beside the text, so no text
-    is shuffled; only the cutoffs (one row per stratum) come from a first pass."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
-    cutoffs = cut_lineage(choose_cutoffs(cut_lineage(text_counts(narrow).drop("text")), labels, "stratum"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
-    return _judged(text_counts(rows), cutoffs).filter("kept").select("_row.*")
+    """The rows of ``docs`` that ``judge`` keeps.  Texts are counted once and written with their counts; the cutoffs are
+    chosen from the columns of counts, and no text is shuffled."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       F.col(stratum).alias("stratum"))
+    counts = cut_lineage(text_counts(rows).drop("text"))
+    cutoffs = cut_lineage(choose_cutoffs(counts.drop("_row"), labels, "stratum"))
+    return _judged(counts, cutoffs).filter("kept").select("_row.*")
