@@ -119,4 +119,40 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_token_packing, op3_pii, op4_language_id, op5_decontamination, op6_quality_rules,
     op7_preference_format, op8_url_filter, op9_byte_bpe, op10_token_counts, op11_whitening, op12_merkle_manifest, op13_lm_scoring)}
-ORACLE: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_URLS = f"""WITH rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}) AS t(v, h, p)),
+    cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+    parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}'), '') AS host,
+      coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+    fit AS (SELECT *, (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+      ORDER BY length(h) DESC, length(p) DESC LIMIT 1) AS rule FROM parts)
+    SELECT page_id, host, path, rule, coalesce((SELECT v FROM rules WHERE h || p = rule), 'allow') AS verdict FROM fit"""
+
+_FIELD = "coalesce(strlen(({0})::VARCHAR) || ':' || ({0})::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: CRC-32 bit by bit: a character's code is mixed in, -1 stands for one of its eight shifts.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+    WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+_MANIFEST = f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS k, doc_id, source, {_LEAF.format(text="text")} AS leaf,
+      CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS present FROM documents),
+    trees AS (SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT source FROM documents)),
+    placed AS (SELECT k, doc_id, leaf, present, tree, trees, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+      FROM docs d JOIN trees t ON t.source IS NOT DISTINCT FROM d.source),
+    low AS (SELECT tree, 0 AS level, idx, leaf AS h, n FROM placed UNION ALL
+      SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+    high AS (SELECT 0 AS level, tree AS idx, h, (SELECT any_value(trees) FROM trees) AS n FROM low WHERE n = 1 UNION ALL
+      SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY level, idx // 3, n),
+    nodes AS (SELECT tree, level, idx, h, n FROM low UNION ALL SELECT -1, level, idx, h, n FROM high),
+    sides AS (SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM nodes WHERE n > 1
+      WINDOW w AS (PARTITION BY tree, level, idx // 3 ORDER BY idx)),
+    walk AS (SELECT k, tree AS own, tree, 0 AS level, idx, n, present AS h, '' AS proof FROM placed UNION ALL
+      SELECT k, own, CASE WHEN w.n = 1 THEN -1 ELSE w.tree END, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.n = 1 THEN own ELSE w.idx // 3 END,
+        CASE WHEN w.n = 1 THEN (SELECT any_value(trees) FROM trees) ELSE (w.n + 2) // 3 END, CASE WHEN w.n = 1 THEN w.h ELSE sha256(s.l || w.h || s.r) END, proof || coalesce(s.l || s.r, '')
+      FROM walk w LEFT JOIN sides s ON s.tree = w.tree AND s.level = w.level AND s.idx = w.idx WHERE w.n > 1 OR w.tree >= 0)
+    SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, walk.h AS folded_root, walk.h = root.h AS verified
+    FROM walk JOIN placed USING (k) JOIN low sub ON sub.tree = placed.tree AND sub.n = 1, (SELECT h FROM high WHERE n = 1) root WHERE walk.tree = -1 AND walk.n = 1"""
+
+ORACLE: dict[str, str] = {"op8_url_filter": _URLS, "op12_merkle_manifest": _MANIFEST}
