@@ -155,4 +155,41 @@ _MANIFEST = f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS k, doc_id
     SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, walk.h AS folded_root, walk.h = root.h AS verified
     FROM walk JOIN placed USING (k) JOIN low sub ON sub.tree = placed.tree AND sub.n = 1, (SELECT h FROM high WHERE n = 1) root WHERE walk.tree = -1 AND walk.n = 1"""
 
-ORACLE: dict[str, str] = {"op8_url_filter": _URLS, "op12_merkle_manifest": _MANIFEST}
+
+
+def _quality_sql() -> str:
+    """Counts, exact tails, cutoffs and verdicts; the shares' expressions and cutoffs are the operator's parameters."""
+    from ledgerwise.llm.quality import ALPHA, CUTOFFS, DELTA, SYMBOLS
+
+    share = {name: expr.replace("try_divide(", "(").replace(",", "::DOUBLE / nullif(").replace(")", ", 0))") for name, (expr, _) in CUTOFFS.items()}
+    p = ALPHA / len(CUTOFFS)
+    tests = ", ".join(f"count(*) FILTER ({share[name]} > {c}) AS {name}_{c}" for name, (_, cuts) in CUTOFFS.items() for c in cuts)
+
+    def tail(k: str) -> str:
+        term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln({1 - p}))"
+        return f"CASE WHEN {k} >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range({k} + 1), lambda i: {term.replace('lgamma(n + 1)', 'lgamma(n + 1.0)')})) END"
+
+    def strictest(name: str, cuts: list[int]) -> str:
+        passed = [f"{tail(f'{name}_{c}')} <= level" for c in cuts]
+        rows = [f"WHEN {' AND '.join(f'({x})' for x in passed[:k])} THEN {cuts[k - 1]}" for k in range(len(cuts), 0, -1)]
+        return f"CASE {' '.join(rows)} END AS cutoff_{name}"
+
+    space = r"[\x20\x09-\x0D]"
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t,
+      list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+    windows AS (SELECT k, pos, array_to_string(w[pos:pos + 4], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS pos FROM d)),
+    again AS (SELECT k, pos FROM windows QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
+    covered AS (SELECT k, count(DISTINCT pos + j) AS n FROM again, (SELECT unnest(range(5)) AS j) GROUP BY 1),
+    c AS (SELECT d.k, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+      len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words FROM d LEFT JOIN covered ON covered.k = d.k),
+    judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+    sums AS (SELECT lang, count(*) AS n, {tests} FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY 1 HAVING max(quality) = 1) GROUP BY 1),
+    cuts AS (SELECT lang, {", ".join(strictest(name, cuts) for name, (_, cuts) in CUTOFFS.items())}
+      FROM (SELECT *, {DELTA} / greatest(1, count(*) OVER () * {len(CUTOFFS)}) AS level FROM sums))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
+      AND NOT ({" OR ".join(f"coalesce({share[name]} > cutoff_{name}, false)" for name in CUTOFFS)}) AS kept, n_lines,
+      {", ".join(f"cutoff_{name}" for name in CUTOFFS)} FROM judged j LEFT JOIN cuts ON cuts.lang IS NOT DISTINCT FROM j.lang"""
+
+
+ORACLE: dict[str, str] = {"op6_quality_rules": _quality_sql(), "op8_url_filter": _URLS, "op12_merkle_manifest": _MANIFEST}
