@@ -49,10 +49,16 @@ def kept_ids(rows):
 
 
 def leaks(rows, items):
-    from ledgerwise.llm.decontaminate import OVERLAP, ItemIndex
+    from ledgerwise.llm.decontaminate import GRAM, OVERLAP, grams, question_and_answer, tokens
 
-    index = ItemIndex(items)
-    return {r[0] for r in rows if any(min(index.verify(r[1], k)) >= OVERLAP for k in range(len(items)))}
+    wanted = [[grams(part) for part in question_and_answer(text)] for _, text in items if tokens(text)]
+    found = set()
+    for r in rows:
+        w = tokens(r[1])
+        have = {n: {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for n in range(1, GRAM + 1)}
+        if any(all(not g or len(g & have[len(next(iter(g)))]) >= OVERLAP * len(g) for g in pair) for pair in wanted):
+            found.add(r[0])
+    return found
 
 
 def redacted(t):
@@ -76,10 +82,10 @@ def corpus(spark, tmp_path_factory):
     extra = [(5000 + k, " ".join(base[:k] + [f"new{k}"] + base[k + 1:])) for k in range(12)]  # near copies
     extra += [(6000, None), (6001, ""), (6002, "too short"), (6003, "again and again we go " * 20), (6004, " ".join(base) + f" {leak} " + "tail " * 3),
               (6005, "write to someone at a.b@example.org or call +1 (212) 555-0100 or look at host 10.0.0.7 when the list is out"),
-              (6006, "clean text with twelve words that nobody has written before in here"), (6007, " ".join(f"u{i}" for i in range(40_000)))]
+              (6006, "clean text with twelve words that nobody has written before in here"), (6007, " ".join(f"u{i}" for i in range(8_000)))]
     extra += [extra[-2]] * 2  # repeated rows
     rows = spark.createDataFrame([(i, t, "en" if i % 2 else None, "made", len(t or "")) for i, t in extra], SCHEMA)
-    table.filter("doc_id < 150").union(rows).write.parquet(f"{folder}/documents.parquet")
+    table.filter("doc_id < 100").union(rows).write.parquet(f"{folder}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{folder}/labels.parquet")
     items.write.parquet(f"{folder}/benchmark.parquet")
     return folder
