@@ -8,13 +8,13 @@ from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwise import params as P
 from ledgerwise.functions.common import DAY, clamp, clean_wallet, join_skewed, newest_n, rnd
 from ledgerwise.functions.storage import cut_lineage, release, release_path, shared_dir
-from ledgerwise.operators.graph import adjacency, connected_components, k_hop_neighbors
+from ledgerwise.operators.graph import adjacency, any_bit, bit_places, connected_components, k_hop_neighbors, own_bits
 
 
 #: Sources that are walked together, and neighbours of a node that one task of a step meets.
@@ -54,40 +54,46 @@ def bucketed_neighbors(edges: DataFrame, hub: int = HUB) -> Iterator[DataFrame]:
         release_path(spark, path)
 
 
-def _levels(neighbors: DataFrame, sources: DataFrame, max_depth: int) -> Iterator[tuple[int, DataFrame]]:
-    """(depth, level): rows (source, node, parts, amount, last_ts) first reached at that depth.
+def _hits(neighbors: DataFrame, sources: DataFrame, max_depth: int, words: int) -> Iterator[tuple[int, DataFrame, list[str]]]:
+    """(depth, hits, words): rows (g, node, parts, amount, last_ts, words), the sources that first reach the node at that
+    depth by this edge, which comes from their smallest predecessor.
 
-    A neighbour of a level lies in the level before, in the same or in the next one, so the new level is what neither of
-    these two holds; one aggregation finds that and the smallest predecessor.
+    A neighbour of a level lies in the level before, in the same or in the next one, so what these two hold is not new.
+    The edges into a node are met in the order of their other ends, and each takes the sources that none before it had.
     """
     home = neighbors.join(sources.select(F.col("wallet").alias("y")), "y", "left_semi").groupBy("y").agg(F.max("parts").alias("parts"))
-    level = cut_lineage(home.select(F.col("y").alias("source"), F.col("y").alias("node"), "parts"))
+    home = cut_lineage(home)
+    places, names = bit_places(home, "y", words)
+    level = cut_lineage(places.join(home, "y").select("g", F.col("y").alias("node"), "parts", *own_bits(names)))
     before = None
+    w = Window.partitionBy("g", "node").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, -1)
     for depth in range(1, max_depth + 1):
-        frontier = level.select("source", F.col("node").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-        met = frontier.join(neighbors, ["x", "salt"]).select(
-            "source", F.col("y").alias("node"), F.struct("x", "amount", "last_ts", "parts").alias("via"))
-        old = level.select("source", "node") if before is None else level.select("source", "node").union(before.select("source", "node"))
-        rows = met.unionByName(old, allowMissingColumns=True)
-        new = rows.groupBy("source", "node").agg(
-            F.min_by("via", "via.x").alias("via"), F.max(F.col("via").isNull()).alias("_old")).filter("NOT _old")
-        step = cut_lineage(new.select("source", "node", "via.parts", "via.amount", "via.last_ts"))
-        yield depth, step
+        frontier = level.select("g", F.col("node").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *names)
+        met = frontier.join(neighbors, ["x", "salt"]).select("g", F.col("y").alias("node"), "x", "parts", "amount", "last_ts", *names)
+        old = level if before is None else level.unionByName(before)
+        rows = met.unionByName(old.select("g", "node", *names), allowMissingColumns=True)
+        new = rows.select("g", "node", "x", "parts", "amount", "last_ts", *[
+            F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or(c).over(w), F.lit(0)))).alias(c) for c in names])
+        hits = cut_lineage(new.filter(F.col("x").isNotNull() & any_bit(names)).drop("x"))
+        yield depth, hits, names
         if before is not None:
             release(before)
-        before, level = level, step
+        before = level
+        if depth < max_depth:
+            level = cut_lineage(hits.groupBy("g", "node").agg(F.max("parts").alias("parts"), *[F.bit_or(c).alias(c) for c in names]))
+        release(hits)
     for df in (before, level):
-        if df is not None:
-            release(df)
+        release(df)
 
 
 def reach_sums(edges: DataFrame, scam: DataFrame, weights: Mapping[str, Column], max_depth: int = 3,
-               block_sources: int = BLOCK_SOURCES, hub: int = HUB) -> DataFrame:
+               block_sources: int = BLOCK_SOURCES, hub: int = HUB, words: int = WORDS) -> DataFrame:
     """(wallet, depth, one decimal sum per weight) over the breadth-first reach of each scam wallet.
 
     A weight is an expression of depth and of amount and last_ts of the edge that first reached the wallet (the smallest
     of the predecessors one level up).  Scam wallets are walked through but not reported.  Sources are walked in
-    blocks and only the sums of a block stay, so at no time are there more pairs than one block times the wallets.
+    blocks, as bits of sets of 64 * ``words``: an edge counts its weight once per set, times the sources that came by it,
+    so a step has one row per edge and set and no pairs of sources and wallets.
     """
     bad = cut_lineage(scam.select("wallet").filter("wallet IS NOT NULL").distinct())
     blocks = max(1, -(-bad.count() // block_sources))
@@ -95,11 +101,12 @@ def reach_sums(edges: DataFrame, scam: DataFrame, weights: Mapping[str, Column],
     with bucketed_neighbors(edges, hub) as neighbors:
         for k in range(blocks):
             block = bad.filter(F.pmod(F.xxhash64("wallet"), F.lit(blocks)) == k)
-            for depth, level in _levels(neighbors, block, max_depth):
-                found = level.select(F.col("node").alias("wallet"), F.lit(depth).alias("depth"), "amount", "last_ts").join(
-                    bad, "wallet", "left_anti")
-                part = cut_lineage(found.groupBy("wallet", "depth").agg(
-                    *[F.sum(w.cast("decimal(28,9)")).cast("decimal(38,9)").alias(name) for name, w in weights.items()]))
+            for depth, hits, names in _hits(neighbors, block, max_depth, words):
+                n = reduce(Column.__add__, [F.bit_count(c) for c in names])
+                found = hits.select(F.col("node").alias("wallet"), F.lit(depth).alias("depth"), "amount", "last_ts",
+                                    n.cast("decimal(9,0)").alias("_n")).join(bad, "wallet", "left_anti")
+                part = cut_lineage(found.groupBy("wallet", "depth").agg(*[
+                    F.sum(w.cast("decimal(28,9)") * F.col("_n")).cast("decimal(38,9)").alias(name) for name, w in weights.items()]))
                 sums = part if sums is None else sums.unionByName(part)
     return sums.groupBy("wallet", "depth").agg(*[F.sum(name).alias(name) for name in weights])
 

@@ -1,9 +1,13 @@
-"""Walks that carry sets of sources as bits: right pairs and steps without one row per path."""
+"""Walks that carry sets of sources as bits: right pairs and sums, and steps without one row per path."""
+
+import math
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerwise.operators import graph as G
+from ledgerwise.operators import propagation as R
 
 
 def dense(spark, sources=130, mids=12, leaves=40):
@@ -36,3 +40,32 @@ def test_places_are_unique(spark):
         rows = placed.collect()
         assert len(rows) == len({r.seed for r in rows}) == len({(r.g, r.word, r.bit) for r in rows}) == 1000
         assert all(0 <= r.word < len(cols) and 0 <= r.bit < 64 for r in rows)
+
+
+@pytest.mark.parametrize("words", [1, 2])
+def test_sums_of_many_sources_and_rows_of_a_step(spark, words):
+    edges, seeds = dense(spark)
+    und = edges.select(F.least("sender", "receiver").alias("a"), F.greatest("sender", "receiver").alias("b")).withColumns({
+        "amount": F.pmod(F.xxhash64("a", "b"), F.lit(97)).cast("double"), "last_ts": F.pmod(F.xxhash64("b", "a"), F.lit(89))})
+    near = defaultdict(dict)
+    for r in und.collect():
+        near[r.a][r.b] = near[r.b][r.a] = r.amount + r.last_ts
+    bad, want = {f"s{i}" for i in range(130)}, defaultdict(float)
+    for s in bad:
+        seen, level = {s}, [s]
+        for d in (1, 2, 3):
+            new = {}
+            for x in sorted(level):
+                for y, e in near[x].items():
+                    if y not in seen:
+                        new.setdefault(y, e)
+            seen, level = seen | set(new), list(new)
+            for y, e in new.items():
+                if y not in bad:
+                    want[y, d] += e
+    got = R.reach_sums(und, seeds, {"x": F.col("amount") + F.col("last_ts")}, 3, words=words).collect()
+    assert {(r.wallet, r.depth) for r in got} == set(want)
+    assert all(math.isclose(float(r.x), want[r.wallet, r.depth], abs_tol=1e-6) for r in got)
+    with R.bucketed_neighbors(und) as neighbors:
+        most = max(hits.count() for _, hits, _ in R._hits(neighbors, seeds, 3, words))
+    assert most < 130 * 170 / 5
