@@ -134,7 +134,7 @@ def flagged_tokens(v):
 
 @query("m08_train_token_model")
 def _(v):
-    return M.train_token_model(flagged_tokens(v).persist(), v.scam_suppliers).importances
+    return M.train_token_model(flagged_tokens(v), v.scam_suppliers).importances
 
 
 @query("m09_train_label_classifier")
@@ -214,7 +214,7 @@ def _(v):
 
 @query("m14_save_load_model")
 def _(v):
-    t = M.train_token_model(flagged_tokens(v).persist(), v.scam_suppliers)
+    t = M.train_token_model(flagged_tokens(v), v.scam_suppliers)
     folder = f"{shared_dir(v.spark)}/models-{uuid.uuid4().hex}"
     M.save_model(t.model, "token", t.metrics, folder, 1)
     M.save_model(t.model, "token", t.metrics, folder, 2)

@@ -97,10 +97,26 @@ def class_metrics(scored: DataFrame, positive: float = 1.0) -> list[tuple[str, f
     return out + [(f"confusion_{int(t)}_{int(p)}", float(cells.get((t, p), 0))) for t in classes for p in classes]
 
 
+#: Training rows of one task; a forest keeps a count per tree beside each.
+TASK_ROWS = 50_000
+
+
+def in_parts(df: DataFrame, key: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows, what is kept): computed once for all passes of a training, and spread by ``key`` where a task has too many."""
+    kept = [df.persist()]
+    n = kept[0].count()
+    if n > TASK_ROWS * kept[0].rdd.getNumPartitions():
+        kept.append(kept[0].repartition(-(-n // TASK_ROWS), key).persist())
+        kept[1].count()
+        kept.pop(0).unpersist()
+    return kept[-1], kept
+
+
 def train_forest(df: DataFrame, features: Sequence[str], label: str = "label", key: str = "wallet", trees: int = 100,
                  depth: int = 10, min_leaf: int = 2, train_fraction: float = 0.8, scale: bool = True, seed: int = 42,
                  top: int | None = None) -> Trained:
     data = df.select(key, F.col(label).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in features]).fillna(0.0)
+    data, kept = in_parts(data, key)
     train, test = stratified_split(data, key, "label", train_fraction, seed)
     steps = [VectorAssembler(inputCols=list(features), outputCol="raw_features" if scale else "features")]
     if scale:
@@ -109,6 +125,8 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str = "label", k
     model = Pipeline(stages=steps).fit(train)
     scored = cut_lineage(model.transform(test).select("label", "prediction", vector_to_array("rawPrediction").alias("_raw"))).select(
         "label", "prediction", array_to_vector("_raw").alias("rawPrediction"))
+    for rows in kept:
+        rows.unpersist()
     spark = df.sparkSession
     metrics = [(m, MulticlassClassificationEvaluator(metricName=m).evaluate(scored)) for m in (
         "accuracy", "f1", "weightedPrecision", "weightedRecall")]
