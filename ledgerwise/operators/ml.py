@@ -101,15 +101,17 @@ def class_metrics(scored: DataFrame, positive: float = 1.0) -> list[tuple[str, f
 TASK_ROWS = 50_000
 
 
-def in_parts(df: DataFrame, key: str) -> tuple[DataFrame, list[DataFrame]]:
-    """(rows, what is kept): computed once for all passes of a training, and spread by ``key`` where a task has too many."""
-    kept = [df.persist()]
-    n = kept[0].count()
-    if n > TASK_ROWS * kept[0].rdd.getNumPartitions():
-        kept.append(kept[0].repartition(-(-n // TASK_ROWS), key).persist())
-        kept[1].count()
-        kept.pop(0).unpersist()
-    return kept[-1], kept
+def in_parts(df: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """(rows, are they kept): what is more than one task's rows is spread by ``key`` and computed once for all passes."""
+    whole = df.persist()
+    n = whole.count()
+    if n <= TASK_ROWS:
+        whole.unpersist()
+        return df, False
+    parts = whole.repartition(-(-n // TASK_ROWS), key).persist()
+    parts.count()
+    whole.unpersist()
+    return parts, True
 
 
 def train_forest(df: DataFrame, features: Sequence[str], label: str = "label", key: str = "wallet", trees: int = 100,
@@ -125,8 +127,8 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str = "label", k
     model = Pipeline(stages=steps).fit(train)
     scored = cut_lineage(model.transform(test).select("label", "prediction", vector_to_array("rawPrediction").alias("_raw"))).select(
         "label", "prediction", array_to_vector("_raw").alias("rawPrediction"))
-    for rows in kept:
-        rows.unpersist()
+    if kept:
+        data.unpersist()
     spark = df.sparkSession
     metrics = [(m, MulticlassClassificationEvaluator(metricName=m).evaluate(scored)) for m in (
         "accuracy", "f1", "weightedPrecision", "weightedRecall")]
