@@ -148,17 +148,20 @@ def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     counted = nodes.join(common, "doc_id").select("doc_id", "common", (F.col("n_shingles") - F.col("common")).alias("rare"))
     counted = counted.filter(100 * F.col("common") >= PERCENT * (F.col("rare") + F.col("common")))
     placed = cut_lineage(rest.select("key", "doc_id", "comp").join(counted, "doc_id").join(reps.select("doc_id", "bands"), "doc_id"))
-    left = side(placed, "key", {"doc_id": "a", "comp": "ca", "common": "na", "rare": "ra", "bands": "ka"})
+    # the largest component of a bucket is only met by the others, who meet among themselves by order
+    top = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"))
+    others = cut_lineage(placed.join(top, "key").filter("comp <> top"))
+    left = side(others, "key", {"doc_id": "a", "comp": "ca", "common": "na", "rare": "ra", "bands": "ka", "top": "top"})
     right = side(placed, "key", {"doc_id": "b", "comp": "cb", "common": "nb", "rare": "rb", "bands": "kb"})
     bound = 100 * F.least("na", "nb") >= PERCENT * (F.col("ra") + F.col("rb") + F.greatest("na", "nb"))
     # the bound is a matter of the two counts, so cells of equal counts are compared first and only cells that may hold
     # links meet member by member
-    cells = cut_lineage(placed.select("key", "common", "rare").distinct())
-    cell_a = side(cells, "key", {"common": "na", "rare": "ra"})
-    cell_b = side(cells, "key", {"common": "nb", "rare": "rb"})
+    cell_a = side(others.select("key", "common", "rare").distinct(), "key", {"common": "na", "rare": "ra"})
+    cell_b = side(placed.select("key", "common", "rare").distinct(), "key", {"common": "nb", "rare": "rb"})
     allowed = cut_lineage(cell_a.join(cell_b, "key").filter(bound))
     once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")  # a pair counts in one of its buckets
-    by_common = left.join(allowed, ["key", "na", "ra"]).join(right, ["key", "nb", "rb"]).filter((F.col("ca") < F.col("cb")) & once)
+    met = (F.col("cb") == F.col("top")) | (F.col("ca") < F.col("cb"))
+    by_common = left.join(allowed, ["key", "na", "ra"]).join(right, ["key", "nb", "rb"]).filter((F.col("ca") != F.col("cb")) & met & once)
     return by_rare.select("a", "b").union(by_common.select("a", "b"))
 
 

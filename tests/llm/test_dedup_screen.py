@@ -42,3 +42,22 @@ def test_template_below_the_limit_costs_no_pairs(spark):
     some = texts.filter("doc_id < 300").union(spark.createDataFrame(near, "doc_id bigint, text string"))
     got = {r.doc_id: r.component_id for r in near_duplicates(some).collect()}
     assert got[n + 9] == 0 and all(got[i] == i for i in [*range(300), n, n + 1])
+
+
+def test_the_largest_component_is_not_compared_from_its_side(spark):
+    """Each pair across components is met once, from the member of the smaller component, whatever the ids."""
+    from pyspark.sql import functions as F
+
+    from ledgerwise.llm.near_dedup import _across
+
+    stem = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(stem + [f"d{i}x{k}" for k in range(4)])) for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = F.array(F.lit(5).cast("bigint"), F.lit(6).cast("bigint"))
+    reps = texts.select("doc_id", F.lit(100).cast("bigint").alias("n_shingles"), keys.alias("bands"))
+    comp = F.when(F.col("doc_id") < 30, 0).when(F.col("doc_id") < 35, 30).otherwise(F.col("doc_id")).cast("bigint")
+    rest = reps.select(F.explode("bands").alias("key"), "doc_id", comp.alias("comp"))
+    of = lambda i: 0 if i < 30 else 30 if i < 35 else i
+    got = [(r.a, r.b) for r in _across(rest, reps, texts).collect()]
+    assert sorted(map(sorted, got)) == [[i, j] for i in range(40) for j in range(i + 1, 40) if of(i) != of(j)]
+    assert all(a >= 30 for a, _ in got)

@@ -90,3 +90,25 @@ def test_links_shrink_with_every_turn(spark):
         if not sizes[-1]:
             break
     assert sizes[-1] == 0 and all(b <= 0.85 * a for a, b in zip(sizes, sizes[1:]) if a > 30)
+
+
+def test_small_turns_of_contraction_need_no_shuffle(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    cut = graph.cut_lineage
+    links = cut(spark.range(1, 300).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")))
+    monkeypatch.setattr(graph, "cut_lineage", seen)
+    few = graph.contract(links, 0, 299)
+    assert len(plans) == 2 and not any("Exchange hashpartitioning" in p for p in plans)
+    monkeypatch.setattr(graph, "TASK_LINKS", 10)
+    many = graph.contract(links, 0, 299)
+    assert "Exchange hashpartitioning" in plans[2]
+    assert [sorted(x.collect()) for x in few] == [sorted(x.collect()) for x in many]
+    edges = links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(spark.createDataFrame([(500, 500)], "a bigint, b bigint"))
+    for limit in (10, 100, 1_000):
+        monkeypatch.setattr(graph, "TASK_LINKS", limit)
+        assert {tuple(r) for r in graph.connected_components(edges).collect()} == {(i, 0) for i in range(300)} | {(500, 500)}
