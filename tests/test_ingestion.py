@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from catalog import views as V
+from ledgerwise.functions.storage import CLEANUP, cut_lineage
+from ledgerwise.sources.transactions import transfers_from_enriched
 
 
 def test_a_shuffled_plan_is_written_once(spark, tmp_path):
@@ -17,6 +19,23 @@ def test_a_shuffled_plan_is_written_once(spark, tmp_path):
     assert sorted(r.x for r in out.collect()) == list(range(500)) and seen.value == 500
 
 
+def test_a_step_leaves_no_shuffle_files(spark):
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    before, rows = known.size(), spark.range(500).groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(cut_lineage(rows).collect()) == sorted(rows.collect())
+    kept = known.size() - before  # collect() keeps its own
+    cut_lineage(rows)
+    assert known.size() - before == kept == 1 and spark.conf.get(CLEANUP) == "false"
+
+
+def test_enriched_text_is_parsed_once(spark):
+    raw = spark.createDataFrame([('{"signature": "s", "tokenTransfers": [{"fromUserAccount": "a", "toUserAccount": "b", "amount": 2}]}',),
+                                 (None,), ("{",)], "raw string")
+    out = transfers_from_enriched(raw)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [(r.signature, r.sender, r.receiver, r.amount) for r in out.collect()] == [("s", "a", "b", 2.0)]
+
+
 def test_transactions_do_not_depend_on_the_parts(spark, small, monkeypatch):
     rows = lambda: sorted(map(repr, V.Views(spark, small).tx_raw.collect()))
     monkeypatch.setattr(V, "_ingested", {})
