@@ -1,10 +1,12 @@
 """Ingestion runs its plan once and shuffles whole tables in parts of bounded size."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from catalog import views as V
 from ledgerwise.functions.storage import CLEANUP, cut_lineage
-from ledgerwise.sources.transactions import transfers_from_enriched
+from ledgerwise.sources.transactions import balance_change, transfers_from_enriched
 
 
 def test_a_shuffled_plan_is_written_once(spark, tmp_path):
@@ -45,3 +47,21 @@ def test_transactions_do_not_depend_on_the_parts(spark, small, monkeypatch):
     monkeypatch.setattr(V, "PART_BYTES", 4096)
     assert V.Views(spark, small).parts("lineitem") > size
     assert rows() == few and len(few) == V.Views(spark, small).table("lineitem").select("l_orderkey").distinct().count()
+
+
+def test_an_account_of_all_transactions_is_not_one_tasks_work(spark):
+    keys = F.array(F.concat(F.lit("w"), (F.col("id") % 50).cast("string")), F.lit("hot"), F.when(F.col("id") % 2 == 0, "other"))
+    tx = cut_lineage(spark.range(4000).repartition(8).select(
+        F.col("id").cast("string").alias("signature"), F.col("id").alias("block_time"), F.lit(5).cast("long").alias("fee"), keys.alias("account_keys"),
+        F.array(F.lit(9).cast("long"), F.lit(0).cast("long"), F.lit(1).cast("long")).alias("pre_balances"),
+        F.array(F.lit(3).cast("long"), F.col("id"), F.lit(None).cast("long")).alias("post_balances")))
+    wallets = spark.createDataFrame([("hot",), ("hot",), ("w3",), ("unseen",), (None,)], "wallet string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = balance_change(tx, wallets).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(str(i), "hot", i, i) for i in range(4000)] + [(str(i), "w3", -11, i) for i in range(3, 4000, 50)]
+    assert sorted((r.signature, r.wallet, r.delta_lamports, r.ts) for r in rows) == sorted(want)
+    assert max(Counter(r.part for r in rows).values()) < 2000
