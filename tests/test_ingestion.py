@@ -65,3 +65,13 @@ def test_an_account_of_all_transactions_is_not_one_tasks_work(spark):
     want = [(str(i), "hot", i, i) for i in range(4000)] + [(str(i), "w3", -11, i) for i in range(3, 4000, 50)]
     assert sorted((r.signature, r.wallet, r.delta_lamports, r.ts) for r in rows) == sorted(want)
     assert max(Counter(r.part for r in rows).values()) < 2000
+
+
+def test_token_accounts_are_counted_in_bounded_parts(spark, small, monkeypatch):
+    rows = lambda: sorted(map(repr, V.Views(spark, small).token_accounts.collect()))
+    few = rows()
+    monkeypatch.setattr(V, "PART_BYTES", 4096)
+    n = V.Views(spark, small).parts("lineitem")
+    plan = V.Views(spark, small).token_accounts._jdf.queryExecution().executedPlan().toString()
+    assert n > 8 and "hashpartitioning(wallet#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
+    assert rows() == few
