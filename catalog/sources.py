@@ -213,10 +213,10 @@ def _(v):
 
 @query("s18_distinct_owners", "SELECT DISTINCT mint, wallet AS owner FROM token_accounts")
 def _(v):
-    return T.distinct_owners(v.token_accounts)
+    return T.distinct_owners(v.counted_accounts())
 
 
 @query("s18_distinct_owners_first", """SELECT DISTINCT mint, wallet AS owner FROM token_accounts
     QUALIFY row_number() OVER (PARTITION BY mint ORDER BY wallet) <= 10""")
 def _(v):
-    return T.distinct_owners(v.token_accounts, 10)
+    return T.distinct_owners(v.counted_accounts(), 10)

@@ -68,10 +68,18 @@ def test_an_account_of_all_transactions_is_not_one_tasks_work(spark):
 
 
 def test_token_accounts_are_counted_in_bounded_parts(spark, small, monkeypatch):
-    rows = lambda: sorted(map(repr, V.Views(spark, small).token_accounts.collect()))
+    rows = lambda: sorted(map(repr, V.Views(spark, small).counted_accounts().collect()))
     few = rows()
     monkeypatch.setattr(V, "PART_BYTES", 4096)
     n = V.Views(spark, small).parts("lineitem")
-    plan = V.Views(spark, small).token_accounts._jdf.queryExecution().executedPlan().toString()
+    plan = V.Views(spark, small).counted_accounts()._jdf.queryExecution().executedPlan().toString()
     assert n > 8 and "hashpartitioning(wallet#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
     assert rows() == few
+
+
+def test_token_accounts_are_counted_once(spark, small, monkeypatch):
+    monkeypatch.setattr(V, "_ingested", {})
+    v = V.Views(spark, small)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert "Aggregate" not in v.token_accounts._jdf.queryExecution().executedPlan().toString()
+    assert rows(v.token_accounts) == rows(v.counted_accounts()) and v.token_accounts.dtypes == v.counted_accounts().dtypes
