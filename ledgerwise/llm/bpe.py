@@ -38,9 +38,10 @@ _REST = 1 << 30  # a slice to the end
 _IDS = "array<int>"
 #: Longest pre-token that is folded and remembered: a step of the fold copies its arrays.
 FOLD_BYTES = 256
-#: Bytes of distinct tail pre-tokens whose ids one Arrow task remembers; characters of text whose tail is merged together.
-TAIL_CACHE = 4_000_000
-TAIL_BLOCK = 2_000_000
+#: Bytes of distinct tail pre-tokens whose ids one Arrow task remembers; characters of text whose tail is merged together
+#: and whose ids leave the task together.
+TAIL_CACHE = 2_000_000
+TAIL_BLOCK = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,6 +144,26 @@ class TailMerger(dict):
                 for i in range(0, len(group), 4096):
                     self._together(*map(list, zip(*group[i:i + 4096])))
 
+    def encode(self, texts: pa.Array, often: dict[str, bytes], cut: regex.Pattern) -> Iterator[pa.Array]:
+        """Id lists of the texts, in pieces of about ``TAIL_BLOCK`` characters: no more than a piece is held or sent at once."""
+
+        def piece(block: list[list[str]]) -> pa.Array:
+            self.learn(set().union(*block).difference(often))
+            packed = [b"".join([often.get(w) or self[w] for w in words]) for words in block]
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            flat = np.frombuffer(b"".join(packed), "<i4")
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+        block, chars = [], 0
+        for t in texts:
+            text = t.as_py() or ""
+            block.append(cut.findall(text))
+            chars += len(text)
+            if chars > TAIL_BLOCK:
+                yield piece(block)
+                block, chars = [], 0
+        yield piece(block)
+
 
 class Tokenizer:
     """Encoder and decoder of one rank list and pre-token pattern."""
@@ -221,23 +242,8 @@ class Tokenizer:
         def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             (often, merges), cut = shared.value, regex.compile(pattern)
             tail = TailMerger(merges, single)
-
-            def pack(block: list[list[str]]) -> list[bytes]:
-                tail.learn(set().union(*block).difference(often))
-                return [b"".join([often.get(w) or tail[w] for w in words]) for words in block]
-
             for texts in batches:
-                packed, block, chars = [], [], 0
-                for t in texts:
-                    text = t.as_py() or ""
-                    block.append(cut.findall(text))
-                    chars += len(text)
-                    if chars > TAIL_BLOCK:
-                        packed, block, chars = packed + pack(block), [], 0
-                packed += pack(block)
-                ends = np.cumsum([0, *map(len, packed)]) // 4
-                flat = np.frombuffer(b"".join(packed), "<i4")
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield from tail.encode(texts, often, cut)
 
         kept = [c for c in docs.columns if c != ids]
         return docs.select(*kept, look_up(F.col(text)).alias(ids))
