@@ -43,6 +43,8 @@ OVERLAP = 0.75
 GRAM = 5
 BLOCK = 8
 ITEMS, INDEXES = 2_000, 4
+#: Largest impacts that one step of the screen gathers: passages are taken together up to this many (a passage is never split).
+CELLS = 4_000_000
 K1, B = 1.2, 0.75
 _END = 1 << 60
 _at = itemgetter(0)
@@ -102,7 +104,7 @@ class ItemIndex:
         df = stats.seen
         seen = dict.fromkeys(w for _, words in entries for w in words)
         self.terms = {w: i for i, w in enumerate(seen)}
-        self.blocks = -(-n // BLOCK)
+        self.blocks = -(-len(entries) // BLOCK)
         self.peak = np.zeros((len(seen), self.blocks), np.float32)
         self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in seen]  # term -> block -> entries, impacts
         for e, (_, words) in enumerate(entries):
@@ -170,9 +172,11 @@ class ItemIndex:
         passage, terms = pairs // max(none, 1), pairs % max(none, 1)
         starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(pairs) else []
         hits: list[dict[int, float]] = [{} for _ in texts]
-        for i in range(0, len(starts), 1024):
-            part = starts[i:i + 1024]
-            end = starts[i + 1024] if i + 1024 < len(starts) else len(pairs)
+        i, room = 0, CELLS // max(self.blocks, 1)
+        while i < len(starts):
+            after = min(max(i + 1, int(np.searchsorted(starts, starts[i] + room, "right")) - 1), i + 1024)
+            part, end = starts[i:after], starts[after] if after < len(starts) else len(pairs)
+            i = after
             bound = np.add.reduceat(self.peak[terms[part[0]:end]], part - part[0], axis=0)
             for r, block in zip(*map(np.ndarray.tolist, np.nonzero(bound >= THRESHOLD - 1e-4))):
                 stop = part[r + 1] if r + 1 < len(part) else end
@@ -221,7 +225,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         "t IS NOT NULL AND i IS NOT NULL").distinct())
     n, length, frequency = item_stats(items)
     blocks = max(1, -(-items.count() // per_index))
-    placed = cut_lineage(items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")))
+    placed = items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int"))
     kind = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     out = None
     for first in range(0, blocks, per_pass):

@@ -62,3 +62,27 @@ def test_empty_tables(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     i = spark.createDataFrame(items, "item_id bigint, text string")
     assert contaminated(d.limit(0), i).collect() == [] and contaminated(d, i.limit(0)).collect() == []
+
+
+def test_screen_is_bounded_and_finds_the_same(monkeypatch):
+    from ledgerwise.llm import decontaminate as D
+
+    docs, items = make()
+    items = [(i, t) for i, t in items if t]
+    stats, texts = D.ItemStats.of([t for _, t in items]), [t or "" for _, t in docs]
+    few = D.ItemIndex(items[:8], stats)
+    assert few.blocks == -(-len(few.owner) // D.BLOCK) == few.peak.shape[1]  # of its own entries, not of all items'
+    index, sizes = D.ItemIndex(items, stats), []
+    whole = index.search(texts)
+    monkeypatch.setattr(D, "CELLS", 4000)
+    gathered = np.ndarray.__getitem__
+
+    class Peak(np.ndarray):
+        def __getitem__(self, key):
+            out = gathered(self, key)
+            sizes.append((out.shape[0], out.size))
+            return out
+
+    index.peak = index.peak.view(Peak)
+    assert any(whole) and index.search(texts) == whole
+    assert len(sizes) > 1 and all(n <= D.PASSAGE or cells <= D.CELLS for n, cells in sizes)
